@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "tidewire", master: str | None = None, **conf: str) -> SparkSession:
@@ -56,3 +56,15 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the shared folder; never reused between calls."""
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """Write a compact intermediate table once and continue from the copy.
+
+    Used where several branches need the same aggregate of a large input, so
+    the input is read and shuffled once. The copy lies in the shared folder and
+    outlives any executor.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
