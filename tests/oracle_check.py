@@ -71,7 +71,6 @@ def compare(spark, con, name: str, query, oracle: str, sf_dir: str) -> tuple[str
     spark_types = {c: _FAMILY.get(t, t) for c, t in df.dtypes}
     sql_types = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     types = [(c, spark_types[c], sql_types[c]) for c in df.columns if spark_types[c] != sql_types[c]]
-    types = [t for t in types if t[2] != "HUGEINT"]
     if len(got) != len(want):
         return f"{len(got)} rows != {len(want)}", len(got)
     for a, b in zip(got, want):
