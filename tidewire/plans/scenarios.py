@@ -31,21 +31,21 @@ def scenario_grid(configs: DataFrame, exclusive: str, keys: Sequence[str] = ("co
     dims += [(d, F.col(f"network.{d}")) for d in NETWORK_DIMENSIONS]
     dims.append((exclusive, F.col(f"exclusive.{exclusive}")))
     named = dict(dims)
+    ranges = F.array(*[r for _, r in dims])
     prepared = configs.select(
         *keys,
-        *[expand_range(r).alias(f"{d}_values") for d, r in dims],
-        *[F.col(s).alias(f"{s}_values") for s in STRATEGY_DIMENSIONS],
+        F.transform(ranges, expand_range).alias("values"),
+        *STRATEGY_DIMENSIONS,
         F.struct(*[named[d].alias(d) for d in COMMON_DIMENSIONS[:3]]).alias("ranges"),
     )
+    # Generators nest in one projection step each. The outer form keeps Spark
+    # from deriving a size filter per dimension, which would expand every
+    # range a second time.
     names = [d for d, _ in dims] + STRATEGY_DIMENSIONS
-    grid = prepared
-    # The outer form keeps Spark from deriving a size filter per dimension,
-    # which would expand every range a second time.
-    for d in names:
-        grid = grid.select(
-            *[c for c in grid.columns if c != f"{d}_values"],
-            F.explode_outer(f"{d}_values").alias(d),
-        )
+    sources = [f"values[{i}]" for i in range(len(dims))] + [f"{s}_list" for s in STRATEGY_DIMENSIONS]
+    grid = prepared.withColumnsRenamed({s: f"{s}_list" for s in STRATEGY_DIMENSIONS})
+    for d, source in zip(names, sources):
+        grid = grid.withColumn(d, F.explode_outer(F.expr(source)))
     grid = grid.dropna(subset=names)
     p, c, t = (number_text(F.col(f"ranges.{d}"), F.col(d)) for d in COMMON_DIMENSIONS[:3])
     size = F.col("messageSizeBytes").cast("bigint").cast("string")
