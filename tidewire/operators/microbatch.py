@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,14 +85,33 @@ def _compose(parts: list[tuple], limit: int):
     return first, held, count, total
 
 
-def _parts(pdf: pd.DataFrame) -> list[tuple]:
-    as_int = lambda a: np.asarray(a, dtype="i8")
+def _parts(table: pa.Table) -> list[tuple]:
+    first, carry, closed = (
+        table[c].combine_chunks() for c in ("_first", "_carry", "_closed")
+    )
+    total = table["_total"].to_pylist()
     return [
-        (as_int(f), as_int(c), as_int(n), int(t))
-        for f, c, n, t in zip(pdf["_first"], pdf["_carry"], pdf["_closed"], pdf["_total"])
+        tuple(a[i].values.to_numpy() for a in (first, carry, closed)) + (total[i],)
+        for i in range(table.num_rows)
     ]
 
 
+def _summary_row(table: pa.Table, columns: list[str], made: tuple) -> pa.Table:
+    lists = [pa.array([np.asarray(v, dtype="i8")], pa.list_(pa.int64())) for v in made[:3]]
+    head = table.select(columns).slice(0, 1)
+    return pa.Table.from_arrays(
+        [*head.columns, *lists, pa.array([made[3]], pa.int64())],
+        names=[*columns, "_first", "_carry", "_closed", "_total"],
+    )
+
+
+def _with_states(table: pa.Table, columns: list[str], states: list[tuple]) -> pa.Table:
+    held, count = (pa.array([s[i] for s in states], pa.int64()) for i in (0, 1))
+    return pa.Table.from_arrays(
+        [*table.select(columns).columns, held, count], names=[*columns, "_held", "_count"]
+    )
+
+
 def _walk(parts: list[tuple], limit: int, held: int, count: int):
     """State before each part when they are passed in order."""
     states = []
@@ -124,18 +143,16 @@ def assign_batches(
     slim = sliced.select(*keys, "_slice", *order, F.col(size).cast("bigint").alias("_size"), "_force")
     types = dict(sliced.dtypes)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    order_by = list(order)
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by)
-        made = _summarise(pdf["_size"].to_numpy("i8"), pdf["_force"].to_numpy(bool), limit)
-        head = pdf.iloc[:1][[*keys, "_slice"]].reset_index(drop=True)
-        for name, value in zip(("_first", "_carry", "_closed", "_total"), made):
-            head[name] = [value]
-        return head
+    sort_keys = [(c, "ascending") for c in order]
+
+    def summarise(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(sort_keys)
+        made = _summarise(rows["_size"].to_numpy(), rows["_force"].to_numpy(), limit)
+        return _summary_row(rows, [*keys, "_slice"], made)
 
     summaries = materialise(
-        slim.groupBy(*keys, "_slice").applyInPandas(
+        slim.groupBy(*keys, "_slice").applyInArrow(
             summarise, f"{key_ddl}, _slice bigint, {_SUMMARY}"
         ),
         "batch-slices",
@@ -143,67 +160,54 @@ def assign_batches(
     # Dense slice numbers per key are not needed: blocks follow the slice order.
     blocked = summaries.withColumn("_block", F.floor(F.col("_slice") / slices_per_block))
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_slice")
-        made = _compose(_parts(pdf), limit)
-        head = pdf.iloc[:1][[*keys, "_block"]].reset_index(drop=True)
-        for name, value in zip(("_first", "_carry", "_closed", "_total"), made):
-            head[name] = [value]
-        return head
+    def compose(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_slice")
+        return _summary_row(rows, [*keys, "_block"], _compose(_parts(rows), limit))
 
-    blocks = blocked.groupBy(*keys, "_block").applyInPandas(
+    blocks = blocked.groupBy(*keys, "_block").applyInArrow(
         compose, f"{key_ddl}, _block bigint, {_SUMMARY}"
     )
 
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        states = _walk(_parts(pdf), limit, 0, 0)
-        out = pdf[[*keys, "_block"]].copy()
-        out["_held"] = [h for h, _ in states]
-        out["_count"] = [n for _, n in states]
-        return out
+    def chain(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_block")
+        return _with_states(rows, [*keys, "_block"], _walk(_parts(rows), limit, 0, 0))
 
-    entered = blocks.groupBy(*keys).applyInPandas(
+    entered = blocks.groupBy(*keys).applyInArrow(
         chain, f"{key_ddl}, _block bigint, _held bigint, _count bigint"
     )
 
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_slice")
-        states = _walk(_parts(pdf), limit, int(pdf["_held"].iloc[0]), int(pdf["_count"].iloc[0]))
-        out = pdf[[*keys, "_slice"]].copy()
-        out["_held"] = [h for h, _ in states]
-        out["_count"] = [n for _, n in states]
-        return out
+    def spread(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_slice")
+        entry = (rows["_held"][0].as_py(), rows["_count"][0].as_py())
+        return _with_states(rows, [*keys, "_slice"], _walk(_parts(rows), limit, *entry))
 
     states = (
         blocked.join(entered, [*keys, "_block"])
         .groupBy(*keys, "_block")
-        .applyInPandas(spread, f"{key_ddl}, _slice bigint, _held bigint, _count bigint")
+        .applyInArrow(spread, f"{key_ddl}, _slice bigint, _held bigint, _count bigint")
     )
 
     columns = [c for c in sliced.columns if c not in ("_slice", "_force")]
     ddl = ", ".join(f"`{c}` {types[c]}" for c in columns)
 
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order_by)
-        cum = np.cumsum(pdf[size].to_numpy("i8"))
-        mark = pdf["_force"].to_numpy(bool)
+    def number(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by(sort_keys)
+        cum = np.cumsum(rows[size].to_numpy())
+        mark = rows["_force"].to_numpy()
         following = _next_close(cum, mark, limit)
-        held = int(pdf["_held"].iloc[0])
-        certain = (cum + held >= limit) | mark
-        closes = np.zeros(len(pdf), dtype="i8")
-        at = int(np.argmax(certain)) if certain.any() else len(pdf)
-        while at < len(pdf):
+        certain = (cum + rows["_held"][0].as_py() >= limit) | mark
+        closes = np.zeros(len(cum), dtype="i8")
+        at = int(np.argmax(certain)) if certain.any() else len(cum)
+        while at < len(cum):
             closes[at] = 1
             at = int(following[at])
-        out = pdf[columns].copy()
-        out["batch_id"] = int(pdf["_count"].iloc[0]) + np.cumsum(closes) - closes
-        return out
+        batch = rows["_count"][0].as_py() + np.cumsum(closes) - closes
+        return rows.select(columns).append_column("batch_id", pa.array(batch, pa.int64()))
 
     return (
         sliced.join(states, [*keys, "_slice"])
         .groupBy(*keys, "_slice")
-        .applyInPandas(number, f"{ddl}, batch_id bigint")
+        .applyInArrow(number, f"{ddl}, batch_id bigint")
     )
 
 

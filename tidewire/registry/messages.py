@@ -236,7 +236,7 @@ def payload_kind_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "payload_generate",
-    """WITH RECURSIVE texts(n, at, total) AS (
+    """WITH RECURSIVE texts(n, pos, total) AS (
          SELECT 0, 0, 5 UNION ALL
          SELECT n + 1, total, total + 4 + strlen(total::VARCHAR) FROM texts WHERE total < 2000),
        m AS (
@@ -251,8 +251,8 @@ def payload_kind_map(spark: SparkSession, sf_dir: str) -> DataFrame:
        h AS (
          SELECT *, CASE kind WHEN 0 THEN 1 WHEN 1 THEN size ELSE size - nd * 8 - sb END AS nb FROM g),
        strs AS (
-         SELECT sb, string_agg(left('str_' || at, LEAST(strlen('str_' || at), sb - at)), '|' ORDER BY at) AS strings
-         FROM (SELECT DISTINCT sb FROM g WHERE sb IS NOT NULL) JOIN texts ON at < sb GROUP BY sb)
+         SELECT sb, string_agg(left('str_' || pos, LEAST(strlen('str_' || pos), sb - pos)), '|' ORDER BY pos) AS strings
+         FROM (SELECT DISTINCT sb FROM g WHERE sb IS NOT NULL) JOIN texts ON pos < sb GROUP BY sb)
        SELECT event_id, CASE kind WHEN 0 THEN p || ':__END__' ELSE p || '-' || seq END AS message_id,
               kind::BIGINT AS kind, nb::BIGINT AS n_bytes,
               md5(CASE kind WHEN 0 THEN 'FF'
@@ -375,12 +375,13 @@ term AS (
 need AS (
   SELECT scenario, tech, run, container,
          CASE WHEN tech = 'alpha' THEN count(DISTINCT topic) ELSE count(*) END AS n
-  FROM term GROUP BY ALL),
+  FROM term GROUP BY scenario, tech, run, container),
 nth AS (
   SELECT *, row_number() OVER (PARTITION BY scenario, tech, run, container ORDER BY us) AS i FROM term)""",
         """SELECT scenario, tech, run, tech || '-' || container AS container_name, n AS n_subscribed,
                   count(*) AS n_seen, min(CASE WHEN i >= n THEN us END) AS completed_us
-           FROM nth JOIN need USING (scenario, tech, run, container) GROUP BY ALL""",
+           FROM nth JOIN need USING (scenario, tech, run, container)
+           GROUP BY scenario, tech, run, container, n""",
     ),
 )
 def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
