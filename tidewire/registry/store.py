@@ -1 +1,82 @@
-"""Placeholder."""
+"""Round trips through the sinks and the metric store."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.plans import store
+from tidewire.plans.curves import curve_quality
+from tidewire.plans.throughput import throughput
+from tidewire.registry import register
+from tidewire.registry import sql_views as sql
+from tidewire.registry.events import events
+from tidewire.registry.resources import samples
+from tidewire.schemas import RESOURCE_COUNTERS, RUN
+from tidewire.session import scratch_path
+from tidewire.sources.event_log import read_event_log, write_event_log
+from tidewire.sources.resources import read_samples, write_samples
+
+
+@register(
+    "event_log_roundtrip",
+    sql.with_views(
+        sql.EVENTS,
+        """SELECT scenario, tech, run, container_name, us, event_type, message_id,
+                  logical_size, topic, serialized_size FROM ev WHERE tech = 'beta'""",
+    ),
+)
+def event_log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "event-log")
+    write_event_log(events(spark, sf_dir), path)
+    back = read_event_log(spark, path).filter(F.col("tech") == "beta")
+    return back.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
+
+
+@register(
+    "resource_roundtrip",
+    sql.with_views(
+        sql.RESOURCES,
+        f"""SELECT scenario, tech, run, source, us, {", ".join(RESOURCE_COUNTERS)}
+            FROM res WHERE run = 'r1'""",
+    ),
+)
+def resource_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "resource-samples")
+    write_samples(samples(spark, sf_dir), path)
+    back = read_samples(spark, path).filter(F.col("run") == "r1")
+    return back.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
+
+
+_CURVE_SCHEMA = (
+    "time_s bigint, throughput_mb_s double, scenario string, tech string, run string, event string"
+)
+
+
+@register(
+    "metric_store_roundtrip",
+    sql.with_views(
+        sql.curve(10),
+        """SELECT scenario, tech, run, lower(event_type) AS event, time_s,
+                  round(throughput_mb_s, 9) AS throughput_mb_s FROM curve""",
+    ),
+)
+def metric_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half the runs are stored first; the rest is computed on the second read."""
+    log = events(spark, sf_dir)
+    path = store.metric_path(scratch_path(spark, "metrics"), "throughput", window_s=10)
+
+    def compute(missing: DataFrame) -> DataFrame:
+        wanted = log.join(missing, RUN, "left_semi")
+        return store.with_event_label(throughput(wanted))
+
+    def valid(stored: DataFrame) -> DataFrame:
+        checked = curve_quality(stored, [*RUN, "event"])
+        return checked.groupBy(*RUN).agg(F.bool_and("valid").alias("ok")).filter("ok").select(*RUN)
+
+    keys = [*RUN, "event"]
+    runs = log.select(*RUN).distinct()
+    some = runs.filter(F.col("run") == "r0")
+    store.load_or_compute(spark, path, _CURVE_SCHEMA, some, compute, keys, valid)
+    full = store.load_or_compute(spark, path, _CURVE_SCHEMA, runs, compute, keys, valid)
+    return full.withColumn("throughput_mb_s", F.round("throughput_mb_s", 9))

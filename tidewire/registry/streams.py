@@ -1 +1,81 @@
-"""Placeholder."""
+"""Streaming queries, drained once and read back from their sink."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewire.plans.throughput import curve_from_buckets
+from tidewire.registry import register
+from tidewire.registry import sql_views as sql
+from tidewire.registry.tables import event_rows_from, messages_from, table
+from tidewire.schemas import DESERIALIZED, MESSAGE, PUBLICATION, SERIALIZING
+from tidewire.session import scratch_path
+from tidewire.sources.event_log import normalise_events
+from tidewire.streaming.latency import stream_pairs
+from tidewire.streaming.throughput import drain_buckets, read_buckets, stream_buckets
+from tidewire.streaming.topics import drain_to_parquet, file_stream, only_topics
+
+
+def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return messages_from(file_stream(spark, sf_dir, schema, "events.parquet"))
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalise_events(event_rows_from(_message_stream(spark, sf_dir)))
+
+
+@register(
+    "stream_topic_filter",
+    sql.with_views(
+        sql.MSG,
+        """SELECT scenario, tech, run, message_id, topic, sz FROM msg
+           WHERE topic IN ('view', 'purchase')""",
+    ),
+)
+def stream_topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    received = only_topics(_message_stream(spark, sf_dir), ["view", "purchase"])
+    path = scratch_path(spark, "topic-sink")
+    drain_to_parquet(received.select(*MESSAGE, "sz"), path, scratch_path(spark, "topic-checkpoint"))
+    return spark.read.schema(
+        "scenario string, tech string, run string, message_id string, topic string, sz bigint"
+    ).parquet(path)
+
+
+@register(
+    "stream_throughput",
+    sql.with_views(
+        sql.curve(10),
+        """SELECT scenario, tech, run, event_type, time_s,
+                  round(throughput_mb_s, 9) AS throughput_mb_s
+           FROM curve WHERE event_type IN ('Publication', 'Deserialized')""",
+    ),
+)
+def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stages that always report a size themselves."""
+    path = scratch_path(spark, "bucket-sink")
+    drain_buckets(
+        stream_buckets(_event_stream(spark, sf_dir)), path, scratch_path(spark, "bucket-checkpoint")
+    )
+    curve = curve_from_buckets(read_buckets(spark, path), 10, [PUBLICATION, DESERIALIZED])
+    return curve.withColumn("throughput_mb_s", F.round("throughput_mb_s", 9))
+
+
+@register(
+    "stream_latency_samples",
+    sql.with_views(
+        sql.EVENTS,
+        """SELECT a.scenario, a.tech, a.run, a.message_id, a.topic, a.container_name,
+                  a.us // 1000 AS t0_ms, greatest(b.us // 1000 - a.us // 1000, 0) AS latency_ms
+           FROM ev a JOIN ev b USING (scenario, tech, run, message_id, topic, container_name)
+           WHERE a.event_type = 'Serializing' AND b.event_type = 'Publication'""",
+    ),
+)
+def stream_latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = stream_pairs(
+        _event_stream(spark, sf_dir), _event_stream(spark, sf_dir), SERIALIZING, PUBLICATION, True
+    )
+    path = scratch_path(spark, "pair-sink")
+    drain_to_parquet(pairs, path, scratch_path(spark, "pair-checkpoint"))
+    return spark.read.schema(pairs.schema).parquet(path)

@@ -80,24 +80,20 @@ def read_run_directories(spark: SparkSession, base: str, **selection: Sequence[s
 
 
 def write_event_log(events: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned Parquet; later selections prune on the run keys.
+    """Parquet partitioned by the run keys, so later selections prune folders.
 
-    Rows of one run are spread over a few writers by message, so a hot run
-    neither sits in one task nor leaves one file per task and run.
+    The rebalance step gives each run as many writers as its size asks for.
+    With ``overwrite`` only the runs present in ``events`` are replaced.
     """
-    events.repartition(*[F.col(k) for k in RUN], F.pmod(F.xxhash64("message_id"), F.lit(16))).write.mode(
-        mode
-    ).option("partitionOverwriteMode", "dynamic").partitionBy(*RUN).parquet(path)
+    events.hint("rebalance", *RUN).write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*RUN).parquet(path)
 
 
 def read_event_log(spark: SparkSession, path: str) -> DataFrame:
-    """Events written by ``write_event_log``; filters on the keys prune folders."""
-    raw = (
-        spark.read.option("mergeSchema", True)
-        .option("inferSchema", False)
-        .parquet(path)
-    )
-    keyed = raw.select(
-        *[F.col(k).cast("string").alias(k) if k in RUN else F.col(k) for k in raw.columns]
-    )
-    return normalise_events(keyed)
+    """Events written by ``write_event_log``; key filters prune folders.
+
+    The schema is fixed, so run names that look like numbers stay text.
+    """
+    ddl = ", ".join([f"{n} {t}" for n, t in EVENT_COLUMNS.items()] + [f"{k} string" for k in RUN])
+    return normalise_events(spark.read.schema(ddl).parquet(path))

@@ -70,9 +70,9 @@ def write_samples(samples: DataFrame, path: str, mode: str = "overwrite") -> Non
     iso = F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")
     keys = [k for k in RUN if k in samples.columns]
     flat = samples.select(*keys, "source", iso, *RESOURCE_COUNTERS)
-    flat.repartition(*keys, "source").write.mode(mode).option("header", True).partitionBy(
-        *keys, "source"
-    ).csv(path)
+    flat.hint("rebalance", *keys, "source").write.mode(mode).option("header", True).option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy(*keys, "source").csv(path)
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
