@@ -114,18 +114,31 @@ def generated_strings(target: Column) -> Column:
     return F.flatten(F.transform(used, texts))
 
 
-def _periodic(n: Column, period: int, value) -> Column:
-    """``n`` bytes of a repeating pattern."""
-    pattern = F.array_join(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(period - 1)),
-            lambda i: F.lpad(F.hex(value(i.cast("bigint"))), 2, "0"),
-        ),
-        "",
-    )
+def _repeated(n: Column, period: int, pattern: Column) -> Column:
+    """``n`` bytes of a pattern of ``period`` bytes."""
     times = F.ceil(n / period).cast("int")
-    repeated = F.repeat(F.unhex(pattern).cast("string"), times).cast("binary")
-    return F.substr(repeated, F.lit(1), n.cast("int"))
+    return F.substr(
+        F.repeat(pattern.cast("string"), times).cast("binary"), F.lit(1), n.cast("int")
+    )
+
+
+def _flat_bytes(n: Column, seq: Column) -> Column:
+    """Byte i is i * seq modulo the period, so seq matters modulo the period only."""
+    patterns = F.array(
+        *[
+            F.lit(bytes(i * s % FLAT_PERIOD for i in range(FLAT_PERIOD)))
+            for s in range(FLAT_PERIOD)
+        ]
+    )
+    own = F.get(patterns, F.pmod(seq, F.lit(FLAT_PERIOD)).cast("int"))
+    return _repeated(n, FLAT_PERIOD, own)
+
+
+def _mixed_bytes(n: Column, seq: Column) -> Column:
+    """Byte i is i + seq modulo the period: one ramp, entered at seq."""
+    ramp = F.lit(bytes(i % COMPLEX_PERIOD for i in range(2 * COMPLEX_PERIOD)))
+    start = F.pmod(seq, F.lit(COMPLEX_PERIOD)).cast("int") + 1
+    return _repeated(n, COMPLEX_PERIOD, F.substr(ramp, start, F.lit(COMPLEX_PERIOD)))
 
 
 def generated_payload(publisher: Column, seq: Column, size: Column, kind: Column) -> Column:
@@ -136,8 +149,8 @@ def generated_payload(publisher: Column, seq: Column, size: Column, kind: Column
     n_doubles = F.floor(F.floor(size * F.lit(DOUBLE_SHARE)) / 8).cast("bigint")
     text_bytes = F.floor(size * F.lit(STRING_SHARE)).cast("bigint")
     rest = size.cast("bigint") - n_doubles * 8 - text_bytes
-    flat = _periodic(size.cast("bigint"), FLAT_PERIOD, lambda i: i * seq % FLAT_PERIOD)
-    mixed = _periodic(rest, COMPLEX_PERIOD, lambda i: (i + seq) % COMPLEX_PERIOD)
+    flat = _flat_bytes(size.cast("bigint"), seq)
+    mixed = _mixed_bytes(rest, seq)
     doubles = F.when(
         n_doubles > 0,
         F.transform(

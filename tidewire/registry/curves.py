@@ -29,7 +29,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     ),
 )
 def event_log_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = events(spark, sf_dir)
+    scanned = events(spark, sf_dir, text_time=True)
     return scanned.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
 
 
@@ -214,13 +214,13 @@ def curve_quality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.with_views(
         sql.LATENCY_STATS
         + """,
-seen AS (SELECT DISTINCT scenario, tech, run, segment FROM samples WHERE time_s >= 715)""",
+seen AS (SELECT DISTINCT scenario, tech, run, segment FROM samples WHERE latency_ms >= 100)""",
         """SELECT e.scenario, e.tech, e.run, e.segment FROM expected e
            ANTI JOIN seen USING (scenario, tech, run, segment)""",
     ),
 )
 def latency_quality_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments a table cut down to the last seconds of the runs no longer covers."""
+    """Segments a table cut down to slow samples no longer covers."""
     log = events(spark, sf_dir)
-    late = lat.segment_samples(log).filter(F.col("time_s") >= 715).select(*RUN, "segment").distinct()
-    return missing_segments(late, lat.expected_segments(run_bounds(log)), RUN)
+    slow = lat.segment_samples(log).filter("latency_ms >= 100").select(*RUN, "segment").distinct()
+    return missing_segments(slow, lat.expected_segments(run_bounds(log)), RUN)

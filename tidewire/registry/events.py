@@ -8,5 +8,5 @@ from tidewire.registry.tables import event_rows
 from tidewire.sources.event_log import normalise_events
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise_events(event_rows(spark, sf_dir))
+def events(spark: SparkSession, sf_dir: str, text_time: bool = False) -> DataFrame:
+    return normalise_events(event_rows(spark, sf_dir, text_time))

@@ -50,7 +50,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(odd, F.lit("   ")),
     ]
     return (
-        event_rows(spark, sf_dir)
+        event_rows(spark, sf_dir, text_time=True)
         .select(*RUN, "container_name", F.explode(F.array(*lines)).alias("line"))
         .filter(F.col("line").isNotNull())
     )

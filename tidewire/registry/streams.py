@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewire.plans.throughput import curve_from_buckets
 from tidewire.registry import register
 from tidewire.registry import sql_views as sql
-from tidewire.registry.tables import event_rows_from, messages_from, table
+from tidewire.registry.tables import event_rows_from, messages_from
 from tidewire.schemas import DESERIALIZED, MESSAGE, PUBLICATION, SERIALIZING
 from tidewire.session import scratch_path
 from tidewire.sources.event_log import normalise_events
@@ -18,7 +18,7 @@ from tidewire.streaming.topics import drain_to_parquet, file_stream, only_topics
 
 
 def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = table(spark, sf_dir, "events").schema
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     return messages_from(file_stream(spark, sf_dir, schema, "events.parquet"))
 
 

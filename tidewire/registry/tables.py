@@ -6,7 +6,7 @@ one-second hops and ten-second windows are meaningful.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ORIGIN_US = 1_704_067_200_000_000
@@ -14,49 +14,47 @@ COMPRESSION = 3600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def _us(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that fits one split, dealt out to all cores.
 
+    Every event fans out to several rows of work, which one task would do
+    alone. A table with at least as many splits as cores is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
 
-def _run_keys() -> list[Column]:
-    user = F.col("user_id")
-    return [
-        F.lit("demo").alias("scenario"),
-        F.when(user % 2 == 0, "alpha").otherwise("beta").alias("tech"),
-        F.when(F.floor(user / 2) % 2 == 0, "r0").otherwise("r1").alias("run"),
-    ]
-
-
-def _compressed_us() -> Column:
-    return F.lit(ORIGIN_US) + F.expr(f"({_US_SQL} - {ORIGIN_US}) div {COMPRESSION}")
 
-
-_US_SQL = "unix_micros(cast(ts as timestamp))"
+_RUN_SQL = [
+    "'demo' AS scenario",
+    "if(user_id % 2 = 0, 'alpha', 'beta') AS tech",
+    "if((user_id div 2) % 2 = 0, 'r0', 'r1') AS run",
+]
+_TIME_SQL = (
+    f"{ORIGIN_US} + (unix_micros(cast(ts AS timestamp)) - {ORIGIN_US}) div {COMPRESSION}"
+)
 
 
 def messages_from(events: DataFrame) -> DataFrame:
-    publisher = F.concat(F.lit("P"), (F.col("user_id") % 3).cast("string"))
-    base = events.select(
+    """One row per message of the event table."""
+    base = events.selectExpr(
         "event_id",
-        *_run_keys(),
-        publisher.alias("p"),
-        F.concat(publisher, F.lit("-"), F.col("event_id").cast("string")).alias("message_id"),
-        F.col("event_type").alias("topic"),
-        F.round(F.col("value") * 1000).cast("bigint").alias("l"),
-        _compressed_us().alias("t0"),
+        *_RUN_SQL,
+        "concat('P', user_id % 3) AS p",
+        "concat('P', user_id % 3, '-', event_id) AS message_id",
+        "event_type AS topic",
+        "cast(round(value * 1000) AS bigint) AS l",
+        f"{_TIME_SQL} AS t0",
     )
-    return base.select(
+    return base.selectExpr(
         "*",
-        (F.col("l") + F.length("message_id") + 11).cast("bigint").alias("sz"),
-        (
-            F.col("t0")
-            + (F.col("event_id") * 7919 % 23) * 1000
-            + F.col("event_id") % 997
-        ).alias("t1"),
-        (F.col("event_id") % 211 == 0).alias("err"),
+        "cast(l + length(message_id) + 11 AS bigint) AS sz",
+        "t0 + (event_id * 7919 % 23) * 1000 + event_id % 997 AS t1",
+        "event_id % 211 = 0 AS err",
     )
 
 
@@ -64,78 +62,53 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages_from(table(spark, sf_dir, "events"))
 
 
-def event_rows_from(msg: DataFrame) -> DataFrame:
-    """Raw event log rows: string times, some sizes missing, errors included."""
-    alpha = F.col("tech") == "alpha"
-    none = F.lit(None).cast("bigint")
-    publisher = F.concat_ws("-", "tech", "p")
+def _stage(kind: str, container: str, us: str, logical: str, size: str) -> str:
+    return (
+        f"named_struct('event_type', {kind}, 'container_name', {container}, 'us', {us}, "
+        f"'logical_size', cast({logical} AS bigint), 'serialized_size', cast({size} AS bigint))"
+    )
 
-    def stage(kind: Column, name: Column, us: Column, logical: Column, size: Column) -> Column:
-        return F.struct(
-            kind.alias("event_type"),
-            name.alias("container_name"),
-            us.alias("us"),
-            logical.alias("logical_size"),
-            size.alias("serialized_size"),
-        )
 
+def event_rows_from(msg: DataFrame, text_time: bool = False) -> DataFrame:
+    """Raw event log rows: some sizes missing, failed sends included.
+
+    The time is a timestamp, or text as a log file holds it.
+    """
+    publisher = "concat(tech, '-', p)"
     stages = [
-        stage(F.lit("Serializing"), publisher, F.col("t0"), none, none),
-        stage(
-            F.when(F.col("err"), "DeliveryError").otherwise("Publication"),
+        _stage("'Serializing'", publisher, "t0", "null", "null"),
+        _stage(
+            "if(err, 'DeliveryError', 'Publication')",
             publisher,
-            F.col("t1"),
-            F.when(alpha, F.lit(-1)).otherwise(F.col("l")).cast("bigint"),
-            F.col("sz"),
+            "t1",
+            "if(tech = 'alpha', -1, l)",
+            "sz",
         ),
     ]
     for c in (0, 1):
-        consumer = F.concat(F.col("tech"), F.lit(f"-C{c}"))
-        t2 = F.col("t1") + ((F.col("event_id") * 104729 + c * 31) % 400 - 5) * 1000
-        decoded = alpha & ~F.col("err") & (F.col("event_id") % 97 != 0)
+        consumer = f"concat(tech, '-C{c}')"
+        t2 = f"(t1 + ((event_id * 104729 + {c} * 31) % 400 - 5) * 1000)"
+        received = _stage(
+            "'Reception'", consumer, t2, "if(tech = 'beta', l, null)", "if(tech = 'beta', sz, null)"
+        )
+        decoded = _stage("'Deserialized'", consumer, f"{t2} + (event_id % 11) * 1000", "l", "sz")
         stages += [
-            F.when(
-                ~F.col("err"),
-                stage(
-                    F.lit("Reception"),
-                    consumer,
-                    t2,
-                    F.when(~alpha, F.col("l")),
-                    F.when(~alpha, F.col("sz")),
-                ),
-            ),
-            F.when(
-                decoded,
-                stage(
-                    F.lit("Deserialized"),
-                    consumer,
-                    t2 + (F.col("event_id") % 11) * 1000,
-                    F.col("l"),
-                    F.col("sz"),
-                ),
-            ),
+            f"if(NOT err, {received}, null)",
+            f"if(tech = 'alpha' AND NOT err AND event_id % 97 <> 0, {decoded}, null)",
         ]
+    time = "timestamp_micros(s.us)"
+    if text_time:
+        time = f"date_format({time}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    columns = ["event_id", "scenario", "tech", "run", "message_id", "topic"]
     return (
-        msg.select(
-            "event_id",
-            "scenario",
-            "tech",
-            "run",
-            "message_id",
-            "topic",
-            F.explode(F.array(*stages)).alias("s"),
-        )
-        .filter(F.col("s").isNotNull())
-        .select("event_id", "scenario", "tech", "run", "message_id", "topic", "s.*")
-        .withColumn(
-            "timestamp",
-            F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss.SSSSSS"),
-        )
+        msg.selectExpr(*columns, f"explode(array({', '.join(stages)})) AS s")
+        .where("s IS NOT NULL")
+        .selectExpr(*columns, "s.*", f"{time} AS timestamp")
     )
 
 
-def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_rows_from(messages(spark, sf_dir))
+def event_rows(spark: SparkSession, sf_dir: str, text_time: bool = False) -> DataFrame:
+    return event_rows_from(messages(spark, sf_dir), text_time)
 
 
 def termination_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,68 +116,53 @@ def termination_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     msg = messages(spark, sf_dir)
     last = msg.groupBy("scenario", "tech", "run").agg(F.max("t0").alias("last_us"))
     streams = msg.select("scenario", "tech", "run", "p", "topic").distinct()
-    message_id = F.concat("p", F.lit(":__END__"))
-    base = streams.join(last, ["scenario", "tech", "run"]).select(
-        "scenario",
-        "tech",
-        "run",
-        "p",
-        "topic",
-        message_id.alias("message_id"),
-        (F.col("last_us") + 1_000_000 + F.length("topic") * 1000).alias("t0"),
+    closing = [("Serializing", "p", 0), ("Publication", "p", 1)]
+    for c in ("'C0'", "'C1'"):
+        closing += [("Reception", c, 2), ("Deserialized", c, 3)]
+    stages = ", ".join(
+        f"named_struct('event_type', '{kind}', 'who', {who}, 'ms', {ms})" for kind, who, ms in closing
     )
-    stages = [
-        F.struct(F.lit("Serializing").alias("event_type"), F.col("p").alias("who"), F.lit(0).alias("ms")),
-        F.struct(F.lit("Publication").alias("event_type"), F.col("p").alias("who"), F.lit(1).alias("ms")),
-    ]
-    for c in ("C0", "C1"):
-        stages += [
-            F.struct(F.lit("Reception").alias("event_type"), F.lit(c).alias("who"), F.lit(2).alias("ms")),
-            F.struct(F.lit("Deserialized").alias("event_type"), F.lit(c).alias("who"), F.lit(3).alias("ms")),
-        ]
-    return base.select("*", F.inline(F.array(*stages))).select(
+    base = streams.join(last, ["scenario", "tech", "run"]).selectExpr("*", f"inline(array({stages}))")
+    return base.selectExpr(
         "scenario",
         "tech",
         "run",
         "p",
         "topic",
-        "message_id",
+        "concat(p, ':__END__') AS message_id",
         "event_type",
-        F.concat_ws("-", "tech", "who").alias("container_name"),
-        (F.col("t0") + F.col("ms") * 1000).alias("us"),
-        F.lit(1).cast("bigint").alias("logical_size"),
-        (F.length("message_id") + 12).cast("bigint").alias("serialized_size"),
+        "concat(tech, '-', who) AS container_name",
+        "last_us + 1000000 + length(topic) * 1000 + ms * 1000 AS us",
+        "1L AS logical_size",
+        "cast(length(p) + 20 AS bigint) AS serialized_size",
     )
 
 
 def resource_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw resource samples with null counters and resets."""
-    events = table(spark, sf_dir, "events")
-    who = F.floor(F.col("user_id") / 4) % 5
-    label = (
-        F.when(who == 0, "P0").when(who == 1, "P1").when(who == 3, "C0").when(who == 4, "P2")
-    )
-    keyed = events.select("event_id", "value", *_run_keys(), label.alias("label"), _compressed_us().alias("us"))
-    cents = F.round(F.col("value") * 100).cast("bigint")
-    container = F.coalesce(
-        F.concat_ws("-", "tech", F.col("label")), F.lit("")
+    who = "(user_id div 4) % 5"
+    keyed = table(spark, sf_dir, "events").selectExpr(
+        "event_id",
+        "value",
+        *_RUN_SQL,
+        f"element_at(array('P0', 'P1', 'Broker', 'C0', 'P2'), cast({who} AS int) + 1) AS label",
+        f"{_TIME_SQL} AS us",
+        "cast(round(value * 100) AS bigint) AS cents",
     )
-    return keyed.select(
+    return keyed.selectExpr(
         "scenario",
         "tech",
         "run",
         "event_id",
-        F.when(F.col("label").isNull(), F.concat(F.lit("benchmark_"), F.col("tech"), F.lit("_broker")))
-        .otherwise(container)
-        .alias("container"),
+        "if(label = 'Broker', concat('benchmark_', tech, '_broker'), concat(tech, '-', label)) AS container",
         "us",
-        F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"),
-        (F.col("event_id") * 1_000_000).alias("cpu_usage_ns"),
-        F.col("value").alias("cpu_usage_perc"),
-        (cents * 10485).alias("memory_usage"),
-        (F.col("event_id") % 100 * 1048576).alias("page_cache"),
-        (F.col("event_id") * 1500).alias("network_rx"),
-        (cents * 1000).alias("network_tx"),
-        F.when(F.col("event_id") % 13 != 0, F.col("event_id") * 4096).alias("disk_read"),
-        (F.col("event_id") * 2048).alias("disk_write"),
+        "date_format(timestamp_micros(us), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\") AS timestamp",
+        "event_id * 1000000 AS cpu_usage_ns",
+        "value AS cpu_usage_perc",
+        "cents * 10485 AS memory_usage",
+        "event_id % 100 * 1048576 AS page_cache",
+        "event_id * 1500 AS network_rx",
+        "cents * 1000 AS network_tx",
+        "if(event_id % 13 <> 0, event_id * 4096, null) AS disk_read",
+        "event_id * 2048 AS disk_write",
     )
