@@ -71,10 +71,16 @@ def run_file_glob(
 
 
 def read_run_directories(spark: SparkSession, base: str, **selection: Sequence[str]) -> DataFrame:
-    """Events of ``logs*/scenario/tech/run`` folders, unselected runs never listed."""
-    raw = spark.read.option("mergeSchema", True).parquet(
-        run_file_glob(base, "parquet", **selection)
-    )
+    """Events of ``logs*/scenario/tech/run`` folders, unselected runs never listed.
+
+    The columns are declared, not merged from every footer: a column a file
+    lacks reads as null, and a size column without any value (stored without a
+    type) as null too. Only the form of the times is looked up, in one file.
+    """
+    pattern = run_file_glob(base, "parquet", **selection)
+    stored = dict(spark.read.parquet(pattern).dtypes).get("timestamp", "string")
+    kinds = dict(EVENT_COLUMNS, timestamp=stored if stored.startswith("timestamp") else "string")
+    raw = spark.read.schema(", ".join(f"{n} {t}" for n, t in kinds.items())).parquet(pattern)
     keyed = raw.select("*", *run_keys_from_path(F.col("_metadata.file_path")))
     return normalise_events(keyed, ["logs_root", *RUN])
 
