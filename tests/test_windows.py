@@ -62,9 +62,10 @@ def test_batches_equal_the_sequential_rule(spark, seed, limit, top, width, per_b
         ["seq"],
         "size",
         limit,
-        slice_of=F.floor(F.col("seq") / width),
         forced=F.col("force"),
+        rows_per_slice=width,
         slices_per_block=per_block,
+        slice_us=37,
     )
     assert {(r["k"], r["seq"]): r["batch_id"] for r in got.collect()} == plain_batches(rows, limit)
     summary = summarise_batches(got, ["k"], "seq", "size").collect()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.operators.sliced_window import with_previous
 from tidewire.session import materialise
 
 _FORCED = 2**62
@@ -128,26 +129,42 @@ def assign_batches(
     order: Sequence[str],
     size: str,
     limit: int,
-    slice_of: Column,
     forced: Column | None = None,
+    rows_per_slice: int = 50_000,
     slices_per_block: int = 256,
+    slice_us: int = 1_000_000,
 ) -> DataFrame:
     """Add ``batch_id``, counted from 0 within each key.
 
-    ``slice_of`` is a whole number that never falls along ``order``; it should
-    leave some ten thousand rows per key and slice. Keys must not be null.
+    ``order`` starts with a time in microseconds and must tell all rows of a key
+    apart; ``size`` is a bigint. Rows are numbered along the key first, so a
+    slice never holds more than ``rows_per_slice`` of them, however many fall
+    into one second. Keys must not be null.
     """
     keys = list(keys)
+    columns = list(rows.columns)
     force = F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
-    sliced = rows.withColumn("_slice", slice_of.cast("bigint")).withColumn("_force", force)
-    slim = sliced.select(*keys, "_slice", *order, F.col(size).cast("bigint").alias("_size"), "_force")
+    numbered = with_previous(
+        rows.withColumn("_force", force),
+        keys,
+        order[0],
+        list(order[1:]),
+        [order[0]],
+        ordinal="_nth",
+        slice_us=slice_us,
+    ).select(*columns, "_force", "_nth")
+    sliced = materialise(
+        numbered.withColumn(
+            "_slice", F.floor((F.col("_nth") - 1) / rows_per_slice).cast("bigint")
+        ),
+        "batch-rows",
+    )
+    slim = sliced.select(*keys, "_slice", "_nth", F.col(size).alias("_size"), "_force")
     types = dict(sliced.dtypes)
     key_ddl = ", ".join(f"`{k}` {types[k]}" for k in keys)
 
-    sort_keys = [(c, "ascending") for c in order]
-
     def summarise(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(sort_keys)
+        rows = rows.sort_by("_nth")
         made = _summarise(rows["_size"].to_numpy(), rows["_force"].to_numpy(), limit)
         return _summary_row(rows, [*keys, "_slice"], made)
 
@@ -157,7 +174,6 @@ def assign_batches(
         ),
         "batch-slices",
     )
-    # Dense slice numbers per key are not needed: blocks follow the slice order.
     blocked = summaries.withColumn("_block", F.floor(F.col("_slice") / slices_per_block))
 
     def compose(rows: pa.Table) -> pa.Table:
@@ -187,11 +203,10 @@ def assign_batches(
         .applyInArrow(spread, f"{key_ddl}, _slice bigint, _held bigint, _count bigint")
     )
 
-    columns = [c for c in sliced.columns if c not in ("_slice", "_force")]
     ddl = ", ".join(f"`{c}` {types[c]}" for c in columns)
 
     def number(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by(sort_keys)
+        rows = rows.sort_by("_nth")
         cum = np.cumsum(rows[size].to_numpy())
         mark = rows["_force"].to_numpy()
         following = _next_close(cum, mark, limit)

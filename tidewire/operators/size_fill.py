@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,15 +41,19 @@ def _fill_rule() -> Column:
     )
 
 
-def recovered_sizes(events: DataFrame) -> DataFrame:
+def recovered_sizes(events: DataFrame, event_types: Sequence[str] | None = None) -> DataFrame:
     """Only the rows that lacked a size, with the size found for them.
 
+    ``event_types`` limits the rows, not the stages sizes are taken from.
+
     Rows that already have a size never reach this join, and rows without a
     topic cannot match, so neither is shuffled. The lookup side holds one row
     per message, which lets adaptive execution split a hot message on the
     event side.
     """
     missing = events.filter(F.col("serialized_size").isNull() & F.col("topic").isNotNull())
+    if event_types is not None:
+        missing = missing.filter(F.col("event_type").isin(*event_types))
     return (
         missing.drop("serialized_size")
         .join(size_lookup(events), MESSAGE, "left")

@@ -37,7 +37,7 @@ def _stats(hist: DataFrame) -> DataFrame:
 def latency_stats(events: DataFrame) -> DataFrame:
     """Percentiles per run and segment; a segment without samples gives nulls."""
     stages = materialise(message_stages(events), "message-stages")
-    bounds = stage_bounds(stages)
+    bounds = materialise(stage_bounds(stages), "run-bounds")
     hist = (
         weighted_pairs(events, stages)
         .groupBy(*RUN, "segment", "latency_ms")
@@ -50,7 +50,9 @@ def latency_stats(events: DataFrame) -> DataFrame:
 def segment_samples(events: DataFrame) -> DataFrame:
     """Samples as (segment, start second of the run, latency) with their count."""
     stages = materialise(message_stages(events), "message-stages")
-    bounds = stage_bounds(stages)
+    # Written first, so its size is known and the join below needs no shuffle
+    # of the pairs by run unless there are very many runs.
+    bounds = materialise(stage_bounds(stages), "run-bounds")
     timed = (
         weighted_pairs(events, stages)
         .join(bounds.select(*RUN, "start_ms"), RUN)
@@ -73,7 +75,9 @@ def latency_trimmed(events: DataFrame, start_s: int = 5, end_s: int = 5) -> Data
     if start_s == 0 and end_s == 0:
         return latency_stats(events)
     samples = materialise(segment_samples(events), "segment-samples")
-    last = samples.groupBy(*RUN).agg((F.max("time_s") - end_s).alias("last_s"))
+    last = materialise(
+        samples.groupBy(*RUN).agg((F.max("time_s") - end_s).alias("last_s")), "run-ends"
+    )
     hist = (
         samples.join(last, RUN)
         .filter(F.col("time_s").between(F.lit(start_s), F.col("last_s")))

@@ -17,9 +17,12 @@ DEFAULT_WINDOW_S = 10
 DEFAULT_TRIM_S = 5
 
 
-def second_buckets(events: DataFrame) -> DataFrame:
+def second_buckets(events: DataFrame, event_types: Sequence[str] | None = None) -> DataFrame:
     """Bytes per (run, event type, epoch second), sizes filled.
 
+    Sizes are looked up for the named event types only; the others are still
+    counted with the sizes they report and for the run start.
+
     Rows with their own size are summed where they are read; only rows that
     lack one go through the size lookup. ``first_ms`` is the earliest event of
     the bucket, sized or not, so the run start needs no second scan.
@@ -31,7 +34,7 @@ def second_buckets(events: DataFrame) -> DataFrame:
         F.unix_millis(F.min("timestamp")).alias("first_ms"),
     )
     found = (
-        recovered_sizes(events)
+        recovered_sizes(events, event_types)
         .filter(F.col("serialized_size").isNotNull())
         .groupBy(*RUN, "event_type", second)
         .agg(
@@ -92,7 +95,7 @@ def throughput(
     event_types: Sequence[str] = THROUGHPUT_TYPES,
 ) -> DataFrame:
     """Throughput curve of every run and requested event type in one job."""
-    buckets = materialise(second_buckets(events), "second-buckets")
+    buckets = materialise(second_buckets(events, event_types), "second-buckets")
     return curve_from_buckets(buckets, window_s, event_types)
 
 

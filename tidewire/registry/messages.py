@@ -333,9 +333,10 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
         ["t0", "event_id"],
         "sz",
         _BATCH_LIMIT,
-        slice_of=F.floor(F.col("t0") / 60_000_000),
         forced=F.col("err"),
+        rows_per_slice=5_000,
         slices_per_block=4,
+        slice_us=60_000_000,
     )
 
 

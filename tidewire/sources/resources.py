@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.labels import file_stem, source_label
 from tidewire.functions.lenient import parse_timestamp
 from tidewire.schemas import RESOURCE_COUNTERS, RUN
+from tidewire.session import materialise
 from tidewire.sources.event_log import run_file_glob, run_keys_from_path
 
 
@@ -46,7 +47,10 @@ def read_resource_files(spark: SparkSession, base: str, **selection: Sequence[st
         F.col("_metadata.file_path").alias("file"), F.rtrim("value", F.lit("\r")).alias("line")
     )
     is_header = F.col("line").startswith("timestamp,")
-    headers = lines.filter(is_header).groupBy("file").agg(F.min("line").alias("header"))
+    # One row per file; written first, so the join knows its size.
+    headers = materialise(
+        lines.filter(is_header).groupBy("file").agg(F.min("line").alias("header")), "csv-headers"
+    )
     cells = F.map_from_arrays(
         F.split("header", ","),
         F.slice(
