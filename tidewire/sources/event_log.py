@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +71,17 @@ def run_file_glob(
     )
 
 
+def any_file(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern matches anything; a selection may be empty."""
+    try:
+        spark.read.format("binaryFile").load(pattern)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_run_directories(spark: SparkSession, base: str, **selection: Sequence[str]) -> DataFrame:
     """Events of ``logs*/scenario/tech/run`` folders, unselected runs never listed.
 
@@ -78,6 +90,10 @@ def read_run_directories(spark: SparkSession, base: str, **selection: Sequence[s
     type) as null too. Only the form of the times is looked up, in one file.
     """
     pattern = run_file_glob(base, "parquet", **selection)
+    if not any_file(spark, pattern):
+        ddl = ", ".join(f"{k} string" for k in ("logs_root", *RUN))
+        ddl += ", " + ", ".join(f"{n} {t}" for n, t in EVENT_COLUMNS.items())
+        return spark.createDataFrame([], ddl)
     stored = dict(spark.read.parquet(pattern).dtypes).get("timestamp", "string")
     kinds = dict(EVENT_COLUMNS, timestamp=stored if stored.startswith("timestamp") else "string")
     raw = spark.read.schema(", ".join(f"{n} {t}" for n, t in kinds.items())).parquet(pattern)

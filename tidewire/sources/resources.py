@@ -11,7 +11,7 @@ from tidewire.functions.labels import file_stem, source_label
 from tidewire.functions.lenient import parse_timestamp
 from tidewire.schemas import RESOURCE_COUNTERS, RUN
 from tidewire.session import materialise
-from tidewire.sources.event_log import run_file_glob, run_keys_from_path
+from tidewire.sources.event_log import any_file, run_file_glob, run_keys_from_path
 
 
 def _counter(df: DataFrame, name: str) -> Column:
@@ -43,7 +43,12 @@ def read_resource_files(spark: SparkSession, base: str, **selection: Sequence[st
     Older files lack some columns, so values are matched to the header of
     their own file, not by position.
     """
-    lines = spark.read.text(run_file_glob(base, "csv", **selection)).select(
+    pattern = run_file_glob(base, "csv", **selection)
+    if not any_file(spark, pattern):
+        ddl = ", ".join(f"{k} string" for k in ("logs_root", *RUN, "source"))
+        ddl += ", timestamp timestamp, " + ", ".join(f"{c} double" for c in RESOURCE_COUNTERS)
+        return spark.createDataFrame([], ddl)
+    lines = spark.read.text(pattern).select(
         F.col("_metadata.file_path").alias("file"), F.rtrim("value", F.lit("\r")).alias("line")
     )
     is_header = F.col("line").startswith("timestamp,")
