@@ -30,7 +30,7 @@ def size_field(c: Column) -> Column:
 
     A value with a dot is cut towards zero, one without must be a whole number.
     """
-    plain = F.regexp_replace(c, "_", "")
+    plain = F.replace(c, F.lit("_"), F.lit(""))
     whole = F.when(c.rlike(r"^[+-]?\d+(_\d+)*$"), plain.try_cast("bigint"))
     dotted = F.when(
         c.rlike(r"^[+-]?(\d+(_\d+)*\.(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"),

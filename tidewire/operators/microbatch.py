@@ -149,7 +149,7 @@ def assign_batches(
         keys,
         order[0],
         list(order[1:]),
-        [order[0]],
+        [],
         ordinal="_nth",
         slice_us=slice_us,
     ).select(*columns, "_force", "_nth")

@@ -27,7 +27,7 @@ def with_previous(
     """Add ``prev_<c>`` for each carried column and, if named, a 1-based ordinal.
 
     Rows are ordered by ``time_us`` then ``tie`` inside each key. Keys must not
-    be null.
+    be null. With nothing to carry the slices are only counted.
     """
     order = [time_us, *tie]
     sliced = df.withColumn(
@@ -35,29 +35,23 @@ def with_previous(
         F.coalesce(F.floor(F.col(time_us) / slice_us).cast("bigint"), F.lit(_NO_TIME)),
     )
     local = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    here = sliced.withColumn("_rn", F.row_number().over(local)).withColumn(
-        "_prev", F.lag(F.struct(*carry)).over(local)
-    )
     chain = Window.partitionBy(*keys).orderBy("_slice")
     before = chain.rowsBetween(Window.unboundedPreceding, -1)
-    heads = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(
-            F.count(F.lit(1)).alias("_rows"),
-            F.max_by(F.struct(*carry), F.struct(*order)).alias("_last"),
-        )
-        .select(
-            *keys,
-            "_slice",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
-            F.lag("_last").over(chain).alias("_prior"),
+
+    here = sliced.withColumn("_rn", F.row_number().over(local))
+    summary = [F.count(F.lit(1)).alias("_rows")]
+    if carry:
+        here = here.withColumn("_prev", F.lag(F.struct(*carry)).over(local))
+        summary.append(F.max_by(F.struct(*carry), F.struct(*order)).alias("_last"))
+    totals = sliced.groupBy(*keys, "_slice").agg(*summary)
+    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    prior = [F.lag("_last").over(chain).alias("_prior")] if carry else []
+    out = here.join(totals.select(*keys, "_slice", offset, *prior), [*keys, "_slice"])
+    if carry:
+        prev = F.when(F.col("_rn") == 1, F.col("_prior")).otherwise(F.col("_prev"))
+        out = out.withColumn("_prev", prev).withColumns(
+            {f"prev_{c}": F.col(f"_prev.{c}") for c in carry}
         )
-    )
-    joined = here.join(heads, [*keys, "_slice"])
-    prev = F.when(F.col("_rn") == 1, F.col("_prior")).otherwise(F.col("_prev"))
-    out = joined.withColumn("_prev", prev)
-    for c in carry:
-        out = out.withColumn(f"prev_{c}", F.col(f"_prev.{c}"))
     if ordinal is not None:
         out = out.withColumn(ordinal, F.col("_offset") + F.col("_rn"))
     return out.drop("_slice", "_rn", "_prev", "_offset", "_prior")

@@ -82,7 +82,7 @@ def stream_completion(
         subscriptions.select(*keys, "topic").distinct(), [*keys, "topic"], "left_semi"
     )
     ordered = with_previous(
-        seen, keys, "us", ["topic", "message_id"], ["us"], ordinal="nth", slice_us=slice_us
+        seen, keys, "us", ["topic", "message_id"], [], ordinal="nth", slice_us=slice_us
     )
     done = (
         ordered.join(expected, keys)
