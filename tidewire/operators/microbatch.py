@@ -42,20 +42,23 @@ def _next_close(cum: np.ndarray, forced: np.ndarray, limit: int) -> np.ndarray:
 def _summarise(size: np.ndarray, forced: np.ndarray, limit: int):
     n = len(size)
     cum = np.cumsum(size)
-    following = _next_close(cum, forced, limit).tolist()
-    carry, closed = [0] * n, [1] * n
-    left = (cum[-1] - cum).tolist()
-    for i in range(n - 1, -1, -1):
-        j = following[i]
-        if j >= n:
-            carry[i] = left[i]
-        else:
-            carry[i], closed[i] = carry[j], closed[j] + 1
+    following = _next_close(cum, forced, limit)
+    # Last close of the chain that starts at each row, by doubling the steps.
+    more = following < n
+    end = np.where(more, following, np.arange(n))
+    closed = more.astype("i8")
+    while True:
+        further = end[end]
+        if np.array_equal(further, end):
+            break
+        closed = closed + closed[end]
+        end = further
+    carry, closed = cum[-1] - cum[end], closed + 1
     # Rows after the first certain close never close a carried batch.
     certain = (cum >= limit) | forced
     stop = int(np.argmax(certain)) + 1 if certain.any() else n
     reach = np.where(forced[:stop], _FORCED, cum[:stop])
-    return reach, np.array(carry[:stop]), np.array(closed[:stop]), int(cum[-1])
+    return reach, carry[:stop], closed[:stop], int(cum[-1])
 
 
 def _apply(first, carry, closed, total, limit, held, count):
