@@ -124,3 +124,5 @@ def test_workload_chunks_do_not_change_the_messages(spark):
     assert small == large and len(small) == 50
     assert {r[2] for r in small} == set(range(1, 26))
     assert {r[4] for r in small} == set(range(5))
+    timed = workload(pubs, chunk=4, first_seq=0).select("seq").distinct().collect()
+    assert {r["seq"] for r in timed} == set(range(25))

@@ -19,14 +19,16 @@ def workload(
     key: str = "scenario_id",
     seed: int = 0,
     chunk: int = CHUNK,
+    first_seq: int = 1,
 ) -> DataFrame:
     """The messages every publisher sends: numbered, sampled, one per topic.
 
-    Numbers run from 1. A publisher's messages are made in chunks spread over
+    Numbers run from 1 when messages are counted and from 0 when a duration
+    ends the run (``first_seq``). A publisher's messages are made in chunks spread over
     the cluster, so a large one is not a single row's array.
     """
-    first = F.col("chunk") * chunk + 1
-    last = F.least(F.col("n_messages"), (F.col("chunk") + 1) * chunk)
+    first = F.col("chunk") * chunk + first_seq
+    last = F.least(F.col("n_messages"), (F.col("chunk") + 1) * chunk) + (first_seq - 1)
     pick = F.shiftright((F.col("seq") + seed) * _PICK_FACTOR + _PICK_TERM, _PICK_SHIFT)
     return (
         publishers.filter(F.col("n_messages") > 0)

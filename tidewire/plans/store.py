@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewire.plans.curves import curve_quality
 from tidewire.schemas import RUN
+from tidewire.session import materialise
 
 
 def metric_path(root: str, name: str, **params: object) -> str:
@@ -46,15 +47,18 @@ def load_or_compute(
     ``curve_quality``.
     """
     check = is_valid or (lambda df: curve_quality(df, RUN).filter("valid").select(*RUN))
+    # The run lists are written first, so joins on them know their size and do
+    # not shuffle the events by run.
+    wanted = materialise(runs.select(*RUN).distinct(), "wanted-runs")
     try:
         stored = load_metric(spark, path, schema)
-        missing = runs.select(*RUN).distinct().join(check(stored), RUN, "left_anti")
-        complete = missing.isEmpty()
-    except AnalysisException:
-        missing, complete = runs.select(*RUN).distinct(), False
-    if not complete:
+        missing = materialise(wanted.join(check(stored), RUN, "left_anti"), "missing-runs")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        missing = wanted
+    if not missing.isEmpty():
         save_metric(compute(missing), path, keys)
-    wanted = runs.select(*RUN).distinct()
     return load_metric(spark, path, schema).join(wanted, RUN, "left_semi")
 
 
