@@ -39,10 +39,5 @@ def size_field(c: Column) -> Column:
     return F.coalesce(whole, dotted)
 
 
-def floor_ms(c: Column) -> Column:
-    """Epoch milliseconds, rounded down."""
-    return F.unix_millis(c)
-
-
 def nonnegative(c: Column) -> Column:
     return F.when(c < 0, F.lit(0)).otherwise(c)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidewire.schemas import KIND_COMPLEX, KIND_FLAT, KIND_TERMINATION, TERMINATION_SUFFIX
+from tidewire.schemas import KIND_COMPLEX, KIND_TERMINATION, TERMINATION_SUFFIX
 
 # Fixed values of the generated contents.
 FLAT_PERIOD = 251
@@ -198,7 +198,3 @@ def envelope(topic: Column, wire: Column) -> Column:
 def message_key(transport_key: Column, wire: Column) -> Column:
     """The transport's key, else the id inside the payload."""
     return F.coalesce(F.nullif(transport_key, F.lit("")), id_from_wire(wire))
-
-
-def default_kind() -> Column:
-    return F.lit(KIND_FLAT)

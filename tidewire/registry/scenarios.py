@@ -10,13 +10,7 @@ from tidewire.functions.ranges import expand_range
 from tidewire.plans import scenarios as sc
 from tidewire.registry import register
 from tidewire.registry.tables import table
-from tidewire.schemas import (
-    COMMON_DIMENSIONS,
-    EXCLUSIVE_COUNT,
-    EXCLUSIVE_TIME,
-    NETWORK_DIMENSIONS,
-    STRATEGY_DIMENSIONS,
-)
+from tidewire.schemas import EXCLUSIVE_COUNT, EXCLUSIVE_TIME
 from tidewire.sources.scenarios import parse_batch, parse_scenario
 
 
