@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import decontaminate, mixing, pii, token_counts
+from tidewire.llm import (
+    decontaminate,
+    exact_dedup,
+    language,
+    mixing,
+    pii,
+    token_counts,
+)
 from tidewire.session import scratch_path, use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,6 +133,35 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+@query
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of identical texts of every document."""
+    return exact_dedup.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op4_exact_dedup"] = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; one fold in four is not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = language.train(docs.where(~fold))
+    found = docs.select("doc_id", fold.alias("held_out"), language.identify(docs, "text", model).alias("r"))
+    return found.select(
+        "doc_id",
+        "held_out",
+        F.col("r.lang").alias("lang_pred"),
+        F.col("r.score").alias("score"),
+        language.rejected(F.col("r")).alias("rejected"),
+    )
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, counted through a cache that starts empty."""
