@@ -15,6 +15,7 @@ from tidewire.llm import (
     mixing,
     pii,
     token_counts,
+    token_files,
 )
 from tidewire.session import scratch_path, use_utc
 
@@ -146,6 +147,15 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, length and checksum of every document's ids, read back from the files."""
+    path = scratch_path(spark, "token-ids")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write_token_files(docs, public_tokenizers.path(BYTE_BPE), path)
+    return token_files.read_token_files(spark, path)
+
+
 @query
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; one fold in four is not learned from."""

@@ -31,7 +31,7 @@ def tokenizer_digest(path: str) -> str:
 class PieceEncoder:
     """Encodes batches of texts; ``limit`` bounds the pieces it remembers."""
 
-    def __init__(self, path: str, limit: int = 800_000):
+    def __init__(self, path: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
