@@ -14,6 +14,7 @@ from tidewire.llm import (
     language,
     mixing,
     pii,
+    quality,
     token_counts,
     token_files,
 )
@@ -147,6 +148,22 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; one fold in three is not learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    scored, name = quality.score(docs, quality.train(docs, labels))
+    value = F.col(name)["score"]
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        value.alias("score"),
+        F.when(value >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from the files."""
