@@ -16,6 +16,7 @@ from tidewire.llm import (
     near_dedup,
     pii,
     quality,
+    substring_dedup,
     token_counts,
     token_files,
 )
@@ -145,7 +146,8 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+'), []) AS w
+         'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+'), []) AS w
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[k : k + least(len(w), 5) - 1], ' ') AS shingle
@@ -223,6 +225,34 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside passages that an earlier document has."""
+    found = substring_dedup.find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.drop("spans")
+
+
+ORACLES["op8_substring_dedup"] = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 12], ' ') AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS s FROM w WHERE len(w) >= 13)
+), owner AS (SELECT win, min(doc_id) AS least FROM win GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS k
+  FROM win JOIN owner USING (win) WHERE least < doc_id
+), words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w),
+kept AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS text
+  FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 @query
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, counted through a cache that starts empty."""
