@@ -51,7 +51,10 @@ class _WaveletMatrix:
 
 
 class FMIndex:
-    """Index of a text of symbols 0 to ``size - 1``; 0 separates parts and is in no pattern."""
+    """Index of a text of symbols 0 to ``size - 1``.
+
+    0 separates parts, ends the text and is in no pattern.
+    """
 
     def __init__(self, text: np.ndarray, size: int):
         n = len(text)

@@ -128,29 +128,33 @@ def worth_verifying(
 
 
 def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, n_shingles, node, sketch, bands``; the last three are null for an empty set."""
+    """``doc_id, text_key, n_shingles, node, sketch, bands``; an empty set has no last three."""
+    body = text_or_empty(col(docs, text))
     rows = docs.select(
-        col(docs, doc_id).alias("doc_id"), text_or_empty(col(docs, text)).alias("text")
+        col(docs, doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text")
     )
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = shingle_sets(as_bytes(b.column(1)))
+            sets = shingle_sets(as_bytes(b.column(2)))
             sketches = [registers(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
+                    b.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([k if k is None else k.tobytes() for k in sketches], pa.binary()),
                     pa.array([k if k is None else band_keys(k) for k in sketches], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "node", "sketch", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "node", "sketch", "bands"],
             )
 
     return rows.mapInArrow(
-        run, f"doc_id {id_type}, n_shingles bigint, node binary, sketch binary, bands array<bigint>"
+        run,
+        f"doc_id {id_type}, text_key bigint, n_shingles bigint, node binary, sketch binary, "
+        "bands array<bigint>",
     )
 
 
@@ -298,6 +302,10 @@ def find_components(
     other; then it is the component's id and is kept. Repeated rows each give a row. Other columns
     are not looked at. An empty table gives no rows.
     """
+    return _with_components(docs, doc_id, text, percent).drop("text_key")
+
+
+def _with_components(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
     made = materialise(sketch_documents(docs, doc_id, text), "sketches")
     classes = materialise(
         made.where("node IS NOT NULL")
@@ -322,24 +330,30 @@ def find_components(
         )
     # Written, so that the join below is between plain shuffles and a hot class can be split.
     reach = materialise(reach, "reach")
-    out = made.select("doc_id", "n_shingles", "node").join(
+    out = made.select("doc_id", "text_key", "n_shingles", "node").join(
         reach.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left"
     )
     component_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
-    return out.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn(
-        "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
-    )
+    return out.select(
+        "doc_id", "text_key", "n_shingles", component_id.alias("component_id")
+    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
     """The rows of ``docs`` with one document of every component; all columns stay.
 
-    Rows that share the doc_id of a kept document are told apart by their text; of wholly equal
-    pairs of doc_id and text one row stays.
+    Of rows that are equal in doc_id and text one stays.
     """
-    found = find_components(docs, doc_id, text, percent)
-    key, copy = free_name(docs.columns, "kept_id"), free_name(docs.columns, "copy_number")
-    keep = found.where("kept").select(F.col("doc_id").alias(key)).distinct()
-    rows = docs.join(keep, col(docs, doc_id).eqNullSafe(F.col(key)), "left_semi")
-    same = Window.partitionBy(col(rows, doc_id), F.xxhash64(text_or_empty(col(rows, text)))).orderBy(F.lit(0))
+    found = _with_components(docs, doc_id, text, percent)
+    keep = found.where("kept").select(
+        F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text")
+    )
+    copy = free_name(docs.columns, "copy_number")
+    body = F.xxhash64(text_or_empty(col(docs, text)))
+    rows = docs.join(
+        keep.distinct(),
+        col(docs, doc_id).eqNullSafe(keep["kept_id"]) & (body == keep["kept_text"]),
+        "left_semi",
+    )
+    same = Window.partitionBy(col(rows, doc_id), body).orderBy(F.lit(0))
     return rows.withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1).drop(copy)

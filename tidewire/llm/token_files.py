@@ -177,13 +177,17 @@ def decode_group(records: list[tuple[int, int, int, bytes]]) -> Iterator[np.ndar
         yield ids
 
 
-def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
+def read_token_files(
+    spark: SparkSession, path: str, with_ids: bool = False, id_type: str = "bigint"
+) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` (and ``ids``) of every document in the files.
 
-    ``start`` counts the ids of all documents before it in all shards.
+    ``start`` counts the ids of all documents before it in all shards. ``id_type`` is the type of
+    the doc_ids that were written. A folder without records gives no rows.
     """
-    records = spark.read.parquet(path)
-    id_type = records.schema["doc_id"].dataType.simpleString()
+    records = spark.read.schema(
+        f"shard int, seq bigint, doc_id {id_type}, {_REST}, kind string"
+    ).parquet(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = (
         records.select(*_NAMES)

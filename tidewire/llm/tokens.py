@@ -146,9 +146,9 @@ def encoder(path: str) -> PieceEncoder:
 def in_slices(texts: list[str], chars: int = 4_000_000) -> list[list[str]]:
     """Runs of texts of about that many characters; a longer text stands alone."""
     out: list[list[str]] = []
-    held = chars
+    held = 0
     for t in texts:
-        if held + len(t) > chars:
+        if not out or held + len(t) > chars:
             out.append([])
             held = 0
         out[-1].append(t)
