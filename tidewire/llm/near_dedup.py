@@ -18,8 +18,8 @@ Scale, step by step:
   smaller components against all members of other components, until every pair of the bucket is
   joined, compared or had its turn. So no link is lost, and a group of near copies costs one or two
   comparisons per member.
-* Buckets are joined on their key with skewed keys split by adaptive execution; minima and counts
-  are combined before the shuffle.
+* Minima and counts are combined before the shuffle and written; joins with them are between plain
+  shuffles, whose skewed keys (a large bucket, a large component) adaptive execution splits.
 * Text moves once, for the representatives that need verification.
 """
 
@@ -222,6 +222,7 @@ def _links(
     """``node, label`` of all classes that have a link, or None."""
     rows = classes.select("node", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
+    sizes = materialise(sizes, "shared")
     rows = materialise(rows.join(sizes, "bucket"), "buckets")
     tested: DataFrame | None = None
     edges: DataFrame | None = None
@@ -240,6 +241,7 @@ def _links(
         else:
             counts = named.groupBy("bucket", "label").count()
             top = counts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
+            top = materialise(top, "top")
             pivots = (
                 named.join(top, "bucket")
                 .where(F.col("label") != F.col("top.label"))
@@ -280,12 +282,14 @@ def _links(
             )
         else:
             left = left.withColumn("label", F.col("node"))
+        left = materialise(left, "left")
         open_ = (
             left.groupBy("bucket")
             .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
             .where("lo != hi")
             .select("bucket")
         )
+        open_ = materialise(open_, "open")
         rows = materialise(left.select("bucket", "node").join(open_, "bucket"), "buckets")
         first = False
     return labels
@@ -322,8 +326,9 @@ def _with_components(docs: DataFrame, doc_id: str, text: str, percent: int) -> D
     reach = classes.select("node", "smallest")
     if labels is not None:
         # Only linked classes need their component's smallest doc_id.
-        linked = labels.join(reach, "node")
+        linked = materialise(labels.join(reach, "node"), "linked")
         component = linked.groupBy("label").agg(F.min("smallest").alias("least"))
+        component = materialise(component, "least")
         linked = linked.join(component, "label").select("node", "least")
         reach = reach.join(linked, "node", "left").select(
             "node", F.coalesce("least", "smallest").alias("smallest")
