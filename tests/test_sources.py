@@ -30,9 +30,11 @@ from tidewire.sources.logs import (
     level_counts,
     parse_study_lines,
     read_container_logs,
+    read_run_logs,
     runtime_config,
 )
-from tidewire.sources.resources import read_resource_files
+from tidewire.functions.ranges import double_text
+from tidewire.sources.resources import read_resource_files, unread_resource_files
 from tidewire.sources.scenarios import read_batches, read_scenarios
 from tidewire.sources.stats import cpu_percent, flatten_stats
 
@@ -226,6 +228,60 @@ def test_resource_files_of_two_ages(spark, tmp_path):
     assert len(got) == 3 and got[2][3:] == (0.0, 0.0)
 
 
+def test_resource_headers_in_any_order_and_quoting(spark, tmp_path):
+    for name, text in {
+        "s_t-P0.csv": "timestamp,network_rx\n2025-01-01T10:00:01,1\n",
+        "s_t-P1.csv": "network_rx,timestamp\n2,2025-01-01T10:00:01\nnetwork_rx,timestamp\n\n3,2025-01-01T10:00:02\n",
+        "s_t-P2.csv": '\ufeff"network_rx","note, ""x""","timestamp"\r\n"4","a, ""b""",2025-01-01T10:00:01\r\n',
+        "s_t-P3.csv": "network_rx,time\n5,2025-01-01T10:00:01\n",
+        "s_t-P4.csv": "",
+    }.items():
+        put(tmp_path / "logs" / "s" / "t" / "r" / name, text)
+    got = read_resource_files(spark, str(tmp_path)).collect()
+    assert all(r["timestamp"] is not None for r in got)
+    assert sorted((r["source"], r["network_rx"]) for r in got) == [("P0", 1), ("P1", 2), ("P1", 3), ("P2", 4)]
+    lost = {r["file"][-10:]: r["reason"] for r in unread_resource_files(spark, str(tmp_path)).collect()}
+    assert lost == {"s_t-P3.csv": "no timestamp column"} or lost == {
+        "s_t-P3.csv": "no timestamp column",
+        "s_t-P4.csv": "no header",
+    }
+    assert unread_resource_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_equal_containers_of_two_runs_keep_their_settings(spark, tmp_path):
+    head = "[CONFIG] 2025-01-01 10:00:00.000001,"
+    for run, value in (("r1", "one"), ("r2", "two")):
+        put(
+            tmp_path / "logs" / "s" / "t" / run / "c.log",
+            f"{head}[Client] [CONFIG_BEGIN]\n{head}[CONFIG] URL={value}\n{head}[CONFIG_END]\n",
+        )
+    got = runtime_config(read_run_logs(spark, str(tmp_path))).collect()
+    assert {(r["run"], r["container_name"], r["value"]) for r in got} == {("r1", "c", "one"), ("r2", "c", "two")}
+    assert runtime_config(read_run_logs(spark, str(tmp_path / "none"))).count() == 0
+
+
+def test_parts_with_other_fields_count(spark):
+    rows = [
+        ('{"cpu_stats": {"online_cpus": 4}, "memory_stats": {"limit": 1}}', 1),
+        ('{"cpu_stats": {}, "memory_stats": {"usage": 1}}', 2),
+        ('{"cpu_stats": {"system_cpu_usage": 5}, "memory_stats": { }}', 3),
+    ]
+    df = spark.createDataFrame(rows, "stats string, k int")
+    assert [(r["k"], r["memory_usage"]) for r in flatten_stats(df, ["k"]).collect()] == [(1, 0)]
+    two = spark.createDataFrame(
+        [("a", 0, 0, 0, 2), ("a", 1, 10, 40, 2), ("b", 0, 0, 0, 4), ("b", 1, 10, 40, 4)],
+        "k string, us bigint, cpu_usage_ns bigint, system_cpu_ns bigint, n int",
+    )
+    got = cpu_percent(two, ["k"], "us", [], F.col("n")).filter("us = 1").collect()
+    assert {r["k"]: r["cpu_usage_perc"] for r in got} == {"a": 50.0, "b": 100.0}
+
+
+def test_number_texts(spark):
+    values = [1e7, 1e-4, 0.1, 12345678.5, 1.5e-5, 1e16, 2.5e20, 1e-10, 123456789012345.6, -1e7, 0.00123, 3.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r["t"] for r in df.select(double_text(F.col("v")).alias("t")).collect()] == [str(v) for v in values]
+
+
 def test_run_without_producer_has_no_curve(spark):
     df = spark.createDataFrame(
         [("s", "t", "r", "Broker", datetime(2025, 1, 1))],

@@ -108,7 +108,24 @@ def is_whole_range(r: Column) -> Column:
     return whole
 
 
+def double_text(value: Column) -> Column:
+    """The shortest text of a double, with an exponent only below 1e-4 and from 1e16 on."""
+    java = value.cast("string")
+    plain = F.regexp_replace(java.cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
+    digits = F.regexp_replace(F.regexp_extract(java, r"^(.*)E", 1), r"\.0$", "")
+    power = F.regexp_extract(java, r"E(-?\d+)$", 1).cast("int")
+    sign = F.when(power < 0, "e-").otherwise("e+")
+    size = F.abs(power).cast("string")
+    padded = F.when(F.length(size) < 2, F.lpad(size, 2, "0")).otherwise(size)
+    small = (F.abs(value) < 1e-4) | (F.abs(value) >= 1e16)
+    return (
+        F.when(~java.contains("E"), java)
+        .when(small, F.concat(digits, sign, padded))
+        .otherwise(plain)
+    )
+
+
 def number_text(r: Column, value: Column) -> Column:
     return F.when(is_whole_range(r), value.cast("bigint").cast("string")).otherwise(
-        value.cast("string")
+        double_text(value)
     )

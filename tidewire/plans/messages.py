@@ -11,6 +11,8 @@ from tidewire.schemas import DESERIALIZED, RECEPTION, RUN, TERMINATION_SUFFIX
 CHUNK = 65536
 # A portable pseudo-random pick from the message number.
 _PICK_FACTOR, _PICK_TERM, _PICK_SHIFT = 1103515245, 12345, 16
+# Numbers wrap here, so that the product fits 64 bits however many messages there are.
+_PICK_RANGE = 1 << 31
 
 
 def workload(
@@ -29,7 +31,8 @@ def workload(
     """
     first = F.col("chunk") * chunk + first_seq
     last = F.least(F.col("n_messages"), (F.col("chunk") + 1) * chunk) + (first_seq - 1)
-    pick = F.shiftright((F.col("seq") + seed) * _PICK_FACTOR + _PICK_TERM, _PICK_SHIFT)
+    number = F.pmod(F.col("seq") + seed, F.lit(_PICK_RANGE))
+    pick = F.shiftright(number * _PICK_FACTOR + _PICK_TERM, _PICK_SHIFT)
     return (
         publishers.filter(F.col("n_messages") > 0)
         .select(

@@ -292,7 +292,7 @@ def payload_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_SCENARIOS},
         w AS (SELECT scenario_id, pub_id, topics, unnest(range(1, scenario_id % 40 + 2)) AS seq FROM pubs)
         SELECT scenario_id, pub_id, seq, pub_id || '-' || seq AS message_id,
-               ((seq * 1103515245 + 12345) >> 16) % 5 AS sample, unnest(topics) AS topic FROM w""",
+               ((seq % 2147483648 * 1103515245 + 12345) >> 16) % 5 AS sample, unnest(topics) AS topic FROM w""",
 )
 def workload_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     publishers = sc.publisher_configs(scenario_rows(spark, sf_dir)).withColumn(

@@ -56,7 +56,7 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stages that always report a size themselves."""
     path = scratch_path(spark, "bucket-sink")
     drain_buckets(
-        stream_buckets(_event_stream(spark, sf_dir)), path, scratch_path(spark, "bucket-checkpoint")
+        stream_buckets(_event_stream(spark, sf_dir), lateness="1 minute"), path, scratch_path(spark, "bucket-checkpoint")
     )
     curve = curve_from_buckets(read_buckets(spark, path), 10, [PUBLICATION, DESERIALIZED])
     return curve.withColumn("throughput_mb_s", F.round("throughput_mb_s", 9))
@@ -74,7 +74,14 @@ def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = stream_pairs(
-        _event_stream(spark, sf_dir), _event_stream(spark, sf_dir), SERIALIZING, PUBLICATION, True
+        _event_stream(spark, sf_dir),
+        _event_stream(spark, sf_dir),
+        SERIALIZING,
+        PUBLICATION,
+        True,
+        skew="5 seconds",
+        horizon="60 seconds",
+        lateness="60 seconds",
     )
     path = scratch_path(spark, "pair-sink")
     drain_to_parquet(pairs, path, scratch_path(spark, "pair-checkpoint"))

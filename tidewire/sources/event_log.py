@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,23 +83,56 @@ def any_file(spark: SparkSession, pattern: str) -> bool:
     return True
 
 
+def run_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The run folders that a file pattern reaches; files are listed, not opened."""
+    try:
+        listed = spark.read.format("binaryFile").load(pattern).select("path")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    return sorted(r["folder"] for r in listed.select(folder).distinct().collect())
+
+
+def _stored_types(spark: SparkSession, folder: str) -> str:
+    """Column declarations that fit how a run stores its events."""
+    stored = dict(spark.read.option("pathGlobFilter", "*.parquet").parquet(folder).dtypes)
+    plain = ("string", "tinyint", "smallint", "int", "bigint", "float", "double")
+    kinds = {}
+    for name, wanted in EVENT_COLUMNS.items():
+        have = stored.get(name, wanted)
+        known = have in plain or have.startswith(("timestamp", "decimal"))
+        kinds[name] = have if known else wanted
+    if not kinds["timestamp"].startswith("timestamp"):
+        kinds["timestamp"] = "string"
+    return ", ".join(f"{n} {t}" for n, t in kinds.items())
+
+
 def read_run_directories(spark: SparkSession, base: str, **selection: Sequence[str]) -> DataFrame:
     """Events of ``logs*/scenario/tech/run`` folders, unselected runs never listed.
 
     The columns are declared, not merged from every footer: a column a file
     lacks reads as null, and a size column without any value (stored without a
-    type) as null too. Only the form of the times is looked up, in one file.
+    type) as null too. Runs may differ in how they store times and sizes: one
+    footer of each run is looked up, runs of equal types are read together,
+    and all are cast leniently to the common types.
     """
     pattern = run_file_glob(base, "parquet", **selection)
-    if not any_file(spark, pattern):
+    folders = run_folders(spark, pattern)
+    if not folders:
         ddl = ", ".join(f"{k} string" for k in ("logs_root", *RUN))
         ddl += ", " + ", ".join(f"{n} {t}" for n, t in EVENT_COLUMNS.items())
         return spark.createDataFrame([], ddl)
-    stored = dict(spark.read.parquet(pattern).dtypes).get("timestamp", "string")
-    kinds = dict(EVENT_COLUMNS, timestamp=stored if stored.startswith("timestamp") else "string")
-    raw = spark.read.schema(", ".join(f"{n} {t}" for n, t in kinds.items())).parquet(pattern)
-    keyed = raw.select("*", *run_keys_from_path(F.col("_metadata.file_path")))
-    return normalise_events(keyed, ["logs_root", *RUN])
+    groups: dict[str, list[str]] = {}
+    for folder in folders:
+        groups.setdefault(_stored_types(spark, folder), []).append(folder)
+    parts = []
+    for ddl, members in sorted(groups.items()):
+        raw = spark.read.schema(ddl).option("pathGlobFilter", "*.parquet").parquet(*members)
+        keyed = raw.select("*", *run_keys_from_path(F.col("_metadata.file_path")))
+        parts.append(normalise_events(keyed, ["logs_root", *RUN]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def write_event_log(events: DataFrame, path: str, mode: str = "overwrite") -> None:

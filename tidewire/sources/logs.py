@@ -9,19 +9,22 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.labels import file_stem, level_of_line
 from tidewire.functions.lenient import size_field, trim_blanks
+from tidewire.schemas import RUN
+from tidewire.sources.event_log import any_file, run_file_glob, run_keys_from_path
 
 
-def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
+def read_container_logs(spark: SparkSession, path: str, keyed: bool = False) -> DataFrame:
     """Lines of one log file per container, in any encoding damage, with position.
 
     ``position`` orders the lines of a file: the offset of the file split, then
-    the reading order inside it. Unreadable files are skipped, like containers
-    whose log could not be collected.
+    the reading order inside it. With ``keyed`` the run keys are taken from the
+    folders. A file that cannot be read to its end fails the job; half a log
+    is never taken for a whole one.
     """
     return (
-        spark.read.option("ignoreCorruptFiles", True)
-        .text(path)
+        spark.read.text(path)
         .select(
+            *(run_keys_from_path(F.col("_metadata.file_path")) if keyed else []),
             file_stem(F.col("_metadata.file_path")).alias("container_name"),
             F.struct(
                 F.col("_metadata.file_block_start").alias("block"),
@@ -32,6 +35,20 @@ def read_container_logs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_run_logs(
+    spark: SparkSession, base: str, suffix: str = "log", **selection: Sequence[str]
+) -> DataFrame:
+    """Log lines of ``logs*/scenario/tech/run/*.<suffix>`` with the run keys of their folder."""
+    pattern = run_file_glob(base, suffix, **selection)
+    if not any_file(spark, pattern):
+        return spark.createDataFrame(
+            [],
+            ", ".join(f"{k} string" for k in ("logs_root", *RUN, "container_name"))
+            + ", position struct<block: bigint, row: bigint>, line string",
+        )
+    return read_container_logs(spark, pattern, keyed=True)
+
+
 def parse_study_lines(
     lines: DataFrame, keys: Sequence[str] = ("container_name",), level: str = "STUDY"
 ) -> DataFrame:
@@ -81,19 +98,24 @@ def level_counts(lines: DataFrame) -> DataFrame:
 SETTING_PATTERN = r"(?s)^.*\[CONFIG\] ([^=]+)=(.+)"
 
 
-def runtime_config(lines: DataFrame, container: str = "container_name") -> DataFrame:
+def runtime_config(lines: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
     """Settings between the begin and end tag of every container, last value wins.
 
+    A container is named by ``keys``: by default its name and, where ``lines``
+    has them, the run keys, so equal names of different runs stay apart.
+
     ``lines`` needs a ``position`` that orders a container's lines. Only lines
     with a tag or a setting take part, and both aggregates combine before the
     shuffle.
     """
+    if keys is None:
+        keys = [k for k in ("logs_root", *RUN) if k in lines.columns] + ["container_name"]
     line = F.col("line")
     is_begin = line.contains("[CONFIG_BEGIN]")
     is_end = line.contains("[CONFIG_END]") & ~is_begin
     block = (
         lines.filter(is_begin | is_end)
-        .groupBy(container)
+        .groupBy(*keys)
         .agg(
             F.min(F.when(is_begin, F.col("position"))).alias("begin"),
             F.min(F.when(is_end, F.col("position"))).alias("end"),
@@ -104,14 +126,14 @@ def runtime_config(lines: DataFrame, container: str = "container_name") -> DataF
     value = trim_blanks(F.regexp_extract("line", SETTING_PATTERN, 2))
     settings = (
         lines.filter(line.rlike(SETTING_PATTERN) & ~is_begin & ~is_end)
-        .select(container, "position", key.alias("key"), value.alias("value"))
+        .select(*keys, "position", key.alias("key"), value.alias("value"))
     )
     inside = (F.col("position") > F.col("begin")) & (
         F.col("end").isNull() | (F.col("position") < F.col("end"))
     )
     return (
-        settings.join(block, container)
+        settings.join(block, list(keys))
         .filter(inside)
-        .groupBy(container, "key")
+        .groupBy(*keys, "key")
         .agg(F.max_by("value", "position").alias("value"))
     )

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidewire.functions.labels import file_stem, source_label
 from tidewire.functions.lenient import parse_timestamp
 from tidewire.schemas import RESOURCE_COUNTERS, RUN
-from tidewire.session import materialise
 from tidewire.sources.event_log import any_file, run_file_glob, run_keys_from_path
 
 
@@ -37,40 +36,69 @@ def normalise_samples(
     )
 
 
+def _csv_cells(line: Column) -> Column:
+    """The cells of a CSV line; quoted cells may hold commas and doubled quotes."""
+    quoted = F.transform(
+        F.regexp_extract_all(line, F.lit(r'(?:^|,)("(?:[^"]|"")*"|[^,]*)'), F.lit(1)),
+        lambda c: F.when(
+            c.startswith('"') & c.endswith('"') & (F.length(c) >= 2),
+            F.regexp_replace(F.substr(c, F.lit(2), F.length(c) - 2), '""', '"'),
+        ).otherwise(c),
+    )
+    return F.when(line.contains('"'), quoted).otherwise(F.split(line, ","))
+
+
+def _resource_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """``file, header, lines`` of every file; a file is one container's samples of one run."""
+    text = F.regexp_replace("value", "^\ufeff", "")
+    return (
+        spark.read.text(pattern, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("file"), F.split(text, "\r?\n").alias("lines"))
+        .select("file", F.get("lines", F.lit(0)).alias("first"), "lines")
+        .select("file", "first", _csv_cells(F.col("first")).alias("header"), "lines")
+    )
+
+
+def unread_resource_files(spark: SparkSession, base: str, **selection: Sequence[str]) -> DataFrame:
+    """``file, reason`` of the CSV files whose samples cannot be placed in time."""
+    pattern = run_file_glob(base, "csv", **selection)
+    if not any_file(spark, pattern):
+        return spark.createDataFrame([], "file string, reason string")
+    empty = F.trim("first") == ""
+    return (
+        _resource_lines(spark, pattern)
+        .filter(~F.array_contains("header", "timestamp"))
+        .select("file", F.when(empty, "no header").otherwise("no timestamp column").alias("reason"))
+    )
+
+
 def read_resource_files(spark: SparkSession, base: str, **selection: Sequence[str]) -> DataFrame:
     """Samples of ``logs*/scenario/tech/run/*.csv``.
 
-    Older files lack some columns, so values are matched to the header of
-    their own file, not by position.
+    The first line of a file is its header, whichever column leads and however it is quoted;
+    values are matched to it by name, as older files lack some columns. Every file is read once, as
+    a whole: it holds one container's samples of one run. Files without a ``timestamp`` column are
+    those that ``unread_resource_files`` lists.
     """
     pattern = run_file_glob(base, "csv", **selection)
     if not any_file(spark, pattern):
         ddl = ", ".join(f"{k} string" for k in ("logs_root", *RUN, "source"))
         ddl += ", timestamp timestamp, " + ", ".join(f"{c} double" for c in RESOURCE_COUNTERS)
         return spark.createDataFrame([], ddl)
-    lines = spark.read.text(pattern).select(
-        F.col("_metadata.file_path").alias("file"), F.rtrim("value", F.lit("\r")).alias("line")
-    )
-    is_header = F.col("line").startswith("timestamp,")
-    # One row per file; written first, so the join knows its size.
-    headers = materialise(
-        lines.filter(is_header).groupBy("file").agg(F.min("line").alias("header")), "csv-headers"
-    )
-    cells = F.map_from_arrays(
-        F.split("header", ","),
-        F.slice(
-            F.concat(F.split("line", ","), F.array_repeat(F.lit(""), F.size(F.split("header", ",")))),
-            1,
-            F.size(F.split("header", ",")),
-        ),
-    )
+    line = F.col("line")
     rows = (
-        lines.filter(~is_header & (F.col("line") != ""))
-        .join(headers, "file")
-        .select("file", *run_keys_from_path(F.col("file")), cells.alias("cells"))
+        _resource_lines(spark, pattern)
+        .filter(F.array_contains("header", "timestamp"))
+        .select("file", "first", "header", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
+        # A writer that was started again repeats the header.
+        .filter((line != "") & (line != F.col("first")))
+        .select("file", *run_keys_from_path(F.col("file")), "header", _csv_cells(line).alias("cells"))
     )
-    columns = [F.try_element_at("cells", F.lit(c)).alias(c) for c in ("timestamp", *RESOURCE_COUNTERS)]
-    flat = rows.select("logs_root", *RUN, "file", *columns)
+
+    def cell(name: str) -> Column:
+        return F.get("cells", (F.array_position("header", name) - 1).cast("int")).alias(name)
+
+    flat = rows.select("logs_root", *RUN, "file", *[cell(c) for c in ("timestamp", *RESOURCE_COUNTERS)])
     return normalise_samples(flat, file_stem(F.col("file")), ["logs_root", *RUN])
 
 

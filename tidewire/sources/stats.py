@@ -27,6 +27,12 @@ def _op_total(op: str) -> Column:
     return _or_zero(total)
 
 
+def _filled(json_column: str, part: str) -> Column:
+    """Whether a part of the document is an object with any field."""
+    text = F.get_json_object(json_column, f"$.{part}")
+    return F.coalesce(text.startswith("{") & ~text.rlike(r"^\{\s*\}$"), F.lit(False))
+
+
 def flatten_stats(docs: DataFrame, keys: Sequence[str], json_column: str = "stats") -> DataFrame:
     """Counters and gauges of each document; map-only.
 
@@ -42,8 +48,11 @@ def flatten_stats(docs: DataFrame, keys: Sequence[str], json_column: str = "stat
         f"{cpu}.system_cpu_usage"
     ).isNotNull()
     has_memory = F.col(f"{mem}.usage").isNotNull() | F.col(f"{mem}.stats").isNotNull()
+    # Other fields than the known ones make a part count as present, too.
+    has_cpu |= _filled(json_column, "cpu_stats")
+    has_memory |= _filled(json_column, "memory_stats")
     return (
-        docs.select(*keys, F.from_json(json_column, STATS_SCHEMA).alias("s"))
+        docs.select(*keys, json_column, F.from_json(json_column, STATS_SCHEMA).alias("s"))
         .filter(has_cpu & has_memory)
         .select(
             *keys,
@@ -64,17 +73,21 @@ def cpu_percent(
     keys: list[str],
     time_us: str,
     tie: list[str],
-    num_cpus: int,
+    num_cpus: int | Column,
     slice_us: int = SLICE_US,
 ) -> DataFrame:
-    """CPU use since the container's previous sample, in percent of one core."""
+    """CPU use since the container's previous sample, in percent of one core.
+
+    ``num_cpus`` is a column of ``samples`` where hosts differ.
+    """
+    cpus = num_cpus if isinstance(num_cpus, Column) else F.lit(num_cpus)
     linked = with_previous(
         samples, keys, time_us, tie, ["cpu_usage_ns", "system_cpu_ns"], slice_us=slice_us
     )
     used = (F.col("cpu_usage_ns") - F.col("prev_cpu_usage_ns")).cast("double")
     total = F.col("system_cpu_ns") - F.col("prev_system_cpu_ns")
     percent = F.when(
-        (total > 0) & F.lit(num_cpus > 0), F.round(used / total * num_cpus * 100, 2)
+        (total > 0) & (cpus > 0), F.round(used / total * cpus * 100, 2)
     ).otherwise(F.lit(0.0))
     return linked.withColumn("cpu_usage_perc", percent).drop(
         "prev_cpu_usage_ns", "prev_system_cpu_ns"

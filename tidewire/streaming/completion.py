@@ -5,24 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.schemas import DESERIALIZED, RUN, TERMINATION_SUFFIX
+from tidewire.schemas import DESERIALIZED, RECEPTION, RUN, TERMINATION_SUFFIX
 
 
-def closing_counts(events: DataFrame) -> DataFrame:
-    """Decoded closing messages per consumer so far; one state row each."""
+def closing_counts(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Closing messages per run, consumer and stage so far; one state row each.
+
+    Only topics that the consumer subscribed count. ``subscriptions`` is a
+    static table of run keys, container_name and topic.
+    """
+    topics = subscriptions.select(*RUN, "container_name", "topic").distinct()
     return (
         events.filter(
-            (F.col("event_type") == DESERIALIZED) & F.col("message_id").endswith(TERMINATION_SUFFIX)
+            F.col("event_type").isin(DESERIALIZED, RECEPTION)
+            & F.col("message_id").endswith(TERMINATION_SUFFIX)
         )
+        .join(topics, [*RUN, "container_name", "topic"], "left_semi")
         .groupBy(*RUN, "container_name")
-        .agg(F.count(F.lit(1)).alias("n_seen"))
+        .agg(
+            F.count(F.when(F.col("event_type") == DESERIALIZED, 1)).alias("decoded"),
+            F.count(F.when(F.col("event_type") == RECEPTION, 1)).alias("received"),
+        )
     )
 
 
 def remaining_streams(counts: DataFrame, expected: DataFrame) -> DataFrame:
-    """Streams a consumer still waits for; never below zero."""
+    """Streams a consumer still waits for; never below zero.
+
+    In a run where no consumer has decoded a closing message the received ones
+    count, as some transports never log the decoding.
+    """
     keys = [*RUN, "container_name"]
-    return expected.join(counts, keys, "left").select(
+    decodes = counts.groupBy(*RUN).agg(F.max("decoded").alias("most_decoded"))
+    seen = counts.join(decodes, RUN).select(
+        *keys,
+        F.when(F.col("most_decoded") > 0, F.col("decoded")).otherwise(F.col("received")).alias("n_seen"),
+    )
+    return expected.join(seen, keys, "left").select(
         *keys,
         "n_subscribed",
         F.greatest(

@@ -10,9 +10,12 @@ from tidewire.schemas import RUN
 _KEYS = [*RUN, "event_type", "second"]
 
 
-def stream_buckets(events: DataFrame, lateness: str = "1 minute") -> DataFrame:
+def stream_buckets(events: DataFrame, *, lateness: str) -> DataFrame:
     """Bytes per run, event type and second; state is dropped behind the watermark.
 
+    Rows later than ``lateness`` are not counted (Spark reports their number as
+    ``numRowsDroppedByWatermark``), so the caller must name it.
+
     Sizes are those each event reports itself. Sliding windows are summed from
     these buckets on read, so the state holds one row per second, not one per
     window.
