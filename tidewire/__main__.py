@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from tidewire.plans.report import Selection, ingest_logs, report, save_report
+from tidewire.plans.report import Selection, ingest_logs, ingest_run_folders, report, save_report
 from tidewire.session import get_session
 
 
@@ -31,11 +31,17 @@ def main(argv: list[str] | None = None) -> None:
     i.add_argument("out", help="event log folder")
     for name in ("scenario", "tech", "run"):
         i.add_argument(name)
+    a = commands.add_parser("ingest-runs", help="parse raw container logs of many runs")
+    a.add_argument("base", help="folder that holds the log roots")
+    a.add_argument("out", help="event log folder")
     args = parser.parse_args(argv)
     spark = get_session("tidewire")
     if args.command == "ingest":
         ingest_logs(spark, args.logs, args.out, args.scenario, args.tech, args.run)
         return
+    if args.command == "ingest-runs":
+        ingest_run_folders(spark, args.base, args.out)
+        return
     selection = Selection(
         args.scenario,
         args.logs_root,

@@ -13,7 +13,10 @@ from tidewire.plans import resources as res
 from tidewire.plans import throughput as thr
 from tidewire.schemas import RUN
 from tidewire.session import materialise
-from tidewire.sources.event_log import read_run_directories
+from tidewire.plans.curves import curve_quality
+from tidewire.plans.store import load_or_compute, metric_path, with_event_label
+from tidewire.sources.catalog import run_inputs
+from tidewire.sources.event_log import any_file, read_run_directories, run_file_glob
 from tidewire.sources.resources import read_resource_files
 
 
@@ -78,6 +81,53 @@ def save_report(frames: dict[str, DataFrame], path: str) -> None:
         frame.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
 
 
+def ingest_run_folders(
+    spark: SparkSession, base: str, path: str, suffix: str = "log", **selection: Sequence[str]
+) -> None:
+    """Raw container logs of all selected runs into the partitioned event log, in one job.
+
+    Logs lie in ``logs*/scenario/tech/run`` below ``base``; the run keys are taken from there.
+    """
+    from tidewire.sources.event_log import normalise_events, write_event_log
+    from tidewire.sources.logs import parse_study_lines, read_run_logs
+
+    lines = read_run_logs(spark, base, suffix, **selection)
+    parsed = parse_study_lines(lines, [*RUN, "container_name"])
+    write_event_log(normalise_events(parsed), path)
+
+
+def throughput_curves(
+    spark: SparkSession, base: str, selection: Selection, store_root: str
+) -> DataFrame:
+    """Throughput of the selected runs through the metric store.
+
+    The run list comes from the folders; only the folders of runs that are missing in the store,
+    or whose files have changed, are opened.
+    """
+    pattern = run_file_glob(base, "parquet", **selection.paths())
+    schema = (
+        "time_s bigint, throughput_mb_s double, scenario string, tech string, run string, event string"
+    )
+    if not any_file(spark, pattern):
+        return spark.createDataFrame([], schema)
+    inputs = materialise(run_inputs(spark, pattern), "run-inputs")
+
+    def compute(missing: DataFrame) -> DataFrame:
+        names = missing.agg(*[F.collect_set(k).alias(k) for k in ("tech", "run")]).first()
+        paths = {**selection.paths(), "techs": sorted(names["tech"]), "runs": sorted(names["run"])}
+        events = read_run_directories(spark, base, **paths).join(missing, RUN, "left_semi")
+        return with_event_label(thr.throughput(events.drop("logs_root"), selection.window_s))
+
+    def valid(stored: DataFrame) -> DataFrame:
+        checked = curve_quality(stored, [*RUN, "event"])
+        return checked.groupBy(*RUN).agg(F.bool_and("valid").alias("ok")).filter("ok").select(*RUN)
+
+    path = metric_path(store_root, "throughput", window_s=selection.window_s, logs=selection.logs_root)
+    return load_or_compute(
+        spark, path, schema, inputs.select(*RUN), compute, [*RUN, "event"], valid, inputs
+    )
+
+
 def ingest_logs(
     spark: SparkSession, log_files: str, path: str, scenario: str, tech: str, run: str
 ) -> None:

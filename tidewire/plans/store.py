@@ -13,6 +13,12 @@ from tidewire.schemas import RUN
 from tidewire.session import materialise
 
 
+#: What tells whether the files of a run have changed.
+INPUT_FIELDS = ("n_files", "n_bytes", "changed_us")
+_INPUTS = "_inputs"
+_INPUT_SCHEMA = ", ".join([*[f"{c} bigint" for c in INPUT_FIELDS], *[f"{k} string" for k in RUN]])
+
+
 def metric_path(root: str, name: str, **params: object) -> str:
     """Folder of a metric and its parameters, such as ``throughput/window_s=10``."""
     parts = [root.rstrip("/"), name, *[f"{k}={params[k]}" for k in sorted(params)]]
@@ -39,9 +45,13 @@ def load_or_compute(
     compute: Callable[[DataFrame], DataFrame],
     keys: Sequence[str] = RUN,
     is_valid: Callable[[DataFrame], DataFrame] | None = None,
+    inputs: DataFrame | None = None,
 ) -> DataFrame:
     """Read-through: only runs without a valid stored result are computed.
 
+    With ``inputs`` (a row per run, see ``sources.catalog.run_inputs``) a stored
+    run also counts as missing if its files are no longer those it was made of.
+
     ``compute`` gets the missing runs and returns their rows. ``is_valid`` maps
     stored rows to the run keys worth keeping; by default a curve must pass
     ``curve_quality``.
@@ -52,13 +62,22 @@ def load_or_compute(
     wanted = materialise(runs.select(*RUN).distinct(), "wanted-runs")
     try:
         stored = load_metric(spark, path, schema)
-        missing = materialise(wanted.join(check(stored), RUN, "left_anti"), "missing-runs")
+        current = check(stored)
+        if inputs is not None:
+            now = materialise(inputs.select(*RUN, *INPUT_FIELDS), "run-inputs")
+            seen = spark.read.schema(_INPUT_SCHEMA).parquet(f"{path}/{_INPUTS}")
+            current = current.join(seen.join(now, [*RUN, *INPUT_FIELDS], "left_semi"), RUN, "left_semi")
+        missing = materialise(wanted.join(current, RUN, "left_anti"), "missing-runs")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         missing = wanted
     if not missing.isEmpty():
         save_metric(compute(missing), path, keys)
+        if inputs is not None:
+            # Written after the result: if the job dies in between, the run is computed again.
+            made_of = inputs.select(*RUN, *INPUT_FIELDS).join(missing, RUN, "left_semi")
+            save_metric(made_of, f"{path}/{_INPUTS}")
     return load_metric(spark, path, schema).join(wanted, RUN, "left_semi")
 
 

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.plans.report import Selection, ingest_run_folders, throughput_curves
 from tidewire.registry import register
 from tidewire.registry import sql_views as sql
 from tidewire.registry.ingest import log_lines
 from tidewire.registry.tables import event_rows, resource_rows
 from tidewire.schemas import RESOURCE_COUNTERS, RUN
 from tidewire.session import scratch_path
-from tidewire.sources.event_log import read_run_directories
+from tidewire.sources.event_log import read_event_log, read_run_directories
 from tidewire.sources.logs import parse_study_lines, read_run_logs
 from tidewire.sources.resources import read_resource_files
 
@@ -105,3 +106,50 @@ def log_folders_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         # The reader takes ``*.log``; Spark's text writer names its files ``*.txt``.
         lines.write.text(_folder(base, tech, run))
     return parse_study_lines(read_run_logs(spark, base, suffix="txt"), ["logs_root", *RUN])
+
+
+@register(
+    "ingest_runs",
+    sql.with_views(
+        sql.EVENTS,
+        """SELECT scenario, tech, run, us, event_type, message_id, logical_size, topic,
+                  serialized_size FROM ev
+           UNION ALL
+           SELECT scenario, tech, run, us, 'Reception', message_id, unnest([12, 7]), topic,
+                  unnest([NULL, 1000])
+           FROM ev WHERE event_type = 'Serializing' AND event_id % 50 = 0""",
+    ),
+)
+def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw logs of all runs to the partitioned event log in one job, and back."""
+    base, out = scratch_path(spark, "raw-runs"), scratch_path(spark, "ingested")
+    for tech, run in _RUNS:
+        _of(log_lines(spark, sf_dir), tech, run).select("line").write.text(_folder(base, tech, run))
+    ingest_run_folders(spark, base, out, "txt")
+    back = read_event_log(spark, out).drop("container_name")
+    return back.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
+
+
+@register(
+    "throughput_from_store",
+    sql.with_views(
+        sql.curve(10),
+        """SELECT scenario, tech, run, lower(event_type) AS event, time_s,
+                  round(throughput_mb_s, 9) AS throughput_mb_s FROM curve""",
+    ),
+)
+def throughput_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that changes after it was stored is computed again; the others are read."""
+    base, root = scratch_path(spark, "store-runs"), scratch_path(spark, "store")
+    rows = event_rows(spark, sf_dir)
+    columns = [*_EVENTS, "serialized_size"]
+    for tech, run in _RUNS:
+        mine = _of(rows, tech, run).select(*columns)
+        if (tech, run) == ("beta", "r1"):
+            mine = mine.filter("message_id like '%7'")
+        mine.write.parquet(_folder(base, tech, run))
+    wanted = Selection("demo")
+    throughput_curves(spark, base, wanted, root)
+    _of(rows, "beta", "r1").select(*columns).write.mode("overwrite").parquet(_folder(base, "beta", "r1"))
+    curve = throughput_curves(spark, base, wanted, root)
+    return curve.withColumn("throughput_mb_s", F.round("throughput_mb_s", 9))

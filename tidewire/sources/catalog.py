@@ -25,6 +25,23 @@ def list_run_files(spark: SparkSession, base: str, roots: str = "logs*") -> Data
     )
 
 
+def run_inputs(spark: SparkSession, pattern: str) -> DataFrame:
+    """Number, bytes and last change of the files of every run; contents are not read.
+
+    A stored result is current while these are what they were when it was made.
+    """
+    found = spark.read.format("binaryFile").load(pattern)
+    return (
+        found.select(*run_keys_from_path(F.col("path"))[1:], "length", "modificationTime")
+        .groupBy(*RUN)
+        .agg(
+            F.count(F.lit(1)).alias("n_files"),
+            F.sum("length").alias("n_bytes"),
+            F.unix_micros(F.max("modificationTime")).alias("changed_us"),
+        )
+    )
+
+
 def run_catalog(paths: DataFrame) -> DataFrame:
     """Distinct runs; hidden technology folders are left out."""
     keyed = paths.select(*run_keys_from_path(F.col("path")))
