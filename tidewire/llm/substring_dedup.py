@@ -7,7 +7,7 @@ in a document with a smaller doc_id. Windows are judged on the input.
    with one anchor form a run, so equal windows always lie in runs of equal anchors. Anchors are
    counted by document; a window whose anchor is in one document only cannot be shared.
 2. Documents with shared anchors give their runs. Equal runs are one content with its smallest
-   doc_id. Contents are dealt to shards by anchor.
+   doc_id (per slice of a task already). Contents are dealt to shards by anchor.
 3. A shard builds an FM-index of its contents and searches every window of them backwards through
    the wavelet tree. The suffix interval of a window gives the smallest doc_id that has it.
 4. Runs bring those answers back to their documents, which drop the covered words.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import as_bytes, col, text_or_empty
 from tidewire.llm.fm_index import FMIndex
-from tidewire.llm.words import U64, Words, runs, slices
+from tidewire.llm.words import U64, Words, mix, runs, slices
 from tidewire.session import materialise
 
 WINDOW = 13
@@ -42,20 +42,10 @@ HOT = 5000
 SHARD_BYTES = 4_000_000
 
 _SPAN = WINDOW - ANCHOR + 1
-
-
-def window_anchors(hashes: np.ndarray) -> np.ndarray:
-    """The place of the anchor of every window of one document (the first of equal minima)."""
-    grams = runs(hashes, ANCHOR)
-    n = len(hashes) - WINDOW + 1
-    least = grams[:n].copy()
-    place = np.arange(n)
-    for k in range(1, _SPAN):
-        other = grams[k : k + n]
-        lower = other < least
-        least[lower] = other[lower]
-        place[lower] = np.flatnonzero(lower) + k
-    return place
+#: Bytes of a word's hash that travel.
+_WORD_BYTES = 6
+_LOW = U64(15)
+_OTHER = U64(0xA0761D6478BD642F)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -63,46 +53,108 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 class Runs:
-    """Runs of one document: anchor hash, first window, number of windows."""
-
-    def __init__(self, hashes: np.ndarray):
-        place = window_anchors(hashes)
-        self.starts = np.flatnonzero(np.diff(place, prepend=-1))
-        self.sizes = np.diff(np.append(self.starts, len(place)))
+    """Runs of all documents of a slice: document, first word, windows and anchor of each."""
+
+    def __init__(self, w: Words):
+        self.hashes = w.hashes
+        self.text_first = w.first
+        n = max(len(w.hashes) - WINDOW + 1, 0)
+        grams = runs(w.hashes, ANCHOR)
+        # The last four bits tell the place in the window, so the first of equal minima wins.
+        least = grams[:n] & ~_LOW
+        for k in range(1, _SPAN):
+            np.minimum(least, (grams[k : k + n] & ~_LOW) | U64(k), out=least)
+        place = np.arange(n) + (least & _LOW).astype(np.int64)
+        ends = np.repeat(w.first + w.counts, w.counts)[:n]
+        self.windows = np.flatnonzero(ends - np.arange(n) >= WINDOW)
+        step = np.diff(self.windows, prepend=-2) != 1
+        step |= np.diff(place[self.windows], prepend=-1) != 0
+        self.at = np.flatnonzero(step)
+        self.starts = self.windows[self.at]
+        self.sizes = np.diff(np.append(self.at, len(self.windows)))
         # 48 bits: an anchor only brings candidates together, and short ones travel lighter.
-        self.anchors = _signed(runs(hashes, ANCHOR)[place[self.starts]] >> U64(16))
+        self.anchors = _signed(grams[place[self.starts]] >> U64(16))
+        self.docs = np.repeat(np.arange(len(w.counts)), w.counts)[self.starts]
 
 
-def documents(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
-    """Every text with the hashes of its words."""
-    for part in slices(texts):
-        w = Words(part)
-        for t, first, n in zip(part, w.first.tolist(), w.counts.tolist()):
-            yield t, w.hashes[first : first + n]
+class Candidates:
+    """The runs of a slice that may be shared, and the windows of hot anchors on their own.
+
+    ``one`` and ``two`` are independent hashes that name a content together; ``key`` deals it.
+    """
+
+    def __init__(self, w: Words, anchors: np.ndarray, hot: np.ndarray):
+        r = Runs(w)
+        first = runs(w.hashes, WINDOW)
+        second = runs(mix(w.hashes ^ _OTHER), WINDOW)
+        alone = np.isin(r.anchors, hot)
+        open_ = np.flatnonzero(np.isin(r.anchors, anchors) & ~alone)
+        place = np.arange(len(r.windows)) - np.repeat(r.at, r.sizes)
+        powers = np.cumprod(np.full(_SPAN + 1, _OTHER | U64(1), U64))[place]
+        if len(r.at):
+            one = mix(np.add.reduceat(first[r.windows] * powers, r.at))[open_]
+            two = mix(np.add.reduceat(second[r.windows] * powers, r.at))[open_]
+        else:
+            one = two = np.zeros(0, U64)
+        single = r.windows[np.repeat(alone, r.sizes)]
+        docs = np.repeat(r.docs[alone], r.sizes[alone])
+        self.starts = np.concatenate([r.starts[open_], single])
+        self.sizes = np.concatenate([r.sizes[open_], np.ones(len(single), np.int64)])
+        self.docs = np.concatenate([r.docs[open_], docs])
+        self.one = _signed(np.concatenate([one, first[single]]))
+        self.two = _signed(np.concatenate([two, second[single]]))
+        self.key = np.concatenate([r.anchors[open_], _signed(first[single])])
+        self.in_text = self.starts - w.first[self.docs]
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of intervals, one after another."""
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    return np.arange(total) + np.repeat(starts - (upto - sizes), sizes)
+
+
+def _word_bytes(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """The leading six bytes of the hashes of each interval, as one binary value each."""
+    flat = (hashes[_spread(starts, sizes)] >> U64(64 - 8 * _WORD_BYTES)).view(np.uint8)
+    data = np.ascontiguousarray(flat.reshape(-1, 8)[:, :_WORD_BYTES])
+    offsets = np.concatenate([[0], np.cumsum(sizes * _WORD_BYTES)]).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), buffers)
+
+
+def _words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers of binary values, one after another, and how many each has."""
+    column = column.cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)
+    offsets = offsets[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    wide = np.zeros((len(data) // _WORD_BYTES, 8), np.uint8)
+    wide[:, :_WORD_BYTES] = data.reshape(-1, _WORD_BYTES)
+    return wide.view(U64).ravel(), np.diff(offsets) // _WORD_BYTES
 
 
 def _anchor_rows(rows: DataFrame, counted: bool) -> DataFrame:
-    """Distinct anchors per document, or their document counts per batch."""
+    """Distinct anchors per document, or their document counts per slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
-            found = [
-                np.unique(Runs(h).anchors) if len(h) >= WINDOW else np.zeros(0, np.int64)
-                for _, h in documents(as_bytes(b.column(1)))
-            ]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
-            if counted:
-                anchors, values = np.unique(flat, return_counts=True)
-            else:
-                anchors, values = flat, np.repeat(ids, sizes)
-            for a in range(0, len(anchors), 100_000):
+            begin = 0
+            for part in slices(as_bytes(b.column(1))):
+                r = Runs(Words(part))
+                order = np.lexsort((r.docs, r.anchors))
+                anchors, docs = r.anchors[order], r.docs[order]
+                new = (np.diff(anchors, prepend=0) != 0) | (np.diff(docs, prepend=-1) != 0)
+                new[:1] = True
+                anchors, docs = anchors[new], docs[new]
+                if counted:
+                    anchors, values = np.unique(anchors, return_counts=True)
+                else:
+                    values = ids[begin + docs]
+                begin += len(part)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchors[a : a + 100_000], pa.int64()),
-                        pa.array(values[a : a + 100_000], pa.int64()),
-                    ],
+                    [pa.array(anchors, pa.int64()), pa.array(values, pa.int64())],
                     names=["anchor", "value"],
                 )
 
@@ -142,97 +194,87 @@ def _prepared(rows: DataFrame) -> DataFrame:
     return made.withColumn("row", F.monotonically_increasing_id())
 
 
-def _runs_of(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, int, int]]:
-    """(row number in the batch, first word, word hashes, anchor or window hash, windows)."""
-    anchors, hot = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-    for k, (_, h) in enumerate(documents(as_bytes(batch.column(0)))):
-        if len(h) < WINDOW:
-            continue
-        r = Runs(h)
-        alone = np.isin(r.anchors, np.array(hot[k] or [], np.int64))
-        open_ = alone | np.isin(r.anchors, np.array(anchors[k] or [], np.int64))
-        for i in np.flatnonzero(open_).tolist():
-            start, n = int(r.starts[i]), int(r.sizes[i])
-            if alone[i]:
-                for s in range(start, start + n):
-                    w = h[s : s + WINDOW]
-                    yield k, s, w, int(_signed(runs(w, WINDOW))[0]), 1
-            else:
-                yield k, start, h[start : start + n + WINDOW - 1], int(r.anchors[i]), n
+def _candidates(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, Candidates]]:
+    """Slices of a batch of ``text, anchors, hot, ...``: first row, words and candidates.
 
-
-def _content_key(words: np.ndarray) -> bytes:
-    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
+    Whether an anchor is shared or hot is the same for all documents, so the lists of a slice are
+    looked up as one.
+    """
+    begin = 0
+    for part in slices(as_bytes(batch.column(0))):
+        anchors, hot = (
+            batch.column(k).slice(begin, len(part)).flatten().to_numpy(zero_copy_only=False)
+            for k in (1, 2)
+        )
+        w = Words(part)
+        yield begin, w, Candidates(w, anchors.astype(np.int64), hot.astype(np.int64))
+        begin += len(part)
 
 
 def _contents(shared: DataFrame) -> DataFrame:
-    """``content, key, words, least``: distinct runs with their smallest doc_id."""
+    """``one, two, key, words, least``: runs, each distinct one once per slice with its least id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(3).to_pylist()
-            held: dict[bytes, list] = {}
-            for k, _, words, key, _ in _runs_of(b):
-                c = _content_key(words)
-                if c in held:
-                    held[c][2] = min(held[c][2], ids[k])
-                else:
-                    held[c] = [key, words.tobytes(), ids[k]]
-            values = list(zip(*held.values())) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(list(held), pa.binary()),
-                    pa.array(values[0], pa.int64()),
-                    pa.array(values[1], pa.binary()),
-                    pa.array(values[2], pa.int64()),
-                ],
-                names=["content", "key", "words", "least"],
-            )
+            ids = b.column(3).to_numpy()
+            for begin, w, c in _candidates(b):
+                owners = ids[begin + c.docs]
+                order = np.lexsort((owners, c.two, c.one))
+                one, two = c.one[order], c.two[order]
+                new = (np.diff(one, prepend=0) != 0) | (np.diff(two, prepend=0) != 0)
+                new[:1] = True
+                pick = order[new]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(c.one[pick]),
+                        pa.array(c.two[pick]),
+                        pa.array(c.key[pick]),
+                        _word_bytes(w.hashes, c.starts[pick], c.sizes[pick] + WINDOW - 1),
+                        pa.array(owners[pick], pa.int64()),
+                    ],
+                    names=["one", "two", "key", "words", "least"],
+                )
 
     rows = shared.select("text", "anchors", "hot", "doc_id")
-    made = rows.mapInArrow(run, "content binary, key bigint, words binary, least bigint")
-    return made.groupBy("content").agg(
-        F.first("key").alias("key"), F.first("words").alias("words"), F.min("least").alias("least")
-    )
+    return rows.mapInArrow(run, "one bigint, two bigint, key bigint, words binary, least bigint")
 
 
 def _places(shared: DataFrame) -> DataFrame:
-    """``content, row, doc_id, first``: where runs stand."""
+    """``one, two, row, doc_id, first``: where runs stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, rows = b.column(3).to_pylist(), b.column(4).to_pylist()
-            found = [(_content_key(w), rows[k], ids[k], s) for k, s, w, _, _ in _runs_of(b)]
-            c, r, d, s = zip(*found) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(c, pa.binary()),
-                    pa.array(r, pa.int64()),
-                    pa.array(d, pa.int64()),
-                    pa.array(s, pa.int32()),
-                ],
-                names=["content", "row", "doc_id", "first"],
-            )
+            ids, rows = b.column(3).to_numpy(), b.column(4).to_numpy()
+            for begin, _, c in _candidates(b):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(c.one),
+                        pa.array(c.two),
+                        pa.array(rows[begin + c.docs], pa.int64()),
+                        pa.array(ids[begin + c.docs], pa.int64()),
+                        pa.array(c.in_text, pa.int64()),
+                    ],
+                    names=["one", "two", "row", "doc_id", "first"],
+                )
 
     rows = shared.select("text", "anchors", "hot", "doc_id", "row")
-    return rows.mapInArrow(run, "content binary, row bigint, doc_id bigint, first int")
+    return rows.mapInArrow(run, "one bigint, two bigint, row bigint, doc_id bigint, first bigint")
+
 
+def smallest_owners(words: np.ndarray, sizes: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For every window of every content, the smallest ``least`` of the contents that have it.
 
-def smallest_owners(contents: list[np.ndarray], least: np.ndarray) -> list[np.ndarray]:
-    """For every window of every content, the smallest ``least`` of the contents that have it."""
-    sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-    words, symbols = np.unique(np.concatenate(contents), return_inverse=True)
+    Contents stand one after another in ``words``; the windows in the result, too.
+    """
+    known, symbols = np.unique(words, return_inverse=True)
     ends = np.cumsum(sizes)
     # A separator follows every content.
-    text = np.zeros(int(ends[-1]) + len(contents), np.int64)
-    at = np.arange(int(ends[-1])) + np.repeat(np.arange(len(contents)), sizes)
-    text[at] = symbols + 1
+    text = np.zeros(int(ends[-1]) + len(sizes), np.int64)
+    begin = ends - sizes + np.arange(len(sizes))
+    text[_spread(begin, sizes)] = symbols + 1
     owner = np.repeat(least, sizes + 1)
-    index = FMIndex(text, len(words) + 1)
-    windows = sizes - WINDOW + 1
-    begin = ends - sizes + np.arange(len(contents))
-    upto = np.cumsum(windows)
-    starts = np.arange(int(upto[-1])) + np.repeat(begin - (upto - windows), windows)
+    index = FMIndex(text, len(known) + 1)
+    starts = _spread(begin, sizes - WINDOW + 1)
     low = np.zeros(len(starts), np.int64)
     high = np.zeros(len(starts), np.int64)
     for a in range(0, len(starts), 50_000):
@@ -242,41 +284,56 @@ def smallest_owners(contents: list[np.ndarray], least: np.ndarray) -> list[np.nd
     lows, first, which = np.unique(low, return_index=True, return_inverse=True)
     bounds = np.stack([lows, high[first]], 1).ravel()
     by_suffix = np.append(owner[index.suffixes], np.iinfo(np.int64).max)
-    smallest = np.minimum.reduceat(by_suffix, bounds)[::2][which]
-    return np.split(smallest, upto[:-1])
+    return np.minimum.reduceat(by_suffix, bounds)[::2][which]
+
+
+def _answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """``one, two, owners`` of the contents of one shard."""
+    t = pa.Table.from_batches(held).combine_chunks()
+    one, two, least = (t.column(n).to_numpy() for n in ("one", "two", "least"))
+    words, sizes = _words_of(t.column("words").chunk(0))
+    order = np.lexsort((least, two, one))
+    new = (np.diff(one[order], prepend=0) != 0) | (np.diff(two[order], prepend=0) != 0)
+    new[:1] = True
+    pick = order[new]
+    begin = np.cumsum(sizes) - sizes
+    mine = words[_spread(begin[pick], sizes[pick])]
+    found = smallest_owners(mine, sizes[pick], least[pick])
+    offsets = np.concatenate([[0], np.cumsum(sizes[pick] - WINDOW + 1)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(one[pick]),
+            pa.array(two[pick]),
+            pa.ListArray.from_arrays(pa.array(offsets), pa.array(found)),
+        ],
+        names=["one", "two", "owners"],
+    )
 
 
 def _searched(contents: DataFrame, shards: int) -> DataFrame:
-    """``content, owners``: the smallest doc_id of every window."""
-
-    def answer(held: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-        found = smallest_owners(
-            [np.frombuffer(w, U64) for _, w, _ in held], np.array([d for *_, d in held], np.int64)
-        )
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([c for c, *_ in held], pa.binary()),
-                pa.array([f.tolist() for f in found], pa.list_(pa.int64())),
-            ],
-            names=["content", "owners"],
-        )
+    """``one, two, owners``: the smallest doc_id of every window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = None, []
         for b in batches:
-            columns = [b.column(k).to_pylist() for k in range(4)]
-            for shard, *row in zip(*columns):
-                if shard != number and held:
-                    yield answer(held)
+            shard = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.diff(shard, prepend=shard[:1])).tolist()
+            for a, z in zip([0, *cuts], [*cuts, len(shard)]):
+                if z == a:
+                    continue
+                if held and shard[a] != number:
+                    yield _answers(held)
                     held = []
-                number = shard
-                held.append(tuple(row))
+                number = shard[a]
+                held.append(b.slice(a, z - a))
         if held:
-            yield answer(held)
+            yield _answers(held)
 
     shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    dealt = contents.select(shard, "content", "words", "least").repartition(shards, "shard")
-    return dealt.sortWithinPartitions("shard").mapInArrow(run, "content binary, owners array<bigint>")
+    dealt = contents.select(shard, "one", "two", "words", "least").repartition(shards, "shard")
+    return dealt.sortWithinPartitions("shard").mapInArrow(
+        run, "one bigint, two bigint, owners array<bigint>"
+    )
 
 
 def _cut(shared: DataFrame) -> DataFrame:
@@ -356,7 +413,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     owners = materialise(_searched(_contents(candidates), shards), "owners")
     covered = (
         _places(candidates)
-        .join(owners, "content")
+        .join(owners, ["one", "two"])
         .select(
             "row",
             F.filter(
