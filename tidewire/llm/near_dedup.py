@@ -1,26 +1,27 @@
 """Near duplicates by SetSketch registers.
 
-A document is the set of its distinct 5-word shingles. Its sketch has 96 registers: exponentially
+A document is the set of its distinct 5-word shingles. Its sketch has 160 registers: exponentially
 spaced, truncated minima of as many hash functions (base 1.001), so sketches of parts merge by
-maximum and equal registers are as likely as the sets are alike. Bands of three register values
+maximum and equal registers are as likely as the sets are alike. Bands of four register values
 bring candidates together; a likelihood ratio on the registers that are larger, smaller and equal,
 given both cardinalities, discards those that cannot reach the threshold; every other candidate is
 verified on the full sets. Links are joined to components.
 
-At a similarity of 0.75 a pair misses all 32 bands with probability 2e-8, and the likelihood test
-errs below 1e-6.
+At a similarity of 0.75 a pair misses all 40 bands with probability 3e-7, and the likelihood test
+errs below 1e-6. Pairs whose sizes rule the threshold out are never formed.
 
 Scale, step by step:
 
 * Equal sets are one class from the start (combined before the shuffle), so copies never pair.
 * A bucket of n classes gives n - 1 candidates with its smallest class (its pivot), not all pairs.
-  Where a bucket still holds several components, further rounds take up to 16 pivots each from its
-  smaller components against all members of other components, until every pair of the bucket is
-  joined, compared or had its turn. So no link is lost, and a group of near copies costs one or two
-  comparisons per member.
+  Where a bucket still holds several components, further rounds take pivots from its smaller
+  components (up to 64, then 256 and so on) against all members of other components, until
+  every pair of the bucket is joined or compared. So no link is lost, a group of near copies costs
+  one or two comparisons per member, and the number of rounds grows with the logarithm of a bucket.
 * Minima and counts are combined before the shuffle and written; joins with them are between plain
   shuffles, whose skewed keys (a large bucket, a large component) adaptive execution splits.
-* Text moves once, for the representatives that need verification.
+* Text is shuffled once, to pick that of one representative per class with a shared bucket; the
+  sets that a round needs are made from those and kept for later rounds.
 """
 
 from __future__ import annotations
@@ -39,12 +40,12 @@ from tidewire.llm.words import U64, Words, mix, runs, slices
 from tidewire.session import materialise
 
 SHINGLE = 5
-BANDS, ROWS = 32, 3
+BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 #: Sketch parameters: base, rate of the exponential minima, largest register.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
-#: Pivots a bucket may use in a later round.
-PIVOTS = 16
+#: Pivots a bucket may use in the second round; four times as many in each that follows.
+PIVOTS = 64
 #: Log-likelihood by which the threshold must lose to be given up.
 SURE = 12.0
 
@@ -128,7 +129,7 @@ def worth_verifying(
 
 
 def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``doc_id, text_key, n_shingles, node, sketch, bands``; an empty set has no last three."""
+    """``doc_id, text_key, n_shingles, node, sketch``; an empty set has no last two."""
     body = text_or_empty(col(docs, text))
     rows = docs.select(
         col(docs, doc_id).alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text")
@@ -146,15 +147,27 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([k if k is None else k.tobytes() for k in sketches], pa.binary()),
-                    pa.array([k if k is None else band_keys(k) for k in sketches], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "node", "sketch", "bands"],
+                names=["doc_id", "text_key", "n_shingles", "node", "sketch"],
             )
 
     return rows.mapInArrow(
         run,
-        f"doc_id {id_type}, text_key bigint, n_shingles bigint, node binary, sketch binary, "
-        "bands array<bigint>",
+        f"doc_id {id_type}, text_key bigint, n_shingles bigint, node binary, sketch binary",
+    )
+
+
+def _buckets(classes: DataFrame) -> DataFrame:
+    """``bucket, node, n``: every class under the keys of its bands."""
+
+    @F.arrow_udf("array<bigint>")
+    def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for sketches in batches:
+            made = [band_keys(np.frombuffer(k, np.uint16)) for k in as_bytes(sketches)]
+            yield pa.array(made, pa.list_(pa.int64()))
+
+    return classes.select(
+        F.explode(keys("sketch")).alias("bucket"), "node", F.col("n_shingles").alias("n")
     )
 
 
@@ -173,16 +186,21 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
             ok = worth_verifying((x > y).sum(1), (x < y).sum(1), n_a, n_b, threshold)
             yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    one = classes.select(F.col("node").alias("a"), F.col("sketch").alias("x"), F.col("n_shingles").alias("n_a"))
-    two = classes.select(F.col("node").alias("b"), F.col("sketch").alias("y"), F.col("n_shingles").alias("n_b"))
+    node, sketch, n = F.col("node"), F.col("sketch"), F.col("n_shingles")
+    one = classes.select(node.alias("a"), sketch.alias("x"), n.alias("n_a"))
+    two = classes.select(node.alias("b"), sketch.alias("y"), n.alias("n_b"))
     joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n_a", "n_b")
     return joined.mapInArrow(run, "a binary, b binary")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``node, members`` of the wanted classes, from the text of their smallest doc_id."""
+def _candidate_texts(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``node, text`` of some classes, from the rows with their smallest doc_id."""
     rows = docs.select(col(docs, doc_id).alias("id"), text_or_empty(col(docs, text)).alias("text"))
-    found = rows.join(wanted, F.col("id").eqNullSafe(F.col("smallest"))).select("node", "text")
+    return rows.join(nodes, F.col("id").eqNullSafe(F.col("smallest"))).select("node", "text")
+
+
+def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``node, members`` of the wanted classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,8 +212,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> Da
                 names=["node", "members"],
             ).filter(pa.array(ok, pa.bool_()))
 
-    made = found.mapInArrow(run, "node binary, members binary")
-    return made.dropDuplicates(["node"])
+    found = texts.join(wanted, "node", "left_semi").select("node", "text")
+    return found.mapInArrow(run, "node binary, members binary").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -216,43 +234,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: in
     return joined.mapInArrow(run, "a binary, b binary")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``bucket, node, n, label``; a node without a link is its own label."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").select(
+        "bucket", "node", "n", F.coalesce("label", "node").alias("label")
+    )
+
+
+def _pivots(named: DataFrame, turn: int) -> DataFrame:
+    """``bucket, pivot, own, n_pivot``: the pivots of a round, their labels and sizes.
+
+    At first the smallest class of every bucket. Later some of those outside the bucket's largest
+    component, four times as many in every round.
+    """
+    if turn == 0:
+        least = named.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
+        own = F.col("p.node")
+        return least.select(
+            "bucket", own.alias("pivot"), own.alias("own"), F.col("p.n").alias("n_pivot")
+        )
+    counts = named.groupBy("bucket", "label").count()
+    top = counts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
+    parts = PIVOTS * 4 ** (turn - 1)
+    return (
+        named.join(materialise(top, "top"), "bucket")
+        .where(F.col("label") != F.col("top.label"))
+        .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
+        .agg(F.min(F.struct("node", "label", "n")).alias("p"))
+        .select(
+            "bucket",
+            F.col("p.node").alias("pivot"),
+            F.col("p.label").alias("own"),
+            F.col("p.n").alias("n_pivot"),
+        )
+    )
+
+
 def _links(
     docs: DataFrame, classes: DataFrame, doc_id: str, text: str, percent: int
 ) -> DataFrame | None:
     """``node, label`` of all classes that have a link, or None."""
-    rows = classes.select("node", F.explode("bands").alias("bucket"))
+    rows = _buckets(classes)
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
     sizes = materialise(sizes, "shared")
     rows = materialise(rows.join(sizes, "bucket"), "buckets")
+    nodes = rows.select("node").distinct().join(classes.select("node", "smallest"), "node")
+    texts = materialise(_candidate_texts(docs, nodes, doc_id, text), "texts")
     tested: DataFrame | None = None
     edges: DataFrame | None = None
     labels: DataFrame | None = None
-    first = True
+    sets: DataFrame | None = None
+    turn = 0
     while not rows.isEmpty():
-        if labels is None:
-            named = rows.withColumn("label", F.col("node"))
-        else:
-            named = rows.join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("label", "node").alias("label")
-            )
-        if first:
-            pivots = rows.groupBy("bucket").agg(F.min("node").alias("pivot"))
-            pivots = pivots.withColumn("own", F.col("pivot"))
-        else:
-            counts = named.groupBy("bucket", "label").count()
-            top = counts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
-            top = materialise(top, "top")
-            pivots = (
-                named.join(top, "bucket")
-                .where(F.col("label") != F.col("top.label"))
-                .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("part"))
-                .agg(F.min(F.struct("node", "label")).alias("p"))
-                .select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("own"))
-            )
-        pivots = materialise(pivots, "pivots")
+        named = _labelled(rows, labels)
+        if labels is not None:
+            named = materialise(named, "named")
+        pivots = materialise(_pivots(named, turn), "pivots")
+        # Sets of too unlike sizes cannot be similar, so such pairs are not formed at all.
+        alike = F.least("n", "n_pivot") * 100 >= F.greatest("n", "n_pivot") * percent
+        other = (named["bucket"] == pivots["bucket"]) & (F.col("label") != F.col("own")) & alike
         pairs = (
-            named.join(pivots, "bucket")
-            .where((F.col("node") != F.col("pivot")) & (F.col("label") != F.col("own")))
+            named.join(pivots, other)
             .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
             .distinct()
         )
@@ -262,27 +306,20 @@ def _links(
         tested = pairs if tested is None else tested.union(pairs)
         likely = materialise(_likely(pairs, classes, percent / 100), "likely")
         if not likely.isEmpty():
-            wanted = (
-                likely.select(F.col("a").alias("node"))
-                .union(likely.select("b"))
-                .distinct()
-                .join(classes.select("node", "smallest"), "node")
-            )
-            sets = materialise(_full_sets(docs, wanted, doc_id, text), "sets")
+            wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
+            if sets is not None:
+                wanted = wanted.join(sets.select("node"), "node", "left_anti")
+            new_sets = materialise(_full_sets(texts, wanted), "sets")
+            sets = new_sets if sets is None else sets.union(new_sets)
             new = materialise(_verified(likely, sets, percent, 100), "links")
-            edges = new if edges is None else edges.union(new)
-            labels = connected_components(edges)
+            if not new.isEmpty():
+                edges = new if edges is None else edges.union(new)
+                labels = connected_components(edges)
         # Pivots have met their whole bucket; what is left of it is open while components differ.
         left = rows.join(
             pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"
         )
-        if labels is not None:
-            left = left.join(labels, "node", "left").select(
-                "bucket", "node", F.coalesce("label", "node").alias("label")
-            )
-        else:
-            left = left.withColumn("label", F.col("node"))
-        left = materialise(left, "left")
+        left = materialise(_labelled(left, labels), "left")
         open_ = (
             left.groupBy("bucket")
             .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
@@ -290,8 +327,8 @@ def _links(
             .select("bucket")
         )
         open_ = materialise(open_, "open")
-        rows = materialise(left.select("bucket", "node").join(open_, "bucket"), "buckets")
-        first = False
+        rows = materialise(left.select("bucket", "node", "n").join(open_, "bucket"), "buckets")
+        turn += 1
     return labels
 
 
@@ -318,7 +355,6 @@ def _with_components(docs: DataFrame, doc_id: str, text: str, percent: int) -> D
             F.min("doc_id").alias("smallest"),
             F.first("n_shingles").alias("n_shingles"),
             F.first("sketch").alias("sketch"),
-            F.first("bands").alias("bands"),
         ),
         "classes",
     )
@@ -350,15 +386,22 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percen
     Of rows that are equal in doc_id and text one stays.
     """
     found = _with_components(docs, doc_id, text, percent)
-    keep = found.where("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text")
+    keep = (
+        found.where("kept")
+        .groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_text"))
+        .agg(F.count(F.lit(1)).alias("n_rows"))
     )
-    copy = free_name(docs.columns, "copy_number")
+    keep = materialise(keep, "kept")
     body = F.xxhash64(text_or_empty(col(docs, text)))
-    rows = docs.join(
-        keep.distinct(),
-        col(docs, doc_id).eqNullSafe(keep["kept_id"]) & (body == keep["kept_text"]),
-        "left_semi",
-    )
-    same = Window.partitionBy(col(rows, doc_id), body).orderBy(F.lit(0))
-    return rows.withColumn(copy, F.row_number().over(same)).where(F.col(copy) == 1).drop(copy)
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        same = col(docs, doc_id).eqNullSafe(some["kept_id"]) & (body == some["kept_text"])
+        return docs.join(some, same, "left_semi")
+
+    # Only rows that have an equal need to be brought together once more.
+    repeated = rows_of(keep.where("n_rows > 1"))
+    copy = free_name(docs.columns, "copy_number")
+    equal = Window.partitionBy(col(repeated, doc_id), F.xxhash64(text_or_empty(col(repeated, text))))
+    numbered = repeated.withColumn(copy, F.row_number().over(equal.orderBy(F.lit(0))))
+    once = numbered.where(F.col(copy) == 1).drop(copy)
+    return rows_of(keep.where("n_rows = 1")).unionByName(once)
