@@ -149,7 +149,8 @@ def find_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     groups = made.groupBy("recipe").agg(
         F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
-    return made.join(groups, "recipe").select(
+    # Written, so that the join is between plain shuffles and a hot recipe can be split.
+    return made.join(materialise(groups, "groups"), "recipe").select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
