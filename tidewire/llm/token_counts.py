@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm import tokens
 from tidewire.llm.common import col, text_or_empty
+from tidewire.session import materialise
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens bigint"
 
@@ -81,7 +82,8 @@ def count_tokens(
     open_rows = rows if stored is None else rows.join(stored, "content_digest", "left_anti")
     missing = open_rows.groupBy("content_digest").agg(F.first("text").alias("text"))
     encode_missing(missing, tokenizer_file, version).write.mode("append").parquet(cache_path)
-    known = read_cache(spark, cache_path, version)
+    # Written, so that the join is between plain shuffles and a hot digest can be split.
+    known = materialise(read_cache(spark, cache_path, version), "token-counts")
     return rows.select(
         "doc_id", "content_digest", F.octet_length("text").cast("long").alias("n_bytes")
     ).join(known, "content_digest").select("doc_id", "n_bytes", "n_tokens")
