@@ -14,10 +14,11 @@ Scale, step by step:
 
 * Equal sets are one class from the start (combined before the shuffle), so copies never pair.
 * A bucket of n classes gives n - 1 candidates with its smallest class (its pivot), not all pairs.
-  Where a bucket still holds several components, further rounds take pivots from its smaller
-  components (up to 64, then 256 and so on) against all members of other components, until
-  every pair of the bucket is joined or compared. So no link is lost, a group of near copies costs
-  one or two comparisons per member, and the number of rounds grows with the logarithm of a bucket.
+  Where a bucket still holds several components, up to 8 members of the largest meet those outside;
+  after that, pivots are taken from outside (up to 64, then 256 and so on) against all members of
+  other components, until every pair of the bucket is joined or compared. So no link is lost, a
+  group of near copies costs a few comparisons per member, and the number of rounds grows with the
+  logarithm of a bucket.
 * Minima and counts are combined before the shuffle and written; joins with them are between plain
   shuffles, whose skewed keys (a large bucket, a large component) adaptive execution splits.
 * Text is shuffled once, to pick that of one representative per class with a shared bucket; the
@@ -44,7 +45,9 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 #: Sketch parameters: base, rate of the exponential minima, largest register.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
-#: Pivots a bucket may use in the second round; four times as many in each that follows.
+#: Members of a bucket's largest component that meet the rest in the second round.
+INNER = 8
+#: Pivots a bucket may use in the third round; four times as many in each that follows.
 PIVOTS = 64
 #: Log-likelihood by which the threshold must lose to be given up.
 SURE = 12.0
@@ -246,8 +249,9 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _pivots(named: DataFrame, turn: int) -> DataFrame:
     """``bucket, pivot, own, n_pivot``: the pivots of a round, their labels and sizes.
 
-    At first the smallest class of every bucket. Later some of those outside the bucket's largest
-    component, four times as many in every round.
+    At first the smallest class of every bucket. Then a few members of its largest component, which
+    meet all that is outside of it: most near copies that missed the first pivot join here. Then
+    those still outside, four times as many in every round.
     """
     if turn == 0:
         least = named.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
@@ -257,10 +261,11 @@ def _pivots(named: DataFrame, turn: int) -> DataFrame:
         )
     counts = named.groupBy("bucket", "label").count()
     top = counts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
-    parts = PIVOTS * 4 ** (turn - 1)
+    inside = F.col("label") == F.col("top.label")
+    parts = INNER if turn == 1 else PIVOTS * 4 ** (turn - 2)
     return (
         named.join(materialise(top, "top"), "bucket")
-        .where(F.col("label") != F.col("top.label"))
+        .where(inside if turn == 1 else ~inside)
         .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
         .agg(F.min(F.struct("node", "label", "n")).alias("p"))
         .select(
