@@ -15,8 +15,8 @@ in a document with a smaller doc_id. Windows are judged on the input.
 Scale: every step is linear in the words. Anchors and contents are combined before the shuffle. An
 anchor in more than HOT documents would make a large shard, so its windows stand for themselves:
 they are dealt by the hash of the window, and equal windows are one content. Joins are between
-plain shuffles, so adaptive execution splits skewed anchors and contents. Text moves once; only
-documents with shared anchors are kept for the last step.
+plain shuffles, so adaptive execution splits skewed anchors and contents. Text is compressed when it
+moves; only that of documents with shared anchors is kept for the last step.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ WINDOW = 13
 ANCHOR = 4
 #: Documents of an anchor beyond which its windows are dealt one by one.
 HOT = 5000
-#: Bytes of text with shared anchors per shard.
-SHARD_BYTES = 4_000_000
+#: Words of documents with shared anchors per shard.
+SHARD_WORDS = 650_000
 
 _SPAN = WINDOW - ANCHOR + 1
 #: Bytes of a word's hash that travel.
@@ -166,20 +167,41 @@ def kept_digest(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+def _packed(texts: list[bytes]) -> list[bytes]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return [pack(t) for t in texts]
+
+
+def _unpacked(texts: list[bytes]) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [unpack(t) for t in texts]
+
+
+def _with_packed_text(rows: DataFrame) -> DataFrame:
+    """``doc_id, text`` with the text compressed, as it travels and rests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = pa.array(_packed(as_bytes(b.column(1))), pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), packed], names=["doc_id", "text"])
+
+    return rows.mapInArrow(run, "doc_id bigint, text binary")
+
+
 def _prepared(rows: DataFrame) -> DataFrame:
     """Every row with its whole digest; text stays only where anchors are shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = as_bytes(b.column(1))
-            words = [t.split() for t in texts]
+            packed = b.column(1).to_pylist()
+            words = [t.split() for t in _unpacked(packed)]
             shared = b.column(2).is_valid().to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
                     pa.array([len(w) for w in words], pa.int64()),
                     pa.array([None if s else kept_digest(w) for w, s in zip(words, shared)], pa.string()),
-                    pa.array([t if s else None for t, s in zip(texts, shared)], pa.binary()),
+                    pa.array([t if s else None for t, s in zip(packed, shared)], pa.binary()),
                     b.column(2),
                     b.column(3),
                 ],
@@ -201,7 +223,7 @@ def _candidates(batch: pa.RecordBatch) -> Iterator[tuple[int, Words, Candidates]
     looked up as one.
     """
     begin = 0
-    for part in slices(as_bytes(batch.column(0))):
+    for part in slices(_unpacked(batch.column(0).to_pylist())):
         anchors, hot = (
             batch.column(k).slice(begin, len(part)).flatten().to_numpy(zero_copy_only=False)
             for k in (1, 2)
@@ -342,7 +364,7 @@ def _cut(shared: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             removed, digests, spans = [], [], []
-            for t, windows in zip(as_bytes(b.column(2)), b.column(3).to_pylist()):
+            for t, windows in zip(_unpacked(b.column(2).to_pylist()), b.column(3).to_pylist()):
                 words = t.split()
                 change = np.zeros(len(words) + 1, np.int64)
                 if windows:
@@ -401,15 +423,15 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     prepared = materialise(
         _prepared(
-            rows.join(lists, F.col("doc_id") == F.col("of"), "left").select(
+            _with_packed_text(rows).join(lists, F.col("doc_id") == F.col("of"), "left").select(
                 "doc_id", "text", "anchors", "hot"
             )
         ),
         "prepared",
     )
     candidates = prepared.where("text IS NOT NULL")
-    total = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
+    total = candidates.agg(F.sum("n_words")).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_WORDS)
     owners = materialise(_searched(_contents(candidates), shards), "owners")
     covered = (
         _places(candidates)
