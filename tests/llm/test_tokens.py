@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer
 
 from tidewire.llm import range_coder, token_counts, token_files, tokens
 
@@ -31,6 +31,28 @@ def test_pieces_encode_like_whole_texts(texts):
     assert enc.counts(texts).tolist() == sizes.tolist()
 
 
+@pytest.mark.parametrize("space", ["\n\n", " \n\n", "\xa0\xa0", "\r\n\r\n", "\t\t", "  ", " ", "\u3000\n "])
+def test_white_space_around_added_tokens(space):
+    enc = tokens.PieceEncoder(FILE)
+    assert enc.cut
+    end = "<|endoftext|>"
+    for text in (f"para{space}{end}next", f"{space}{end}", f"{end}{space}{end}{space}", f"a{space}{end}{space}b", f"a{space}<|endoftext{space}{end}"):
+        assert enc.encode([text])[0].tolist() == ids_of(text)
+        assert enc.counts([text]).tolist() == [len(ids_of(text))]
+
+
+def test_added_tokens_that_overlap():
+    for normalized in (False, True):
+        lib = Tokenizer.from_file(FILE)
+        lib.add_tokens([AddedToken(t, normalized=normalized) for t in ("<a>", "<a><b>", "b><c")])
+        path = tempfile.mkdtemp() + "/more.json"
+        lib.save(path)
+        enc = tokens.PieceEncoder(path)
+        assert enc.cut != normalized
+        for text in ("x\n\n<a><b><c>", "\n\n<a>\n\n<b><c>  <|endoftext|>", "<a>\n\n<a><b>y"):
+            assert enc.encode([text])[0].tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
 def test_other_vocabularies_are_encoded_whole():
     path = public_tokenizers.path("word_bpe_49k.json")
     enc, lib = tokens.PieceEncoder(path), Tokenizer.from_file(path)

@@ -1,9 +1,11 @@
 """Token ids of many texts with the ``tokenizers`` library, each distinct piece encoded once.
 
 A byte-level vocabulary never joins characters across a space that stands before a word, so a text
-can be cut there and every distinct piece encoded once per worker. The memory of known pieces is
-bounded and forgotten as a whole when full. Vocabularies with other rules, and texts with the
-separators on which Python and the library disagree, are encoded whole.
+can be cut there and every distinct piece encoded once per worker. The library takes the vocabulary's
+added tokens (such as ``<|endoftext|>``) out of a text before anything else, so a text is cut at them
+first and white space before one ends a segment. The memory of known pieces is bounded and forgotten
+as a whole when full. Vocabularies with other rules, and texts with the separators on which Python
+and the library disagree, are encoded whole.
 """
 
 from __future__ import annotations
@@ -18,14 +20,16 @@ import numpy as np
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python but not to the library.
 _ODD = re.compile("[\x1c-\x1f]")
+#: Raised when texts are cut in another way, so that stored counts of the old way are not used.
+_CUTS = b"2"
 
 
 def tokenizer_digest(path: str) -> str:
-    """Names the vocabulary file's content and the library's version."""
+    """Names the vocabulary file's content, the library's version and the way texts are cut."""
     import tokenizers
 
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + tokenizers.__version__.encode()).hexdigest()
+        return hashlib.sha256(f.read() + tokenizers.__version__.encode() + _CUTS).hexdigest()
 
 
 class PieceEncoder:
@@ -40,6 +44,7 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         rules = json.loads(self.tokenizer.to_str())
         pre = rules.get("pre_tokenizer") or {}
+        added = [t for t in rules.get("added_tokens", []) if t["content"]]
         self.cut = (
             pre.get("type") == "ByteLevel"
             and pre.get("use_regex")
@@ -47,9 +52,14 @@ class PieceEncoder:
             and not rules.get("normalizer")
             and not any(
                 re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"]
-                for t in rules.get("added_tokens", [])
+                for t in added
             )
+            # The library looks for these two kinds one after the other.
+            and len({t["normalized"] for t in added}) < 2
         )
+        # The leftmost, then the longest is taken, as in the library.
+        known = sorted((t["content"] for t in added), key=len, reverse=True)
+        self.added = re.compile(f"({'|'.join(map(re.escape, known))})") if known else None
         self.limit = limit
         self._forget()
 
@@ -87,7 +97,15 @@ class PieceEncoder:
     def _pieces(self, text: str) -> list[str]:
         if not self.cut or _ODD.search(text):
             return [text] if text else []
-        return _PIECE.findall(text)
+        if self.added is None:
+            return _PIECE.findall(text)
+        out: list[str] = []
+        for i, part in enumerate(self.added.split(text)):
+            if i % 2:
+                out.append(part)
+            else:
+                out += _PIECE.findall(part)
+        return out
 
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Piece numbers of all texts in order, and how many each text has."""
