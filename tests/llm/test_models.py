@@ -45,6 +45,31 @@ def test_language_of_odd_rows(spark, table, odd_rows):
         language.train(table(taught), max_languages=1)
 
 
+def test_language_of_short_held_out_texts(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    scorer = language.Scorer(language.train(docs.where(~fold)))
+    rows = docs.where(fold).where("text IS NOT NULL").orderBy("doc_id").collect()
+    texts = []
+    for r in rows:
+        words = language.folded(r["text"]).decode().split()
+        texts += [(" ".join(words[a : a + n]), r["lang"]) for a, n in ((3, 3), (5, 4), (9, 5)) if len(words) > 20]
+    assert len(texts) > 300
+    found = [(scorer.score(t), lang) for t, lang in texts if len(language.folded(t)) < 30]
+    assert len(found) > 200
+    clear = [(f[0], lang) for f, lang in found if f[2] >= language.NARROW]
+    assert len(clear) > 0.9 * len(found)
+    assert sum(a == b for a, b in clear) > 0.95 * len(clear)
+    for text in ("le petit chat noir", "the little cat and the dog", "der kleine und die gute"):
+        sizes = scorer.sizes(language.folded(text))
+        assert len(set(sizes)) > 1
+    # A short end of a long text counts too.
+    long = language.folded("the one of the two " * 60)[: language.PIECE]
+    assert len(scorer.sizes(long + b" und der die das")) == len(scorer.languages)
+    ends = np.subtract(scorer.sizes(long + b" und der die das "), scorer.sizes(long))
+    assert len(set(ends)) > 1
+
+
 def test_quality_on_held_out_rows(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality")
     got = QUERIES["op5_quality"](spark, SF)

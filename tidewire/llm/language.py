@@ -2,7 +2,9 @@
 
 Every language has a raw-content zstandard dictionary made of labelled text. A text is folded to
 lower-case words, compressed piece by piece with each dictionary, and belongs to the language whose
-dictionary makes it smallest. A narrow margin between the two smallest is a rejection.
+dictionary makes it smallest. A narrow margin between the two smallest is a rejection. zstandard
+stores a piece as it is if compression saves only a few bytes, which makes a short piece equally long
+under every dictionary; a piece below ``SHORT`` bytes is therefore compressed ``COPIES`` times over.
 
 The dictionaries come from a bounded sample: at most ``texts_per_language`` texts of a language,
 one per hash bucket of doc_id (chosen on narrow rows, with constant state per bucket), the first
@@ -27,6 +29,8 @@ from tidewire.llm.common import col
 
 UNKNOWN = "und"
 PIECE = 1024
+SHORT = 64
+COPIES = 8
 LEVEL = 6
 #: Share of the second smallest size by which the smallest must be below it.
 NARROW = 0.02
@@ -122,6 +126,9 @@ class Scorer:
 
     def sizes(self, body: bytes) -> list[int]:
         pieces = [body[a : a + PIECE] for a in range(0, len(body), PIECE)]
+        # Only the last piece can be short.
+        if pieces and len(pieces[-1]) < SHORT:
+            pieces[-1] *= COPIES
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def score(self, text: str | None) -> tuple[str, float, float]:
