@@ -248,6 +248,32 @@ def test_resource_headers_in_any_order_and_quoting(spark, tmp_path):
     assert unread_resource_files(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_large_resource_file_is_read_in_splits(spark, tmp_path):
+    run, n = tmp_path / "logs" / "s" / "t" / "r", 2000
+    times = [f"2025-01-01T10:{i // 60 % 60:02}:{i % 60:02}" for i in range(n)]
+    head = "network_rx,timestamp\r\n"
+    lines = [f"{i},{t}\r\n" for i, t in enumerate(times)]
+    put(run / "s_t-P0.csv", "\ufeff" + head + "".join(lines[:1500]) + head + "".join(lines[1500:]))
+    put(run / "s_t-P1.csv", "timestamp,network_rx\n2025-01-01T10:00:01,7\n")
+    put(run / "s_t-P2.csv", "\ufeff")
+    put(run / "s_t-P3.csv", "\n")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in kept:
+            spark.conf.set(k, "4096")
+        samples = read_resource_files(spark, str(tmp_path))
+        got = samples.select("source", "timestamp", "network_rx", F.spark_partition_id().alias("task")).collect()
+        lost = {r["file"][-10:]: r["reason"] for r in unread_resource_files(spark, str(tmp_path)).collect()}
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert len({r["task"] for r in got if r["source"] == "P0"}) > 5
+    assert sorted(r["network_rx"] for r in got if r["source"] == "P0") == list(range(n))
+    assert all(r["timestamp"].second == r["network_rx"] % 60 for r in got if r["source"] == "P0")
+    assert [r["network_rx"] for r in got if r["source"] == "P1"] == [7]
+    assert lost == {"s_t-P2.csv": "no header", "s_t-P3.csv": "no header"}
+
+
 def test_equal_containers_of_two_runs_keep_their_settings(spark, tmp_path):
     head = "[CONFIG] 2025-01-01 10:00:00.000001,"
     for run, value in (("r1", "one"), ("r2", "two")):

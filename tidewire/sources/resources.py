@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.functions.labels import file_stem, source_label
 from tidewire.functions.lenient import parse_timestamp
 from tidewire.schemas import RESOURCE_COUNTERS, RUN
+from tidewire.session import materialise
 from tidewire.sources.event_log import any_file, run_file_glob, run_keys_from_path
 
 
@@ -49,13 +50,29 @@ def _csv_cells(line: Column) -> Column:
 
 
 def _resource_lines(spark: SparkSession, pattern: str) -> DataFrame:
-    """``file, header, lines`` of every file; a file is one container's samples of one run."""
-    text = F.regexp_replace("value", "^\ufeff", "")
-    return (
-        spark.read.text(pattern, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("file"), F.split(text, "\r?\n").alias("lines"))
-        .select("file", F.get("lines", F.lit(0)).alias("first"), "lines")
-        .select("file", "first", _csv_cells(F.col("first")).alias("header"), "lines")
+    """``file, start, line`` of every line; a large file is read by many tasks.
+
+    ``start`` is the place in the file at which the line's task began.
+    """
+    return spark.read.text(pattern, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.regexp_replace("value", "^\ufeff|\r\\z", "").alias("line"),
+    )
+
+
+def _resource_headers(spark: SparkSession, pattern: str) -> DataFrame:
+    """``file, first, header`` of every file with a line: one narrow row each, written."""
+    # Rows of a task are numbered in order, and one task alone reads a file's start.
+    firsts = (
+        _resource_lines(spark, pattern)
+        .filter("start = 0")
+        .withColumn("at", F.monotonically_increasing_id())
+        .groupBy("file")
+        .agg(F.min_by("line", "at").alias("first"))
+    )
+    return materialise(
+        firsts.select("file", "first", _csv_cells(F.col("first")).alias("header")), "resource-headers"
     )
 
 
@@ -64,10 +81,12 @@ def unread_resource_files(spark: SparkSession, base: str, **selection: Sequence[
     pattern = run_file_glob(base, "csv", **selection)
     if not any_file(spark, pattern):
         return spark.createDataFrame([], "file string, reason string")
-    empty = F.trim("first") == ""
+    empty = F.trim(F.coalesce("first", F.lit(""))) == ""
+    # Files are listed, not opened; one without any line has no header row.
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("file"))
     return (
-        _resource_lines(spark, pattern)
-        .filter(~F.array_contains("header", "timestamp"))
+        files.join(_resource_headers(spark, pattern), "file", "left")
+        .filter(~F.coalesce(F.array_contains("header", "timestamp"), F.lit(False)))
         .select("file", F.when(empty, "no header").otherwise("no timestamp column").alias("reason"))
     )
 
@@ -76,9 +95,10 @@ def read_resource_files(spark: SparkSession, base: str, **selection: Sequence[st
     """Samples of ``logs*/scenario/tech/run/*.csv``.
 
     The first line of a file is its header, whichever column leads and however it is quoted;
-    values are matched to it by name, as older files lack some columns. Every file is read once, as
-    a whole: it holds one container's samples of one run. Files without a ``timestamp`` column are
-    those that ``unread_resource_files`` lists.
+    values are matched to it by name, as older files lack some columns. The headers are found first
+    and joined to the lines by file; files are read in splits, so a container with very many samples
+    is many tasks. Files without a ``timestamp`` column are those that ``unread_resource_files``
+    lists.
     """
     pattern = run_file_glob(base, "csv", **selection)
     if not any_file(spark, pattern):
@@ -86,11 +106,11 @@ def read_resource_files(spark: SparkSession, base: str, **selection: Sequence[st
         ddl += ", timestamp timestamp, " + ", ".join(f"{c} double" for c in RESOURCE_COUNTERS)
         return spark.createDataFrame([], ddl)
     line = F.col("line")
+    headers = _resource_headers(spark, pattern).filter(F.array_contains("header", "timestamp"))
     rows = (
         _resource_lines(spark, pattern)
-        .filter(F.array_contains("header", "timestamp"))
-        .select("file", "first", "header", F.explode(F.slice("lines", 2, F.size("lines"))).alias("line"))
-        # A writer that was started again repeats the header.
+        .join(headers, "file")
+        # The header itself; a writer that was started again repeats it.
         .filter((line != "") & (line != F.col("first")))
         .select("file", *run_keys_from_path(F.col("file")), "header", _csv_cells(line).alias("cells"))
     )
