@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.payload import MIB, batch_limit
+from tidewire.operators import microbatch
 from tidewire.operators.microbatch import assign_batches, summarise_batches
 from tidewire.operators.sliced_window import with_previous
 
@@ -79,6 +80,25 @@ def test_batches_equal_the_sequential_rule(spark, seed, limit, top, width, per_b
             assert r["n_bytes"] >= limit or (r["k"], r["published_us"]) in forced
 
 
+def test_no_group_of_batch_summaries_grows_with_the_key(spark, monkeypatch):
+    written = []
+
+    def record(df, label, write=microbatch.materialise):
+        written.append((label, write(df, label)))
+        return written[-1][1]
+
+    monkeypatch.setattr(microbatch, "materialise", record)
+    monkeypatch.setattr(microbatch, "_FAN_IN", 3, raising=False)
+    rows = [("a", i, i % 5, i % 41 == 7) for i in range(200)] + [("b", 3, 1, False)]
+    df = spark.createDataFrame(rows, "k string, seq bigint, size bigint, force boolean")
+    got = assign_batches(
+        df, ["k"], ["seq"], "size", 23, forced=F.col("force"), rows_per_slice=5, slices_per_block=2
+    )
+    assert {(r["k"], r["seq"]): r["batch_id"] for r in got.collect()} == plain_batches(rows, 23)
+    levels = [made.where("k = 'a'").count() for label, made in written if label in ("batch-slices", "batch-blocks")]
+    assert levels == [40, 20, 7, 3, 1]
+
+
 def test_batch_limit():
     assert batch_limit(1024) == 8 * MIB
     assert batch_limit(4 * MIB) == 16 * MIB

@@ -5,8 +5,10 @@ The counter restarts at every close, so the rule is a fold over the rows of a
 key. To keep one key from becoming one task, each key is cut into slices. What
 a slice does to the bytes carried into it depends only on which of its first
 rows closes the first batch, so a slice is summed up by one entry per such row.
-Summaries are combined into blocks, blocks are chained along the key, and with
-the carried bytes known every slice numbers its own rows in parallel.
+Summaries are combined into blocks, blocks into blocks of blocks, until one is
+left of every key; the state that enters each is handed down the same levels, so
+no group grows with the key. With the carried bytes known every slice numbers
+its own rows in parallel.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from tidewire.operators.sliced_window import with_previous
 from tidewire.session import materialise
 
 _FORCED = 2**62
+#: Blocks that are combined into one of the next level.
+_FAN_IN = 16
 _SUMMARY = (
     "_first array<bigint>, _carry array<bigint>, _closed array<bigint>, _total bigint"
 )
@@ -177,34 +181,35 @@ def assign_batches(
         ),
         "batch-slices",
     )
-    blocked = summaries.withColumn("_block", F.floor(F.col("_slice") / slices_per_block))
-
     def compose(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_slice")
         return _summary_row(rows, [*keys, "_block"], _compose(_parts(rows), limit))
 
-    blocks = blocked.groupBy(*keys, "_block").applyInArrow(
-        compose, f"{key_ddl}, _block bigint, {_SUMMARY}"
-    )
-
-    def chain(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_block")
-        return _with_states(rows, [*keys, "_block"], _walk(_parts(rows), limit, 0, 0))
-
-    entered = blocks.groupBy(*keys).applyInArrow(
-        chain, f"{key_ddl}, _block bigint, _held bigint, _count bigint"
-    )
-
     def spread(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_slice")
         entry = (rows["_held"][0].as_py(), rows["_count"][0].as_py())
         return _with_states(rows, [*keys, "_slice"], _walk(_parts(rows), limit, *entry))
 
-    states = (
-        blocked.join(entered, [*keys, "_block"])
-        .groupBy(*keys, "_block")
-        .applyInArrow(spread, f"{key_ddl}, _slice bigint, _held bigint, _count bigint")
-    )
+    # Every level names its members _slice and the member of the next level _block.
+    levels = []
+    level, fan_in = summaries, slices_per_block
+    while level.agg(F.max("_slice")).first()[0]:
+        levels.append(level.withColumn("_block", F.floor(F.col("_slice") / fan_in)))
+        made = levels[-1].groupBy(*keys, "_block").applyInArrow(
+            compose, f"{key_ddl}, _block bigint, {_SUMMARY}"
+        )
+        level = materialise(made.withColumnRenamed("_block", "_slice"), "batch-blocks")
+        fan_in = _FAN_IN
+    nothing = F.lit(0).cast("bigint")
+    states = level.select(*keys, "_slice", nothing.alias("_held"), nothing.alias("_count"))
+    for members in reversed(levels):
+        entered = states.withColumnRenamed("_slice", "_block")
+        states = materialise(
+            members.join(entered, [*keys, "_block"])
+            .groupBy(*keys, "_block")
+            .applyInArrow(spread, f"{key_ddl}, _slice bigint, _held bigint, _count bigint"),
+            "batch-states",
+        )
 
     ddl = ", ".join(f"`{c}` {types[c]}" for c in columns)
 
