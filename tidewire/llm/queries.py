@@ -12,6 +12,8 @@ from tidewire.llm import (
     decontaminate,
     exact_dedup,
     language,
+    licenses,
+    manifest,
     mixing,
     near_dedup,
     pii,
@@ -19,6 +21,7 @@ from tidewire.llm import (
     substring_dedup,
     token_counts,
     token_files,
+    variants,
 )
 from tidewire.session import scratch_path, use_utc
 
@@ -146,8 +149,7 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op3_near_dedup"] = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-         'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
-]+'), []) AS w
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(w[k : k + least(len(w), 5) - 1], ' ') AS shingle
@@ -274,3 +276,178 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("base", 256).alias("base_sha256"),
         "spans",
     )
+
+
+@query
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+_TEMPLATES = ", ".join(
+    f"({i}, '{t.label}', '{t.words}', {str(t.exact).lower()})"
+    for i, t in enumerate(licenses.TEMPLATES)
+)
+
+ORACLES["op11_license_scan"] = rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+t AS (
+  SELECT t, label, string_split(words, ' ') AS w, exact
+  FROM (VALUES {_TEMPLATES}) AS v(t, label, words, exact)
+), grams AS (
+  SELECT t, label, exact, len(w) AS n, p, w[p + 1] AS a, w[p + 2] AS b
+  FROM (SELECT *, unnest(range(0, len(w) - 1)) AS p FROM t)
+), hits AS (
+  SELECT doc_id, t, label, exact, n, g.p, d.p - g.p AS diagonal
+  FROM (SELECT doc_id, p, w[p + 1] AS a, w[p + 2] AS b
+        FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS p FROM d)) d
+  JOIN grams g USING (a, b)
+), places AS (
+  SELECT doc_id, label, diagonal FROM hits WHERE exact
+  GROUP BY doc_id, t, label, n, diagonal HAVING count(DISTINCT p) = n - 1
+), near AS (
+  SELECT DISTINCT x.doc_id, x.t, x.label, x.n, x.diagonal, y.p
+  FROM (SELECT DISTINCT doc_id, t, label, n, diagonal FROM hits WHERE NOT exact) x
+  JOIN hits y ON x.doc_id = y.doc_id AND x.t = y.t AND y.diagonal BETWEEN x.diagonal AND x.diagonal + 3
+), notices AS (
+  SELECT doc_id, label, count(DISTINCT k) / n AS coverage
+  FROM (SELECT *, unnest([p, p + 1]) AS k FROM near) GROUP BY doc_id, t, label, n, diagonal
+  HAVING count(DISTINCT k) / n >= 0.8
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM places GROUP BY doc_id
+), every AS (
+  SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(coverage) AS score
+  FROM (SELECT doc_id, label, 1.0 AS coverage FROM places UNION ALL SELECT * FROM notices) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base,
+       CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+       coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
+       coalesce(CAST(score AS DOUBLE), 0.0) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and tamper check of every document."""
+    docs = table(spark, sf_dir, "documents").select(*manifest.FIELDS)
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    cut = F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return manifest.build(docs, changed={"text": cut})
+
+
+#: crc32 of the bytes in list ``bytes``, by the table of the polynomial's remainders.
+_CRC_TABLE = """crc AS (
+  SELECT list(list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z:
+              xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY b) AS tbl
+  FROM (SELECT unnest(range(0, 256)) AS b)
+)"""
+
+
+def _crc32(text: str) -> str:
+    """DuckDB expression of the unsigned crc32 of a text's UTF-8 bytes; needs ``crc`` joined."""
+    digits = f"hex(encode({text}))"
+    one = f"CAST('0x' || substr({digits}, i, 2) AS BIGINT)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len({digits}), 2), lambda i: {one})), "
+        "lambda c, b: xor(c >> 8, tbl[(xor(c, b) & 255) + 1])), 4294967295)"
+    )
+
+
+def _field(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text}) || ':' || {text}, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(f) for f in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+ORACLES["op12_merkle_manifest"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+leaves AS (
+  SELECT doc_id, coalesce('s' || source, '') AS tree, source, {_leaf('text')} AS leaf,
+         CASE WHEN {_crc32('CAST(doc_id AS VARCHAR)')} % 2 = 0
+              THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS other,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos
+  FROM documents, crc
+), nodes AS (
+  SELECT tree, 0 AS level, pos, leaf AS digest, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM nodes WHERE n > 1 GROUP BY tree, level, pos // 3
+), subroots AS (
+  SELECT tree, digest, level AS height, row_number() OVER (ORDER BY tree) - 1 AS pos
+  FROM nodes WHERE n = 1
+), upper AS (
+  SELECT 0 AS level, pos, digest, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM upper WHERE n > 1 GROUP BY level, pos // 3
+), top AS (SELECT digest AS root, level AS height FROM upper WHERE n = 1),
+every AS (
+  SELECT tree, level, pos, digest FROM nodes WHERE n > 1
+  UNION ALL SELECT s.tree, s.height + u.level, u.pos, u.digest FROM subroots s, upper u WHERE u.n > 1
+), climb AS (
+  SELECT l.doc_id, l.tree, 0 AS level, CASE WHEN s.height = 0 THEN s.pos ELSE l.pos END AS pos, l.other AS value,
+         '' AS proof, s.pos AS tree_pos, s.height, s.height + t.height AS total
+  FROM leaves l JOIN subroots s USING (tree), top t
+  UNION ALL
+  SELECT c.doc_id, c.tree, c.level + 1,
+         CASE WHEN c.level + 1 = any_value(c.height) THEN any_value(c.tree_pos) ELSE any_value(c.pos) // 3 END,
+         sha256(string_agg(CASE WHEN e.pos = c.pos THEN c.value ELSE e.digest END, '' ORDER BY e.pos)),
+         any_value(c.proof) || coalesce(string_agg(CASE WHEN e.pos <> c.pos THEN e.digest END, '' ORDER BY e.pos), ''),
+         any_value(c.tree_pos), any_value(c.height), any_value(c.total)
+  FROM climb c JOIN every e ON e.tree = c.tree AND e.level = c.level AND e.pos // 3 = c.pos // 3
+  WHERE c.level < c.total GROUP BY c.doc_id, c.tree, c.level
+)
+SELECT l.doc_id, l.leaf, s.digest AS subroot, root, sha256(proof) AS proof_sha256,
+       value AS folded_root, value = root AS verified
+FROM climb c JOIN leaves l USING (doc_id) JOIN subroots s ON s.tree = l.tree, top
+WHERE c.level = c.total
+"""
+
+
+@query
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of the documents."""
+    return variants.find_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+ORACLES["op13_spelling_variants"] = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS n
+  FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')),
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {_crc32("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM runs, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n
+  FROM (SELECT n, CASE WHEN h % 97 = 0
+               THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), less AS (
+  SELECT word, n, length(word) AS l, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM less a JOIN less b ON a.rest = b.rest AND a.l = b.l AND a.k = b.k AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), ranked AS (
+  SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near,
+         row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS place FROM pairs
+), best AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN r.n >= 2 * w.n THEN b END AS form, CASE WHEN r.n >= 2 * w.n THEN r.n END AS form_n
+  FROM words w LEFT JOIN ranked r ON r.a = w.word AND place = 1
+), steps AS (
+  SELECT word, word AS here, 0 AS step FROM best
+  UNION ALL
+  SELECT s.word, b.form, step + 1 FROM steps s JOIN best b ON b.word = s.here WHERE b.form IS NOT NULL
+), roots AS (SELECT word, arg_max(here, step) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM best JOIN roots USING (word)
+"""
