@@ -362,6 +362,39 @@ def microbatch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise_batches(_assigned(spark, sf_dir), _BATCH_KEYS, "t0", "sz")
 
 
+def publisher_batches(select: str) -> str:
+    """SQL over the batches of every publisher, all its topics together, at the limit of small payloads."""
+    limit = pay.batch_limit(0)
+    return f"""WITH RECURSIVE {sql.MSG.strip()},
+seqs AS (
+  SELECT *, row_number() OVER (PARTITION BY scenario, tech, run, p ORDER BY t0, event_id) AS n FROM msg),
+fold AS (
+  SELECT scenario, tech, run, p, event_id, t0, sz, n, 0::BIGINT AS batch_id,
+         CASE WHEN sz >= {limit} OR err THEN 0 ELSE sz END AS held, (sz >= {limit} OR err)::BIGINT AS closed
+  FROM seqs WHERE n = 1
+  UNION ALL
+  SELECT s.scenario, s.tech, s.run, s.p, s.event_id, s.t0, s.sz, s.n, f.batch_id + f.closed,
+         CASE WHEN f.held + s.sz >= {limit} OR s.err THEN 0 ELSE f.held + s.sz END,
+         (f.held + s.sz >= {limit} OR s.err)::BIGINT
+  FROM fold f JOIN seqs s ON s.scenario = f.scenario AND s.tech = f.tech AND s.run = f.run
+    AND s.p = f.p AND s.n = f.n + 1)
+{select}"""
+
+
+@register(
+    "microbatch_assign_publisher",
+    publisher_batches("SELECT scenario, tech, run, p, event_id, sz, batch_id FROM fold"),
+)
+def microbatch_assign_publisher(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of a publisher over all its topics, at the limit of its payload size."""
+    keys = [*RUN, "p"]
+    rows = messages(spark, sf_dir).select(*keys, "event_id", "t0", "sz", "err")
+    assigned = assign_batches(
+        rows, keys, ["t0", "event_id"], "sz", pay.batch_limit(0), forced=F.col("err"), slice_us=60_000_000
+    )
+    return assigned.select(*keys, "event_id", "sz", "batch_id")
+
+
 @register(
     "stream_completion",
     sql.with_views(
@@ -387,6 +420,11 @@ nth AS (
 )
 def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = termination_rows(spark, sf_dir)
+    return msgs.stream_completion(msgs.closing_events(rows), followed_streams(rows))
+
+
+def followed_streams(rows: DataFrame) -> DataFrame:
+    """Topics and streams of both consumers; the second follows two topics only."""
     streams = rows.select(*RUN, "p", "topic").distinct()
     consumer = F.explode(F.array(F.lit("C0"), F.lit("C1")))
     followed = (
@@ -395,10 +433,9 @@ def completion(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("c", consumer)
         .filter((F.col("c") == "C0") | F.col("topic").isin("view", "click"))
     )
-    subscriptions = followed.select(
+    return followed.select(
         *RUN,
         F.concat_ws("-", "tech", "c").alias("container_name"),
         "topic",
         F.when(F.col("tech") == "alpha", F.lit(1)).otherwise(F.col("publishers")).alias("streams"),
     )
-    return msgs.stream_completion(msgs.closing_events(rows), subscriptions)

@@ -40,7 +40,7 @@ def stream_buckets(events: DataFrame, *, lateness: str) -> DataFrame:
 
 
 def drain_buckets(buckets: DataFrame, path: str, checkpoint: str) -> None:
-    """Write the changed buckets of every micro-batch.
+    """Write the changed rows of an aggregate, buckets or others, of every micro-batch.
 
     Each micro-batch owns one folder, so a batch that is run again replaces
     what it wrote before.
@@ -59,11 +59,28 @@ def drain_buckets(buckets: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
+def read_latest(spark: SparkSession, path: str, keys: list[str], key_types: str, values: str) -> DataFrame:
+    """Latest row of every key among those that ``drain_buckets`` wrote."""
+    stored = spark.read.schema(f"{key_types}, {values}, batch_id bigint").parquet(path)
+    names = [c for c in stored.columns if c not in (*keys, "batch_id")]
+    latest = F.max_by(F.struct(*names), "batch_id").alias("v")
+    return stored.groupBy(*keys).agg(latest).select(*keys, "v.*")
+
+
 def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     """Latest value of every bucket."""
-    stored = spark.read.schema(
-        "scenario string, tech string, run string, event_type string, second bigint, "
-        "bytes bigint, sized bigint, first_ms bigint, batch_id bigint"
-    ).parquet(path)
-    latest = F.max_by(F.struct("bytes", "sized", "first_ms"), "batch_id").alias("v")
-    return stored.groupBy(*_KEYS).agg(latest).select(*_KEYS, "v.*")
+    return read_latest(
+        spark,
+        path,
+        _KEYS,
+        "scenario string, tech string, run string, event_type string, second bigint",
+        "bytes bigint, sized bigint, first_ms bigint",
+    )
+
+
+def with_filled(buckets: DataFrame, filled: DataFrame) -> DataFrame:
+    """Buckets plus the bytes that ``filled_sizes`` found for rows without a size."""
+    found = filled.withColumn("first_ms", F.lit(None).cast("bigint"))
+    return buckets.unionByName(found).groupBy(*_KEYS).agg(
+        F.sum("bytes").alias("bytes"), F.sum("sized").alias("sized"), F.min("first_ms").alias("first_ms")
+    )
