@@ -67,6 +67,42 @@ def test_report(spark, tmp_path):
     assert cpu == {("avg", 1.0), ("r0", 0.0), ("r1", 2.0)}
 
 
+def frames_of(frames):
+    return {n: sorted(tuple(r) for r in f.collect()) for n, f in frames.items()}
+
+
+def test_report_through_the_store(spark, tmp_path, monkeypatch):
+    from tidewire.plans import report as module
+
+    for tech, run, shift in (("alpha", "r0", 0), ("alpha", "r1", 2), ("beta", "r0", 0)):
+        write_run(tmp_path / "logs" / "demo" / tech / run, tech, shift)
+    opened = []
+    read = module.read_run_folders
+
+    def noted(spark, folders):
+        opened.append(sorted("/".join(f.split("/")[-2:]) for f in folders))
+        return read(spark, folders)
+
+    monkeypatch.setattr(module, "read_run_folders", noted)
+    base, root = str(tmp_path), str(tmp_path / "store")
+    for offsets in ((5, 5), (0, 0)):
+        wanted = Selection("demo", start_offset_s=offsets[0], end_offset_s=offsets[1], show_individual=True)
+        assert frames_of(report(spark, base, wanted, root)) == frames_of(report(spark, base, wanted))
+    assert opened == [["alpha/r0", "alpha/r1", "beta/r0"]] * 2
+    # One run loses a stage, another all its rows that have a size.
+    del opened[:]
+    for run, stages in (("r0", ("Serializing", "Publication")), ("r1", ("Serializing",))):
+        file = tmp_path / "logs" / "demo" / "alpha" / run / "x_events.parquet"
+        rows = pq.read_table(file).to_pylist()
+        pq.write_table(pa.Table.from_pylist([r for r in rows if r["event_type"] in stages]), file)
+    got = frames_of(report(spark, base, wanted, root))
+    assert got == frames_of(report(spark, base, wanted))
+    assert opened == [["alpha/r0", "alpha/r1"]] * 2
+    shown = {(r[1], r[2], r[3]) for r in got["throughput"]}
+    assert ("alpha", "r0", "Publication") in shown
+    assert not [r for r in shown if r[:2] == ("alpha", "r1") or r[:2] == ("alpha", "r0") and r[2] != "Publication"]
+
+
 def test_report_of_nothing_is_empty(spark, tmp_path):
     frames = report(spark, str(tmp_path), Selection("demo"))
     assert all(f.collect() == [] for f in frames.values())
@@ -87,6 +123,6 @@ def test_ingest(spark, tmp_path):
 
 def test_selection_limits():
     with pytest.raises(ValueError):
-        Selection("s", window_s=11)
+        Selection("s", window_s=0)
     with pytest.raises(ValueError):
         Selection("s", end_offset_s=-1)

@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--start-offset", type=int, default=5)
     r.add_argument("--end-offset", type=int, default=5)
     r.add_argument("--individual", action="store_true")
+    r.add_argument("--store", default=None, help="metric store folder; stored runs are not opened")
     i = commands.add_parser("ingest", help="parse raw container logs of a run")
     i.add_argument("logs", help="log files, one per container, as a path pattern")
     i.add_argument("out", help="event log folder")
@@ -52,7 +53,7 @@ def main(argv: list[str] | None = None) -> None:
         args.end_offset,
         args.individual,
     )
-    save_report(report(spark, args.base, selection), args.out)
+    save_report(report(spark, args.base, selection, args.store), args.out)
 
 
 if __name__ == "__main__":

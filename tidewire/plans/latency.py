@@ -12,7 +12,7 @@ from tidewire.operators.stage_pairs import (
     stage_bounds,
     weighted_pairs,
 )
-from tidewire.schemas import END_TO_END, PUB_TO_REC, REC_TO_DES, RUN, SER_TO_PUB
+from tidewire.schemas import DESERIALIZED, END_TO_END, PUB_TO_REC, REC_TO_DES, RUN, SER_TO_PUB
 from tidewire.session import materialise
 
 # The reported percentiles.
@@ -74,7 +74,11 @@ def latency_trimmed(events: DataFrame, start_s: int = 5, end_s: int = 5) -> Data
     """
     if start_s == 0 and end_s == 0:
         return latency_stats(events)
-    samples = materialise(segment_samples(events), "segment-samples")
+    return trimmed_from_samples(materialise(segment_samples(events), "segment-samples"), start_s, end_s)
+
+
+def trimmed_from_samples(samples: DataFrame, start_s: int = 5, end_s: int = 5) -> DataFrame:
+    """``latency_trimmed`` of samples that were counted, and written, before."""
     last = materialise(
         samples.groupBy(*RUN).agg((F.max("time_s") - end_s).alias("last_s")), "run-ends"
     )
@@ -87,6 +91,27 @@ def latency_trimmed(events: DataFrame, start_s: int = 5, end_s: int = 5) -> Data
     return _stats(hist)
 
 
+def stored_samples(events: DataFrame) -> DataFrame:
+    """What the metric store keeps of a run: its samples and, with weight 0, the segments it must report.
+
+    Weights add up, so percentiles at any offsets, and over several runs, come from these rows.
+    """
+    samples = segment_samples(events)
+    bounds = events.groupBy(*RUN).agg(F.max(F.col("event_type") == DESERIALIZED).alias("has_deserialized"))
+    nothing = [F.lit(v).cast("bigint").alias(c) for c, v in (("time_s", None), ("latency_ms", None), ("weight", 0))]
+    return samples.unionByName(expected_segments(bounds).select(*_KEYS, *nothing))
+
+
+def latency_from_store(stored: DataFrame, start_s: int = 5, end_s: int = 5) -> DataFrame:
+    """``latency_trimmed`` of ``stored_samples``; without offsets all expected segments have a row."""
+    samples = stored.filter("weight > 0")
+    if start_s or end_s:
+        return trimmed_from_samples(samples, start_s, end_s)
+    hist = samples.groupBy(*_KEYS, "latency_ms").agg(F.sum("weight").alias("weight"))
+    expected = stored.filter("weight = 0").select(*_KEYS)
+    return expected.join(_stats(materialise(hist, "latency-histogram")), _KEYS, "left")
+
+
 def average_latency(stats: DataFrame) -> DataFrame:
     """Mean of the per-run percentiles by segment."""
     return stats.groupBy("scenario", "tech", "segment").agg(*[F.avg(c).alias(c) for c in STATS])

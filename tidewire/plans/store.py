@@ -1,7 +1,14 @@
-"""Metric store: computed curves as partitioned Parquet, checked before reuse."""
+"""Metric store: computed tables as versioned Parquet, checked before reuse.
+
+Every computation writes a version folder of its own, partitioned by run. An index names, for each
+run, the version that holds its rows and the input files it was made of; it is written last, so a
+run's rows change all at once and a job that dies leaves what was there. Rows of a run that the new
+version lacks are gone with the old version, and a run whose result is empty is known to be so.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -15,8 +22,10 @@ from tidewire.session import materialise
 
 #: What tells whether the files of a run have changed.
 INPUT_FIELDS = ("n_files", "n_bytes", "changed_us")
-_INPUTS = "_inputs"
-_INPUT_SCHEMA = ", ".join([*[f"{c} bigint" for c in INPUT_FIELDS], *[f"{k} string" for k in RUN]])
+_INDEX = "_index"
+_INDEX_SCHEMA = ", ".join(
+    ["version string", *[f"{c} bigint" for c in INPUT_FIELDS], *[f"{k} string" for k in RUN]]
+)
 
 
 def metric_path(root: str, name: str, **params: object) -> str:
@@ -25,16 +34,40 @@ def metric_path(root: str, name: str, **params: object) -> str:
     return "/".join(parts)
 
 
-def save_metric(frame: DataFrame, path: str, keys: Sequence[str] = RUN) -> None:
-    """Write by run; runs in ``frame`` are replaced, all others stay."""
-    frame.hint("rebalance", *keys).write.mode("overwrite").option(
+def _index(spark: SparkSession, path: str) -> DataFrame | None:
+    """``version``, input marks and run keys of every stored run."""
+    try:
+        return spark.read.schema(_INDEX_SCHEMA).parquet(f"{path}/{_INDEX}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def _save(frame: DataFrame, path: str, keys: Sequence[str], made_of: DataFrame) -> None:
+    """A new version with the rows of ``frame``, then the index of the runs in ``made_of``."""
+    version = uuid.uuid4().hex
+    frame.hint("rebalance", *keys).write.partitionBy(*keys).parquet(f"{path}/version={version}")
+    rows = made_of.select(F.lit(version).alias("version"), *INPUT_FIELDS, *RUN)
+    rows.hint("rebalance", *RUN).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*keys).parquet(path)
+    ).partitionBy(*RUN).parquet(f"{path}/{_INDEX}")
 
 
-def load_metric(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored rows; ``schema`` names all columns, keys included as strings."""
-    return spark.read.schema(schema).parquet(path)
+def _rows_of(spark: SparkSession, path: str, schema: str, indexed: DataFrame) -> DataFrame:
+    """The stored rows of the runs in ``indexed``; other versions are not even listed.
+
+    There are as many versions as computations whose rows are still in use.
+    """
+    versions = sorted(r["version"] for r in indexed.select("version").distinct().collect())
+    if not versions:
+        return spark.createDataFrame([], schema)
+    stored = (
+        spark.read.schema(f"{schema}, version string")
+        .option("basePath", path)
+        .parquet(*[f"{path}/version={v}" for v in versions])
+    )
+    return stored.join(indexed.select("version", *RUN), ["version", *RUN], "left_semi").drop("version")
 
 
 def load_or_compute(
@@ -49,36 +82,44 @@ def load_or_compute(
 ) -> DataFrame:
     """Read-through: only runs without a valid stored result are computed.
 
-    With ``inputs`` (a row per run, see ``sources.catalog.run_inputs``) a stored
-    run also counts as missing if its files are no longer those it was made of.
+    With ``inputs`` (a row per run, see ``sources.catalog.run_inputs``) a stored run also counts as
+    missing if its files are no longer those it was made of. Without it a run that was stored stays
+    current while it is valid.
 
-    ``compute`` gets the missing runs and returns their rows. ``is_valid`` maps
-    stored rows to the run keys worth keeping; by default a curve must pass
-    ``curve_quality``.
+    ``compute`` gets the missing runs and returns their rows; ``schema`` names all columns, keys
+    included as strings, and ``keys`` (the run keys and others) partition them. ``is_valid`` maps
+    stored rows to the run keys worth keeping; by default a curve must pass ``curve_quality``. A run
+    stored without rows is valid.
     """
     check = is_valid or (lambda df: curve_quality(df, RUN).filter("valid").select(*RUN))
     # The run lists are written first, so joins on them know their size and do
     # not shuffle the events by run.
     wanted = materialise(runs.select(*RUN).distinct(), "wanted-runs")
-    try:
-        stored = load_metric(spark, path, schema)
-        current = check(stored)
-        if inputs is not None:
-            now = materialise(inputs.select(*RUN, *INPUT_FIELDS), "run-inputs")
-            seen = spark.read.schema(_INPUT_SCHEMA).parquet(f"{path}/{_INPUTS}")
-            current = current.join(seen.join(now, [*RUN, *INPUT_FIELDS], "left_semi"), RUN, "left_semi")
-        missing = materialise(wanted.join(current, RUN, "left_anti"), "missing-runs")
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        missing = wanted
+    marks = None if inputs is None else materialise(inputs.select(*RUN, *INPUT_FIELDS), "run-inputs")
+    missing = wanted
+    index = _index(spark, path)
+    if index is not None:
+        known = index.join(wanted, RUN, "left_semi")
+        if marks is not None:
+            known = known.join(marks, [*RUN, *INPUT_FIELDS], "left_semi")
+        known = materialise(known, "known-runs")
+        stored = _rows_of(spark, path, schema, known)
+        invalid = stored.select(*RUN).distinct().join(check(stored), RUN, "left_anti")
+        missing = wanted.join(known.join(invalid, RUN, "left_anti"), RUN, "left_anti")
+        missing = materialise(missing, "missing-runs")
     if not missing.isEmpty():
-        save_metric(compute(missing), path, keys)
-        if inputs is not None:
-            # Written after the result: if the job dies in between, the run is computed again.
-            made_of = inputs.select(*RUN, *INPUT_FIELDS).join(missing, RUN, "left_semi")
-            save_metric(made_of, f"{path}/{_INPUTS}")
-    return load_metric(spark, path, schema).join(wanted, RUN, "left_semi")
+        if marks is None:
+            unknown = [F.lit(None).cast("bigint").alias(c) for c in INPUT_FIELDS]
+            made_of = missing.select(*RUN, *unknown)
+        else:
+            # The marks of before the computation: files that change meanwhile are seen next time.
+            made_of = marks.join(missing, RUN, "left_semi")
+        _save(compute(missing), path, keys, made_of)
+    index = _index(spark, path)
+    if index is None:
+        return spark.createDataFrame([], schema)
+    current = materialise(index.join(wanted, RUN, "left_semi"), "current-runs")
+    return _rows_of(spark, path, schema, current)
 
 
 def with_event_label(curve: DataFrame) -> DataFrame:
@@ -86,6 +127,11 @@ def with_event_label(curve: DataFrame) -> DataFrame:
     return curve.withColumn("event", F.lower("event_type")).drop("event_type")
 
 
+def with_event_type(stored: DataFrame) -> DataFrame:
+    """The event type again, from its stored label."""
+    return stored.withColumn("event_type", F.initcap("event")).drop("event")
+
+
 def write_client_documents(documents: DataFrame, path: str, key: str) -> None:
     """One JSON line per client, in a folder per scenario."""
     documents.hint("rebalance", key).select(key, F.col("document").alias("value")).write.mode(

@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.plans.report import Selection, ingest_run_folders, throughput_curves
+from tidewire.plans.latency import latency_from_store, segment_samples
+from tidewire.plans.report import (
+    Selection,
+    ingest_run_folders,
+    latency_samples,
+    throughput_curves,
+)
 from tidewire.registry import register
 from tidewire.registry import sql_views as sql
 from tidewire.registry.ingest import log_lines
 from tidewire.registry.tables import event_rows, resource_rows
 from tidewire.schemas import RESOURCE_COUNTERS, RUN
 from tidewire.session import scratch_path
-from tidewire.sources.event_log import read_event_log, read_run_directories
+from tidewire.sources.event_log import normalise_events, read_event_log, read_run_directories
 from tidewire.sources.logs import parse_study_lines, read_run_logs
 from tidewire.sources.resources import read_resource_files
 
@@ -38,7 +44,7 @@ def _of(df: DataFrame, tech: str, run: str) -> DataFrame:
     ),
 )
 def event_folders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text times, timestamps, double and text sizes, and a missing column side by side."""
+    """Text times, timestamps, double, decimal and text sizes, and a missing column side by side, also in a run."""
     base = scratch_path(spark, "event-folders")
     size = F.col("serialized_size")
     shapes = [
@@ -49,7 +55,11 @@ def event_folders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     for (tech, run), (as_text, columns) in zip(_RUNS, shapes):
         rows = _of(event_rows(spark, sf_dir, as_text), tech, run)
-        rows.select(*columns).write.parquet(_folder(base, tech, run))
+        rows.filter("event_id % 3 > 0").select(*columns).write.parquet(_folder(base, tech, run))
+        # A third of every run lies in files of another shape.
+        rest = _of(event_rows(spark, sf_dir, not as_text), tech, run).filter("event_id % 3 = 0")
+        others = [c for c in columns if isinstance(c, str)] + [size.cast("decimal(18,0)").alias("serialized_size")]
+        rest.select(*others).write.mode("append").parquet(_folder(base, tech, run))
     back = read_run_directories(spark, base)
     return back.withColumn("us", F.unix_micros("timestamp")).drop("timestamp")
 
@@ -135,21 +145,78 @@ def ingest_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql.with_views(
         sql.curve(10),
         """SELECT scenario, tech, run, lower(event_type) AS event, time_s,
-                  round(throughput_mb_s, 9) AS throughput_mb_s FROM curve""",
+                  round(throughput_mb_s, 9) AS throughput_mb_s FROM curve
+           WHERE tech = 'beta' OR (run = 'r1' AND event_type = 'Publication')""",
     ),
 )
 def throughput_from_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run that changes after it was stored is computed again; the others are read."""
+    """Between two reads one run gains rows, one loses its last stages and one all it can show.
+
+    The fourth is read as it was stored.
+    """
     base, root = scratch_path(spark, "store-runs"), scratch_path(spark, "store")
-    rows = event_rows(spark, sf_dir)
-    columns = [*_EVENTS, "serialized_size"]
+    rows = event_rows(spark, sf_dir).select("tech", "run", *_EVENTS, "serialized_size")
+
+    def put(tech: str, run: str, keep: str = "true") -> None:
+        mine = _of(rows, tech, run).drop("tech", "run").filter(keep)
+        mine.write.mode("overwrite").parquet(_folder(base, tech, run))
+
     for tech, run in _RUNS:
-        mine = _of(rows, tech, run).select(*columns)
-        if (tech, run) == ("beta", "r1"):
-            mine = mine.filter("message_id like '%7'")
-        mine.write.parquet(_folder(base, tech, run))
+        put(tech, run, "message_id like '%7'" if (tech, run) == ("beta", "r1") else "true")
     wanted = Selection("demo")
     throughput_curves(spark, base, wanted, root)
-    _of(rows, "beta", "r1").select(*columns).write.mode("overwrite").parquet(_folder(base, "beta", "r1"))
+    put("beta", "r1")
+    put("alpha", "r1", "event_type <> 'Deserialized'")
+    put("alpha", "r0", "event_type = 'Serializing'")
     curve = throughput_curves(spark, base, wanted, root)
     return curve.withColumn("throughput_mb_s", F.round("throughput_mb_s", 9))
+
+
+@register("latency_store_roundtrip", sql.with_views(sql.LATENCY_TRIMMED, "SELECT * FROM stats"))
+def latency_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run gains a file, another loses one, between two reads of the stored samples."""
+    base, root = scratch_path(spark, "store-runs"), scratch_path(spark, "store")
+    rows = event_rows(spark, sf_dir).select("event_id", "tech", "run", *_EVENTS, "serialized_size")
+
+    def put(tech: str, run: str, keep: str, mode: str) -> None:
+        mine = _of(rows, tech, run).filter(keep).drop("event_id", "tech", "run")
+        mine.write.mode(mode).parquet(_folder(base, tech, run))
+
+    for tech, run in _RUNS:
+        put(tech, run, "event_id % 2 = 0" if (tech, run) == ("beta", "r1") else "true", "overwrite")
+    # Copies of some rows, with more samples each.
+    put("alpha", "r0", "event_id % 5 = 0", "append")
+    wanted = Selection("demo")
+    latency_samples(spark, base, wanted, root)
+    put("beta", "r1", "event_id % 2 = 1", "append")
+    put("alpha", "r0", "true", "overwrite")
+    return latency_from_store(latency_samples(spark, base, wanted, root))
+
+
+@register(
+    "latency_redelivered",
+    sql.with_views(
+        sql.EVENTS
+        + """,
+logged AS (
+  SELECT * REPLACE (CASE WHEN event_id % 41 = 0 THEN NULL ELSE topic END AS topic) FROM ev
+  UNION ALL
+  SELECT * FROM ev WHERE event_id % 7 = 0
+  UNION ALL
+  SELECT * REPLACE (us + 250000 AS us) FROM ev WHERE event_id % 11 = 0 AND event_type IN ('Reception', 'Deserialized'))"""
+        + sql.SAMPLES.removeprefix(sql.EVENTS).replace("FROM ev ", "FROM logged ").replace("JOIN ev ", "JOIN logged "),
+        """SELECT scenario, tech, run, segment, time_s, latency_ms, count(*) AS weight
+           FROM samples GROUP BY ALL""",
+    ),
+)
+def latency_redelivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact copies, messages received again later, and rows that lost their topic."""
+    rows = event_rows(spark, sf_dir)
+    lost = F.when(F.col("event_id") % 41 != 0, F.col("topic"))
+    again = rows.filter("event_id % 11 = 0 AND event_type IN ('Reception', 'Deserialized')")
+    log = (
+        rows.withColumn("topic", lost)
+        .unionByName(rows.filter("event_id % 7 = 0"))
+        .unionByName(again.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 250 MILLISECONDS")))
+    )
+    return segment_samples(normalise_events(log))

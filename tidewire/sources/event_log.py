@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import AnalysisException, PySparkTypeError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from tidewire.functions.lenient import parse_timestamp
 from tidewire.schemas import EVENT_COLUMNS, EVENT_TYPES, RUN
+from tidewire.session import materialise
 
 
 def _typed(df: DataFrame, name: str, kind: str) -> Column:
@@ -83,21 +89,8 @@ def any_file(spark: SparkSession, pattern: str) -> bool:
     return True
 
 
-def run_folders(spark: SparkSession, pattern: str) -> list[str]:
-    """The run folders that a file pattern reaches; files are listed, not opened."""
-    try:
-        listed = spark.read.format("binaryFile").load(pattern).select("path")
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return []
-        raise
-    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
-    return sorted(r["folder"] for r in listed.select(folder).distinct().collect())
-
-
-def _stored_types(spark: SparkSession, folder: str) -> str:
-    """Column declarations that fit how a run stores its events."""
-    stored = dict(spark.read.option("pathGlobFilter", "*.parquet").parquet(folder).dtypes)
+def _declared(stored: dict[str, str]) -> str:
+    """Column declarations that fit how a file stores its events."""
     plain = ("string", "tinyint", "smallint", "int", "bigint", "float", "double")
     kinds = {}
     for name, wanted in EVENT_COLUMNS.items():
@@ -109,27 +102,85 @@ def _stored_types(spark: SparkSession, folder: str) -> str:
     return ", ".join(f"{n} {t}" for n, t in kinds.items())
 
 
+def _footer_types(path: str) -> dict[str, str] | None:
+    """Column types in a file's footer; None where the store is one that only Spark opens."""
+    try:
+        where, name = fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, NotImplementedError):
+        return None
+    found = {}
+    for field in pq.read_schema(name, filesystem=where):
+        try:
+            found[field.name] = from_arrow_type(field.type).simpleString()
+        except PySparkTypeError:
+            found[field.name] = "unknown"
+    return found
+
+
+def stored_types(files: DataFrame) -> DataFrame:
+    """``folder, path`` with ``kinds``: the columns to declare for each file, null if unknown.
+
+    Footers are opened by the tasks, so the number of runs does not matter to the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_footer_types(unquote(p)) for p in b.column(1).to_pylist()]
+            kinds = [None if t is None else _declared(t) for t in found]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(kinds, pa.string())], names=["folder", "path", "kinds"]
+            )
+
+    return files.mapInArrow(run, "folder string, path string, kinds string")
+
+
+def _kinds_by_spark(spark: SparkSession, path: str) -> str:
+    return _declared(dict(spark.read.parquet(path).dtypes))
+
+
 def read_run_directories(spark: SparkSession, base: str, **selection: Sequence[str]) -> DataFrame:
-    """Events of ``logs*/scenario/tech/run`` folders, unselected runs never listed.
+    """Events of ``logs*/scenario/tech/run`` folders, unselected runs never listed."""
+    return _read_files(spark, [run_file_glob(base, "parquet", **selection)])
+
 
-    The columns are declared, not merged from every footer: a column a file
-    lacks reads as null, and a size column without any value (stored without a
-    type) as null too. Runs may differ in how they store times and sizes: one
-    footer of each run is looked up, runs of equal types are read together,
-    and all are cast leniently to the common types.
+def read_run_folders(spark: SparkSession, folders: Sequence[str]) -> DataFrame:
+    """Events of the named run folders; nothing else is listed."""
+    return _read_files(spark, [f"{f.rstrip('/')}/*.parquet" for f in folders])
+
+
+def _read_files(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """The files of the patterns, keyed by their folders.
+
+    The columns are declared, not merged: a column a file lacks reads as null, and a size column
+    without any value (stored without a type) as null too. Files may differ in how they store
+    times and sizes, also inside a run: files of equal types are read together, and all are cast
+    leniently to the common types. A folder whose files agree is named to the reader as a whole.
     """
-    pattern = run_file_glob(base, "parquet", **selection)
-    folders = run_folders(spark, pattern)
-    if not folders:
+    listed = [p for p in patterns if any_file(spark, p)]
+    if not listed:
         ddl = ", ".join(f"{k} string" for k in ("logs_root", *RUN))
         ddl += ", " + ", ".join(f"{n} {t}" for n, t in EVENT_COLUMNS.items())
         return spark.createDataFrame([], ddl)
+    files = spark.read.format("binaryFile").load(listed).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("folder"), "path"
+    )
+    kinds = materialise(stored_types(files), "file-types")
     groups: dict[str, list[str]] = {}
-    for folder in folders:
-        groups.setdefault(_stored_types(spark, folder), []).append(folder)
+    if kinds.where("kinds IS NULL").isEmpty():
+        folders = kinds.groupBy("folder").agg(F.collect_set("kinds").alias("kinds"))
+        for r in folders.where("size(kinds) = 1").collect():
+            groups.setdefault(r["kinds"][0], []).append(f"{r['folder']}/*.parquet")
+        mixed = folders.where("size(kinds) > 1").select("folder")
+        for r in kinds.join(mixed, "folder", "left_semi").collect():
+            groups.setdefault(r["kinds"], []).append(r["path"])
+    else:
+        # A store that tasks cannot open by themselves: Spark looks the footers up, one by one.
+        for r in kinds.collect():
+            found = r["kinds"] or _kinds_by_spark(spark, r["path"])
+            groups.setdefault(found, []).append(r["path"])
     parts = []
     for ddl, members in sorted(groups.items()):
-        raw = spark.read.schema(ddl).option("pathGlobFilter", "*.parquet").parquet(*members)
+        raw = spark.read.schema(ddl).parquet(*sorted(members))
         keyed = raw.select("*", *run_keys_from_path(F.col("_metadata.file_path")))
         parts.append(normalise_events(keyed, ["logs_root", *RUN]))
     return reduce(DataFrame.unionByName, parts)
