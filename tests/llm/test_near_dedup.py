@@ -46,8 +46,8 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-def compare(table, rows):
-    got = N.find_components(table(rows)).collect()
+def compare(table, rows, **options):
+    got = N.find_components(table(rows), **options).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == brute(rows)
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
@@ -85,6 +85,28 @@ def test_chains_groups_and_near_misses(table):
         cut = rng.randrange(1, 5)
         add([*a[cut:], *words(rng, rng.randrange(0, 2))])
     compare(table, rows)
+    # Buckets cut into many small chunks, by members and by shingles.
+    compare(table, rows, block=5)
+    compare(table, rows, block_set=900)
+
+
+def test_white_space_of_all_kinds(table):
+    text = "one\x0btwo\x0cthree\rfour five six seven eight nine ten"
+    compare(table, [(1, text, None, None), (2, " ".join(text.split()), None, None), (3, "a\x0bb\rc", None, None)])
+
+
+def test_alike_without_links(table):
+    """Hundreds of edited copies of one text, most pairs below the threshold."""
+    rng = random.Random(4)
+    base = words(rng, 200)
+    rows = []
+    for k in range(700):
+        w = list(base)
+        for _ in range(rng.choice((6, 9, 12))):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w), None, None))
+    compare(table, rows)
+    compare(table, rows, block=100)
 
 
 def test_no_rows(table):

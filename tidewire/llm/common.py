@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +28,13 @@ def as_bytes(texts: pa.Array) -> list[bytes | None]:
     return texts.cast(pa.binary()).to_pylist()
 
 
+def in_slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows at most, so that what is made of them stays small."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def col(df: DataFrame, name: str) -> Column:
     """Column by its exact name, dots and all."""
     return df["`" + name.replace("`", "``") + "`"]

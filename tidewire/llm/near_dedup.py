@@ -13,16 +13,21 @@ errs below 1e-6. Pairs whose sizes rule the threshold out are never formed.
 Scale, step by step:
 
 * Equal sets are one class from the start (combined before the shuffle), so copies never pair.
-* A bucket of n classes gives n - 1 candidates with its smallest class (its pivot), not all pairs.
-  Where a bucket still holds several components, up to 8 members of the largest meet those outside;
-  after that, pivots are taken from outside (up to 64, then 256 and so on) against all members of
-  other components, until every pair of the bucket is joined or compared. So no link is lost, a
-  group of near copies costs a few comparisons per member, and the number of rounds grows with the
-  logarithm of a bucket.
-* Minima and counts are combined before the shuffle and written; joins with them are between plain
-  shuffles, whose skewed keys (a large bucket, a large component) adaptive execution splits.
-* Text is shuffled once, to pick that of one representative per class with a shared bucket; the
-  sets that a round needs are made from those and kept for later rounds.
+* A bucket is left out if another has the very same members (sizes and two fingerprints of the
+  members, combined before the shuffle); most buckets of a small group go that way.
+* The members of a bucket come together as a block with sketches and packed texts. A task compares a
+  block in arrays: a pair is looked at in the first bucket it shares, given up by the likelihood of
+  its registers, or verified on the full sets, unless the block has joined the two already. What
+  leaves the task are the links that joined something, fewer than the block has members; pairs
+  are never rows.
+* A bucket of more than ``BLOCK`` members or ``BLOCK_SET`` shingles is cut into chunks. At first each
+  chunk is compared with itself and with one of them, which joins a large group of near copies. Then
+  only members outside of the bucket's largest component meet all chunks. So no link is lost, and
+  a group that is linked costs a few comparisons per member; one that is alike without links costs the
+  comparison of its sketches, spread over its blocks.
+* Joins are between plain shuffles with tables that were aggregated and written before; adaptive
+  execution splits those on a large bucket. Text is shuffled once, to pick that of one
+  representative per class with a shared bucket.
 """
 
 from __future__ import annotations
@@ -31,11 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import LOWER, as_bytes, col, free_name, text_or_empty
+from tidewire.llm.common import LOWER, as_bytes, col, free_name, in_slices, text_or_empty
 from tidewire.llm.components import connected_components
 from tidewire.llm.words import U64, Words, mix, runs, slices
 from tidewire.session import materialise
@@ -45,10 +52,17 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 #: Sketch parameters: base, rate of the exponential minima, largest register.
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
-#: Members of a bucket's largest component that meet the rest in the second round.
-INNER = 8
-#: Pivots a bucket may use in the third round; four times as many in each that follows.
-PIVOTS = 64
+#: Members and shingles of a bucket that are compared as one block.
+BLOCK, BLOCK_SET = 2048, 2_000_000
+#: Equal registers below which a pair is not worth its likelihood: at 0.75 a pair has 120 of 160, and
+#: fewer than 60 with a probability below 1e-25.
+FEW_EQUAL = 60
+#: Pairs of sketches compared at a time.
+LANES = 60_000
+#: Pairs up to which sets are intersected one by one.
+SINGLE = 8
+#: Documents sketched at a time.
+BATCH = 1000
 #: Log-likelihood by which the threshold must lose to be given up.
 SURE = 12.0
 
@@ -140,7 +154,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in in_slices(batches, BATCH):
             sets = shingle_sets(as_bytes(b.column(2)))
             sketches = [registers(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -161,7 +175,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """``bucket, node, n``: every class under the keys of its bands."""
+    """``bucket, band, node, n``: every class under the keys of its bands."""
 
     @F.arrow_udf("array<bigint>")
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -170,175 +184,275 @@ def _buckets(classes: DataFrame) -> DataFrame:
             yield pa.array(made, pa.list_(pa.int64()))
 
     return classes.select(
-        F.explode(keys("sketch")).alias("bucket"), "node", F.col("n_shingles").alias("n")
+        F.posexplode(keys("sketch")).alias("band", "bucket"), "node", F.col("n_shingles").alias("n")
     )
 
 
-def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` node pairs that the registers do not rule out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (
-                np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                for k in (2, 3)
-            )
-            n_a, n_b = (b.column(k).to_numpy().astype(float) for k in (4, 5))
-            ok = worth_verifying((x > y).sum(1), (x < y).sum(1), n_a, n_b, threshold)
-            yield b.select(["a", "b"]).filter(pa.array(ok))
-
-    node, sketch, n = F.col("node"), F.col("sketch"), F.col("n_shingles")
-    one = classes.select(node.alias("a"), sketch.alias("x"), n.alias("n_a"))
-    two = classes.select(node.alias("b"), sketch.alias("y"), n.alias("n_b"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", "n_a", "n_b")
-    return joined.mapInArrow(run, "a binary, b binary")
+def _shared(rows: DataFrame, block: int, block_set: int) -> DataFrame:
+    """``bucket, chunks`` of the buckets to compare: one of those with the same members."""
+    sized = rows.groupBy("bucket").agg(
+        F.count(F.lit(1)).alias("members"),
+        F.sum("n").alias("shingles"),
+        F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y"),
+    )
+    sized = sized.where("members > 1").groupBy("members", "shingles", "x", "y")
+    one = sized.agg(F.min("bucket").alias("bucket"))
+    crowd = F.greatest(F.ceil(F.col("members") / block), F.ceil(F.col("shingles") / block_set))
+    return one.select("bucket", crowd.cast("int").alias("chunks"))
 
 
-def _candidate_texts(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``node, text`` of some classes, from the rows with their smallest doc_id."""
+def _members(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``nodes`` (with node, smallest, ...) with ``body``, the packed text of the row they stand for."""
     rows = docs.select(col(docs, doc_id).alias("id"), text_or_empty(col(docs, text)).alias("text"))
-    return rows.join(nodes, F.col("id").eqNullSafe(F.col("smallest"))).select("node", "text")
-
-
-def _full_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``node, members`` of the wanted classes."""
+    found = rows.join(nodes, F.col("id").eqNullSafe(F.col("smallest"))).drop("id", "smallest")
+    at, columns = found.columns.index("text"), [c for c in found.columns if c != "text"]
+    kinds = dict(found.dtypes)
+    at_node = columns.index("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = shingle_sets(as_bytes(b.column(1)))
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in in_slices(batches, BATCH):
+            texts = as_bytes(b.column(at))
+            rest = [c for k, c in enumerate(b.columns) if k != at]
             # Rows that share a doc_id with the representative may hold another text.
-            ok = [digest(s) == n for s, n in zip(sets, b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["node", "members"],
-            ).filter(pa.array(ok, pa.bool_()))
-
-    found = texts.join(wanted, "node", "left_semi").select("node", "text")
-    return found.mapInArrow(run, "node binary, members binary").dropDuplicates(["node"])
-
+            sets = shingle_sets(texts)
+            ok = [digest(s) == n for s, n in zip(sets, rest[at_node].to_pylist())]
+            body = pa.array([pack(t) for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([*rest, body], names=[*columns, "body"]).filter(
+                pa.array(ok, pa.bool_())
+            )
 
-def _verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
+    schema = ", ".join([f"{c} {kinds[c]}" for c in columns] + ["body binary"])
+    return found.mapInArrow(run, schema).dropDuplicates(["node"])
+
+
+class Block:
+    """Members that are compared: which ones ask, which ones are asked, and who is joined to whom."""
+
+    def __init__(self, band: int, asks: np.ndarray, asked: np.ndarray, sizes: np.ndarray,
+                 sketches: np.ndarray, bands: np.ndarray, groups: np.ndarray, bodies: list[bytes]):
+        self.band, self.asks, self.asked = band, np.flatnonzero(asks), np.flatnonzero(asked)
+        self.sizes, self.sketches, self.groups, self.bodies = sizes, sketches, groups.copy(), bodies
+        self.both = asks & asked
+        # The earlier bands in which a pair may have met.
+        self.earlier = (bands[:, None] >> np.arange(band)[None, :]) & 1 == 1
+        self._sets: list[np.ndarray] | None = None
+        self._postings: tuple[np.ndarray, ...] | None = None
+
+    def links(self, percent: int) -> list[tuple[int, int]]:
+        """Links that join two groups, as places in the block."""
+        out = []
+        step = max(1, LANES // max(1, len(self.asked)))
+        for a in range(0, len(self.asks), step):
+            part = self.asks[a : a + step]
+            for k, near in self._likely(part, percent):
+                near = near[self.groups[near] != self.groups[k]]
+                if len(near):
+                    out += self._join(k, near, percent)
+        return out
+
+    def _likely(self, part: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each of ``part`` with the asked ones that its registers do not rule out."""
+        asked = self.asked
+        x, y = self.sketches[part][:, None, :], self.sketches[asked][None, :, :]
+        same = x == y
+        equal = same.sum(2, dtype=np.uint8)
+        n, m = self.sizes[part][:, None], self.sizes[asked][None, :]
+        ok = (equal >= FEW_EQUAL) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+        ok &= self.groups[part][:, None] != self.groups[asked][None, :]
+        # Two that both ask and are asked meet once.
+        ok &= ~(self.both[part][:, None] & self.both[asked][None, :] & (part[:, None] > asked[None, :]))
+        i, j = np.nonzero(ok)
+        if not len(i):
+            return
+        if self.band:
+            bands = same[i, j].reshape(len(i), BANDS, ROWS)[:, : self.band].all(2)
+            fresh = ~(bands & self.earlier[part[i]]).any(1)
+            i, j = i[fresh], j[fresh]
+        above = (self.sketches[part[i]] > self.sketches[asked[j]]).sum(1)
+        below = REGISTERS - above - equal[i, j]
+        sizes = self.sizes.astype(float)
+        good = worth_verifying(above, below, sizes[part[i]], sizes[asked[j]], percent / 100)
+        i, j = i[good], j[good]
+        for k in np.unique(i):
+            yield int(part[k]), asked[j[i == k]]
+
+    def _join(self, k: int, near: np.ndarray, percent: int) -> list[tuple[int, int]]:
+        if len(near) <= SINGLE:
+            mine = self.sets[k]
+            both = np.array([len(np.intersect1d(mine, self.sets[t], assume_unique=True)) for t in near])
+        else:
+            both = self._counts(k)[near]
+        linked = near[100 * both >= percent * (self.sizes[k] + self.sizes[near] - both)]
+        out = []
+        for t in linked.tolist():
+            if self.groups[t] != self.groups[k]:
+                self.groups[self.groups == self.groups[t]] = self.groups[k]
+                out.append((k, t))
+        return out
+
+    @property
+    def sets(self) -> list[np.ndarray]:
+        if self._sets is None:
+            unpack = zstandard.ZstdDecompressor().decompress
+            self._sets = []
+            for a in range(0, len(self.bodies), BATCH):
+                self._sets += shingle_sets([unpack(b) for b in self.bodies[a : a + BATCH]])
+        return self._sets
+
+    def _counts(self, k: int) -> np.ndarray:
+        """Shingles that the member shares with every member."""
+        if self._postings is None:
+            lengths = np.fromiter(map(len, self.sets), np.int64, len(self.sets))
+            ids = np.unique(np.concatenate(self.sets), return_inverse=True)[1].astype(np.int32)
+            owner = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            by_id = np.argsort(ids, kind="stable")
+            starts = np.concatenate([[0], np.cumsum(np.bincount(ids))])
+            self._postings = ids, np.concatenate([[0], np.cumsum(lengths)]), owner[by_id], starts
+        ids, begins, owners, starts = self._postings
+        mine = ids[begins[k] : begins[k + 1]]
+        sizes = starts[mine + 1] - starts[mine]
+        at = np.arange(int(sizes.sum())) + np.repeat(starts[mine] - (np.cumsum(sizes) - sizes), sizes)
+        return np.bincount(owners[at], minlength=len(self.sets))
+
+
+_BLOCK_KEYS = ["bucket", "first", "second"]
+_ASKS, _ASKED = 1, 2
+
+
+def _compared(blocks: DataFrame, percent: int) -> DataFrame:
+    """``a, b`` links of ``bucket, first, second, role, band, node, label`` and what members have.
+
+    ``role`` tells whether a row asks, is asked or both; ``label`` who is joined already.
+    """
+    columns = [*_BLOCK_KEYS, "role", "band", "node", "label", "n", "bands", "sketch", "body"]
+
+    def made(t: pa.Table) -> pa.RecordBatch:
+        node, role, n, bands = (t.column(c).to_numpy() for c in ("node", "role", "n", "bands"))
+        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint16)
+        groups = pc.dictionary_encode(t.column("label").combine_chunks()).indices.to_numpy()
+        block = Block(
+            t.column("band")[0].as_py(), role & _ASKS > 0, role & _ASKED > 0, n,
+            sketches.reshape(-1, REGISTERS), bands, groups.astype(np.int64), t.column("body").to_pylist(),
+        )
+        links = block.links(percent)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([node[k] for k, _ in links], pa.binary()), pa.array([node[k] for _, k in links], pa.binary())],
+            names=["a", "b"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ok = []
-            for x, y in zip(as_bytes(b.column(2)), as_bytes(b.column(3))):
-                p, q = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(denominator * both >= numerator * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    one = sets.select(F.col("node").alias("a"), F.col("members").alias("x"))
-    two = sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a binary, b binary")
-
-
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``bucket, node, n, label``; a node without a link is its own label."""
-    if labels is None:
-        return rows.withColumn("label", F.col("node"))
-    return rows.join(labels, "node", "left").select(
-        "bucket", "node", "n", F.coalesce("label", "node").alias("label")
+        held: list[pa.RecordBatch] = []
+        at: tuple | None = None
+        for b in in_slices(batches, BATCH):
+            keys = np.stack([b.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            edges = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(keys)]):
+                key = tuple(keys[low].tolist())
+                if key != at and held:
+                    yield made(pa.Table.from_batches(held))
+                    held = []
+                at = key
+                held.append(b.slice(low, high - low))
+        if held:
+            yield made(pa.Table.from_batches(held))
+
+    dealt = blocks.select(*columns).repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def _role(asks: bool, asked: bool) -> Column:
+    return F.lit(_ASKS * asks + _ASKED * asked)
+
+
+def _first_blocks(rows: DataFrame) -> DataFrame:
+    """Every chunk with itself, and the first one with the others."""
+    mine, zero = F.col("chunk"), F.lit(0)
+
+    def block(first: Column, second: Column, role: Column) -> Column:
+        return F.struct(first.alias("first"), second.alias("second"), role.alias("role"))
+
+    others = F.when(F.col("chunks") > 1, F.sequence(F.lit(1), F.col("chunks") - 1)).otherwise(
+        F.array().cast("array<int>")
     )
+    from_zero = F.transform(others, lambda k: block(zero, k, _role(True, False)))
+    to_zero = F.array(block(zero, mine, _role(False, True)))
+    places = F.concat(
+        F.array(block(mine, mine, _role(True, True))), F.when(mine == 0, from_zero).otherwise(to_zero)
+    )
+    return rows.withColumn("label", F.col("node")).select("*", F.inline(places))
 
 
-def _pivots(named: DataFrame, turn: int) -> DataFrame:
-    """``bucket, pivot, own, n_pivot``: the pivots of a round, their labels and sizes.
-
-    At first the smallest class of every bucket. Then a few members of its largest component, which
-    meet all that is outside of it: most near copies that missed the first pivot join here. Then
-    those still outside, four times as many in every round.
-    """
-    if turn == 0:
-        least = named.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("p"))
-        own = F.col("p.node")
-        return least.select(
-            "bucket", own.alias("pivot"), own.alias("own"), F.col("p.n").alias("n_pivot")
-        )
+def _later_blocks(rows: DataFrame, labels: DataFrame | None, block: int) -> DataFrame:
+    """Members outside of their bucket's largest component with every chunk of the bucket."""
+    named = rows.withColumn("label", F.col("node"))
+    if labels is not None:
+        joined = rows.join(labels.withColumnRenamed("node", "of"), F.col("node") == F.col("of"), "left")
+        named = joined.withColumn("label", F.coalesce("label", "node")).drop("of")
+    named = materialise(named, "named")
     counts = named.groupBy("bucket", "label").count()
-    top = counts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"))
-    inside = F.col("label") == F.col("top.label")
-    parts = INNER if turn == 1 else PIVOTS * 4 ** (turn - 2)
-    return (
-        named.join(materialise(top, "top"), "bucket")
-        .where(inside if turn == 1 else ~inside)
-        .groupBy("bucket", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
-        .agg(F.min(F.struct("node", "label", "n")).alias("p"))
-        .select(
-            "bucket",
-            F.col("p.node").alias("pivot"),
-            F.col("p.label").alias("own"),
-            F.col("p.n").alias("n_pivot"),
-        )
+    top = counts.groupBy("bucket").agg(
+        F.max(F.struct("count", "label")).alias("top"), F.sum("count").alias("members")
+    )
+    outside = F.col("members") - F.col("top.count")
+    top = top.where("members > top.count").select(
+        "bucket", F.col("top.label").alias("top"), F.ceil(outside / block).cast("int").alias("parts")
     )
+    open_ = named.join(materialise(top, "open"), "bucket")
+    outsider = F.col("label") != F.col("top")
+    # Asked where their chunk is, by every part of the outsiders.
+    asked = open_.withColumn("first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    asked = asked.withColumns({"second": F.col("chunk"), "role": _role(False, True)})
+    part = F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int")
+    asks = open_.where(outsider).withColumn("first", part)
+    asks = asks.withColumn("second", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    asks = asks.withColumn("role", _role(True, False))
+    return asks.unionByName(asked).drop("top", "parts")
 
 
 def _links(
-    docs: DataFrame, classes: DataFrame, doc_id: str, text: str, percent: int
+    docs: DataFrame,
+    classes: DataFrame,
+    doc_id: str,
+    text: str,
+    percent: int,
+    block: int,
+    block_set: int,
 ) -> DataFrame | None:
     """``node, label`` of all classes that have a link, or None."""
-    rows = _buckets(classes)
-    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    sizes = materialise(sizes, "shared")
-    rows = materialise(rows.join(sizes, "bucket"), "buckets")
-    nodes = rows.select("node").distinct().join(classes.select("node", "smallest"), "node")
-    texts = materialise(_candidate_texts(docs, nodes, doc_id, text), "texts")
-    tested: DataFrame | None = None
-    edges: DataFrame | None = None
-    labels: DataFrame | None = None
-    sets: DataFrame | None = None
-    turn = 0
-    while not rows.isEmpty():
-        named = _labelled(rows, labels)
-        if labels is not None:
-            named = materialise(named, "named")
-        pivots = materialise(_pivots(named, turn), "pivots")
-        # Sets of too unlike sizes cannot be similar, so such pairs are not formed at all.
-        alike = F.least("n", "n_pivot") * 100 >= F.greatest("n", "n_pivot") * percent
-        other = (named["bucket"] == pivots["bucket"]) & (F.col("label") != F.col("own")) & alike
-        pairs = (
-            named.join(pivots, other)
-            .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            .distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        likely = materialise(_likely(pairs, classes, percent / 100), "likely")
-        if not likely.isEmpty():
-            wanted = likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct()
-            if sets is not None:
-                wanted = wanted.join(sets.select("node"), "node", "left_anti")
-            new_sets = materialise(_full_sets(texts, wanted), "sets")
-            sets = new_sets if sets is None else sets.union(new_sets)
-            new = materialise(_verified(likely, sets, percent, 100), "links")
-            if not new.isEmpty():
-                edges = new if edges is None else edges.union(new)
-                labels = connected_components(edges)
-        # Pivots have met their whole bucket; what is left of it is open while components differ.
-        left = rows.join(
-            pivots.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti"
-        )
-        left = materialise(_labelled(left, labels), "left")
-        open_ = (
-            left.groupBy("bucket")
-            .agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-            .where("lo != hi")
-            .select("bucket")
-        )
-        open_ = materialise(open_, "open")
-        rows = materialise(left.select("bucket", "node", "n").join(open_, "bucket"), "buckets")
-        turn += 1
-    return labels
+    found = _buckets(classes)
+    shared = materialise(_shared(found, block, block_set), "shared")
+    rows = found.join(shared, "bucket").withColumn(
+        "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    )
+    rows = materialise(rows.select("bucket", "band", "node", "chunks", "chunk"), "buckets")
+    bands = rows.groupBy("node").agg(F.expr("bit_or(shiftleft(1L, band))").alias("bands"))
+    nodes = bands.join(classes, "node").select(
+        "node", "bands", F.col("n_shingles").alias("n"), "sketch", "smallest"
+    )
+    members = materialise(_members(docs, nodes, doc_id, text), "members")
+    links = materialise(_compared(_first_blocks(rows).join(members, "node"), percent), "links")
+    if links.isEmpty():
+        labels = None
+    else:
+        labels = connected_components(links)
+    large = rows.where("chunks > 2")
+    if large.isEmpty():
+        return labels
+    more = materialise(_compared(_later_blocks(large, labels, block).join(members, "node"), percent), "links")
+    if more.isEmpty():
+        return labels
+    return connected_components(links.union(more))
 
 
 def find_components(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    percent: int = 75,
+    block: int = BLOCK,
+    block_set: int = BLOCK_SET,
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row.
 
@@ -346,12 +460,20 @@ def find_components(
     smallest doc_id that links reach, and ``kept`` marks the row that has it. Null and empty texts
     have no shingles and stay alone. A null doc_id is never the smallest unless a component has no
     other; then it is the component's id and is kept. Repeated rows each give a row. Other columns
-    are not looked at. An empty table gives no rows.
+    are not looked at. An empty table gives no rows. ``block`` and ``block_set`` bound what is
+    compared at once and change no result; a text is held whole, with 30 bytes of memory a byte.
     """
-    return _with_components(docs, doc_id, text, percent).drop("text_key")
+    return _with_components(docs, doc_id, text, percent, block, block_set).drop("text_key")
 
 
-def _with_components(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+def _with_components(
+    docs: DataFrame,
+    doc_id: str,
+    text: str,
+    percent: int,
+    block: int = BLOCK,
+    block_set: int = BLOCK_SET,
+) -> DataFrame:
     made = materialise(sketch_documents(docs, doc_id, text), "sketches")
     classes = materialise(
         made.where("node IS NOT NULL")
@@ -363,7 +485,7 @@ def _with_components(docs: DataFrame, doc_id: str, text: str, percent: int) -> D
         ),
         "classes",
     )
-    labels = _links(docs, classes, doc_id, text, percent)
+    labels = _links(docs, classes, doc_id, text, percent, block, block_set)
     reach = classes.select("node", "smallest")
     if labels is not None:
         # Only linked classes need their component's smallest doc_id.

@@ -20,7 +20,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def slices(texts: list[bytes], size: int = 2_000_000) -> Iterator[list[bytes]]:
+def slices(texts: list[bytes], size: int = 500_000) -> Iterator[list[bytes]]:
     """Runs of texts of about that many bytes in all; a longer text ends its run."""
     held: list[bytes] = []
     n = 0
