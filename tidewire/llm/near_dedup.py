@@ -26,8 +26,8 @@ Scale, step by step:
   a group that is linked costs a few comparisons per member; one that is alike without links costs the
   comparison of its sketches, spread over its blocks.
 * Joins are between plain shuffles with tables that were aggregated and written before; adaptive
-  execution splits those on a large bucket. Text is shuffled once, to pick that of one
-  representative per class with a shared bucket.
+  execution splits those on a large bucket. Rows that the joins drop (most buckets, most texts) are
+  held back before the shuffle by a filter of 8 MB, whatever the number of its keys.
 """
 
 from __future__ import annotations
@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 
 from tidewire.llm.common import LOWER, as_bytes, col, free_name, in_slices, text_or_empty
 from tidewire.llm.components import connected_components
+from tidewire.llm.sieve import may_be_in
 from tidewire.llm.words import U64, Words, mix, runs, slices
 from tidewire.session import materialise
 
@@ -204,7 +205,10 @@ def _shared(rows: DataFrame, block: int, block_set: int) -> DataFrame:
 
 def _members(docs: DataFrame, nodes: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``nodes`` (with node, smallest, ...) with ``body``, the packed text of the row they stand for."""
-    rows = docs.select(col(docs, doc_id).alias("id"), text_or_empty(col(docs, text)).alias("text"))
+    wanted = may_be_in(col(docs, doc_id), nodes, "smallest")
+    rows = docs.where(wanted).select(
+        col(docs, doc_id).alias("id"), text_or_empty(col(docs, text)).alias("text")
+    )
     found = rows.join(nodes, F.col("id").eqNullSafe(F.col("smallest"))).drop("id", "smallest")
     at, columns = found.columns.index("text"), [c for c in found.columns if c != "text"]
     kinds = dict(found.dtypes)
@@ -423,7 +427,8 @@ def _links(
     """``node, label`` of all classes that have a link, or None."""
     found = _buckets(classes)
     shared = materialise(_shared(found, block, block_set), "shared")
-    rows = found.join(shared, "bucket").withColumn(
+    rows = found.where(may_be_in(F.col("bucket"), shared, "bucket"))
+    rows = rows.join(shared, "bucket").withColumn(
         "chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
     )
     rows = materialise(rows.select("bucket", "band", "node", "chunks", "chunk"), "buckets")
@@ -431,6 +436,7 @@ def _links(
     nodes = bands.join(classes, "node").select(
         "node", "bands", F.col("n_shingles").alias("n"), "sketch", "smallest"
     )
+    nodes = materialise(nodes, "nodes")
     members = materialise(_members(docs, nodes, doc_id, text), "members")
     links = materialise(_compared(_first_blocks(rows).join(members, "node"), percent), "links")
     if links.isEmpty():
