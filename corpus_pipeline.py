@@ -16,6 +16,13 @@ from tidewire.llm.common import col, free_name
 from tidewire.session import scratch_path, use_utc
 
 TOKENIZER = "byte_bpe_50k.json"
+#: Documents handed to a Python worker at once; all stages share the workers' memory.
+BATCH = 1000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Whole texts go to the workers a thousand at a time; batches change no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +30,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
     Null texts, texts without a letter and texts that two dictionaries compress nearly alike go.
     """
+    in_small_batches(spark)
     fold = F.crc32(col(docs, "doc_id").cast("string")) % 4 == 2
     model = language.train(docs.where(~F.coalesce(fold, F.lit(False))))
     name = free_name(docs.columns, "language")
@@ -32,11 +40,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of every group of near duplicates."""
+    in_small_batches(spark)
     return near_dedup.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a benchmark window."""
+    in_small_batches(spark)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found, name = decontaminate.find_leaks(docs, benchmark)
     return found.where(F.col(name)["n_hit"] == 0).select(*[col(docs, c) for c in docs.columns])
@@ -49,6 +59,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Place, length and checksum of every document's ids, read back from the token files."""
+    in_small_batches(spark)
     path = scratch_path(spark, "token-ids")
     token_files.write_token_files(docs, public_tokenizers.path(TOKENIZER), path)
     return token_files.read_token_files(spark, path)
