@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -35,6 +35,26 @@ def in_slices(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Recor
             yield b.slice(a, rows)
 
 
+_held: dict[str, tuple[object, object]] = {}
+
+
+def per_worker(owner: str, key: object, make: Callable[[], object]) -> object:
+    """An operator's object that a worker keeps between tasks.
+
+    Workers serve all operators in turn, so another operator's object is given up for it.
+    """
+    if owner not in _held or _held[owner][0] != key:
+        give_up()
+        _held[owner] = key, make()
+    return _held[owner][1]
+
+
+def give_up() -> None:
+    """Return the memory that earlier operators kept in this worker."""
+    _held.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def col(df: DataFrame, name: str) -> Column:
     """Column by its exact name, dots and all."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import col
+from tidewire.llm.common import col, per_worker
 
 UNKNOWN = "und"
 PIECE = 1024
@@ -144,15 +144,9 @@ class Scorer:
         return self.languages[order[0]], score, margin
 
 
-_scorers: dict[Model, Scorer] = {}
-
-
 def scorer(model: Model) -> Scorer:
     """Built once per worker and model."""
-    if model not in _scorers:
-        _scorers.clear()
-        _scorers[model] = Scorer(model)
-    return _scorers[model]
+    return per_worker("language", model, lambda: Scorer(model))
 
 
 def identify(df: DataFrame, text: str, model: Model) -> Column:

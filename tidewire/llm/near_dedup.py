@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import LOWER, as_bytes, col, free_name, in_slices, text_or_empty
+from tidewire.llm.common import LOWER, as_bytes, col, free_name, give_up, in_slices, text_or_empty
 from tidewire.llm.components import connected_components
 from tidewire.llm.sieve import may_be_in
 from tidewire.llm.words import U64, Words, mix, runs, slices
@@ -155,6 +155,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_up()
         for b in in_slices(batches, BATCH):
             sets = shingle_sets(as_bytes(b.column(2)))
             sketches = [registers(s) if len(s) else None for s in sets]

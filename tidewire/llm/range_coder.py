@@ -131,14 +131,14 @@ def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
     """The payload of every row of ``ids``; all are below 65536."""
     lanes, steps = ids.shape
-    columns = np.ascontiguousarray(ids.T, np.int64)
+    columns = np.ascontiguousarray(ids.T, np.uint16)
     m = _Models(lanes, False)
     low, span = np.zeros(lanes, U64), np.full(lanes, 2**64 - 1, U64)
     out = np.zeros((lanes, 2 * steps + 8), "<u2")
     used = np.zeros(lanes, np.int64)
     for step in range(steps):
         m.predict(step)
-        now = columns[step]
+        now = columns[step].astype(np.int64)
         right2 = now == m.guess2
         start = np.where(right2, 0, m.mass2)
         freq = np.where(right2, m.mass2, m.mass1)

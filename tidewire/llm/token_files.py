@@ -41,7 +41,7 @@ def encode_group(ids: np.ndarray) -> list[tuple[int, int, int, bytes]]:
         raise ValueError("this format holds ids below 65536")
     blocks = -(-len(ids) // BLOCK)
     width = BLOCK if blocks > 1 else len(ids)
-    padded = np.zeros(blocks * width, np.int64)
+    padded = np.zeros(blocks * width, np.uint16)
     padded[: len(ids)] = ids
     payloads = range_coder.encode_blocks(padded.reshape(blocks, width)) if blocks else []
     out = []

@@ -17,6 +17,8 @@ import re
 
 import numpy as np
 
+from tidewire.llm.common import per_worker
+
 _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: White space to Python but not to the library.
 _ODD = re.compile("[\x1c-\x1f]")
@@ -151,17 +153,12 @@ def _room(a: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """One encoder per worker and vocabulary."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return per_worker("tokens", path, lambda: PieceEncoder(path))
 
 
-def in_slices(texts: list[str], chars: int = 4_000_000) -> list[list[str]]:
+def in_slices(texts: list[str], chars: int = 1_000_000) -> list[list[str]]:
     """Runs of texts of about that many characters; a longer text stands alone."""
     out: list[list[str]] = []
     held = 0
