@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Ids of a block and blocks that advance together.
-BLOCK, LANES = 2048, 2048
+BLOCK, LANES = 2048, 1024
 
 U64 = np.uint64
 TOTAL = 30
