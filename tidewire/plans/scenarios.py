@@ -1,14 +1,14 @@
 """Scenario grids, experiment lists, client assignments and subscriptions.
 
-Every product here is spread inside its own definition row with ``explode``,
-so definitions are independent and no two tables are crossed.
+Every product here is spread from its own definition row, so definitions are
+independent and no two tables are crossed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.lists import nonempty_tokens, token_or_last, tokens
@@ -22,32 +22,59 @@ from tidewire.schemas import (
 )
 
 
+def _texts(limits: str, values: Column) -> Column:
+    return F.transform(values, lambda v: number_text(F.col(limits), v))
+
+
+#: Combinations that one row of the spread grid stands for.
+GRID_BLOCK = 4096
+
+
 def scenario_grid(configs: DataFrame, exclusive: str, keys: Sequence[str] = ("config",)) -> DataFrame:
     """All combinations of the dimensions of each definition, with their names.
 
-    ``exclusive`` picks the goal: test duration or number of messages.
+    ``exclusive`` picks the goal: test duration or number of messages. Combinations are numbered; a
+    number's digits, in a system whose places have as many digits as the dimensions have values, are
+    the places of its values. Blocks of numbers are dealt to all tasks, so that a definition of very
+    many combinations is the work of many. A dimension without values leaves none.
     """
     dims = [(d, F.col(f"common.{d}")) for d in COMMON_DIMENSIONS]
     dims += [(d, F.col(f"network.{d}")) for d in NETWORK_DIMENSIONS]
     dims.append((exclusive, F.col(f"exclusive.{exclusive}")))
-    named = dict(dims)
-    ranges = F.array(*[r for _, r in dims])
-    prepared = configs.select(
+    names = [d for d, _ in dims] + STRATEGY_DIMENSIONS
+    texts = [f"{d}_text" for d in COMMON_DIMENSIONS[:3]]
+    # The outer form keeps Spark from expanding the ranges a second time in a size filter.
+    values = configs.select(
         *keys,
-        F.transform(ranges, expand_range).alias("values"),
-        *STRATEGY_DIMENSIONS,
-        F.struct(*[named[d].alias(d) for d in COMMON_DIMENSIONS[:3]]).alias("ranges"),
+        F.explode_outer(F.array(F.transform(F.array(*[r for _, r in dims]), expand_range))).alias("_values"),
+        *[F.col(s).alias(f"_{s}") for s in STRATEGY_DIMENSIONS],
+        *[F.col(f"common.{d}").alias(f"_{d}_range") for d in COMMON_DIMENSIONS[:3]],
     )
-    # Generators nest in one projection step each. The outer form keeps Spark
-    # from deriving a size filter per dimension, which would expand every
-    # range a second time.
-    names = [d for d, _ in dims] + STRATEGY_DIMENSIONS
-    sources = [f"values[{i}]" for i in range(len(dims))] + [f"{s}_list" for s in STRATEGY_DIMENSIONS]
-    grid = prepared.withColumnsRenamed({s: f"{s}_list" for s in STRATEGY_DIMENSIONS})
-    for d, source in zip(names, sources):
-        grid = grid.withColumn(d, F.explode_outer(F.expr(source)))
-    grid = grid.dropna(subset=names)
-    p, c, t = (number_text(F.col(f"ranges.{d}"), F.col(d)) for d in COMMON_DIMENSIONS[:3])
+    lists = [F.col("_values")[i] for i in range(len(dims))] + [F.col(f"_{s}") for s in STRATEGY_DIMENSIONS]
+    # Texts belong to the few values of a range, not to its many combinations.
+    spelled = [_texts(f"_{d}_range", F.col("_values")[i]) for i, d in enumerate(COMMON_DIMENSIONS[:3])]
+    sized = values.select(
+        *keys,
+        *[c.alias(f"_{n}") for n, c in zip(names, lists)],
+        *[c.alias(f"_{t}") for t, c in zip(texts, spelled)],
+        F.array(*[F.coalesce(F.size(c), F.lit(0)).cast("bigint") for c in lists]).alias("_sizes"),
+    ).withColumn("_n", F.aggregate("_sizes", F.lit(1).cast("bigint"), lambda a, x: a * F.greatest(x, F.lit(0))))
+    last_block = F.expr(f"(_n - 1) div {GRID_BLOCK}")
+    blocks = sized.filter("_n > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
+    tasks = int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("_block") * GRID_BLOCK
+    grid = blocks.repartition(tasks, *keys, "_block").withColumn(
+        "_at", F.explode(F.sequence(first, F.least(first + GRID_BLOCK, F.col("_n")) - 1))
+    )
+    picked, rest = [], F.col("_at")
+    for i in reversed(range(len(names))):
+        digit = F.pmod(rest, F.col("_sizes")[i]).cast("int")
+        picked.append(F.get(f"_{names[i]}", digit).alias(names[i]))
+        if names[i] in COMMON_DIMENSIONS[:3]:
+            picked.append(F.get(f"_{names[i]}_text", digit).alias(f"{names[i]}_text"))
+        rest = F.floor(rest / F.col("_sizes")[i])
+    grid = grid.select(*keys, *picked).dropna(subset=names)
+    p, c, t = (F.col(x) for x in texts)
     size = F.col("messageSizeBytes").cast("bigint").cast("string")
     goal = F.col(exclusive).cast("bigint").cast("string")
     unit = "s" if exclusive == EXCLUSIVE_TIME else "m"
@@ -63,6 +90,27 @@ def scenario_grid(configs: DataFrame, exclusive: str, keys: Sequence[str] = ("co
     )
 
 
+def scenarios_of(configs: DataFrame, keys: Sequence[str] = ("config",)) -> DataFrame:
+    """The scenarios of each definition, message counts and durations, as the client settings take them."""
+    both = scenario_grid(configs, EXCLUSIVE_COUNT, keys).unionByName(scenario_grid(configs, EXCLUSIVE_TIME, keys))
+    settings = {
+        "n_producers": "numProducersPerTopic",
+        "n_consumers": "numConsumers",
+        "n_topics": "numTopics",
+        "pub_rate": "producerWaitInMicroSeconds",
+        "message_size": "messageSizeBytes",
+        "n_messages": EXCLUSIVE_COUNT,
+        "duration": EXCLUSIVE_TIME,
+        "backlog_size": "backlogSizeMessages",
+    }
+    return both.select(
+        *keys,
+        "name",
+        *[F.col(d).cast("bigint").alias(n) for n, d in settings.items()],
+        F.col("consumerAssignmentStrategy").alias("consumer_strategy"),
+    )
+
+
 def experiment_list(batches: DataFrame, keys: Sequence[str], modes: str = "modes") -> DataFrame:
     """Batch, technology and goal in run order: message counts before durations."""
     goals = F.filter(

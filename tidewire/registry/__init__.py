@@ -33,6 +33,7 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from tidewire.registry import (  # noqa: F401
+        chains,
         curves,
         folders,
         ingest,

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.functions.labels import source_label
+from tidewire.functions.lenient import parse_timestamp
 from tidewire.operators.sliced_window import SLICE_US, with_previous
-from tidewire.schemas import STATS_SCHEMA
+from tidewire.schemas import RESOURCE_COUNTERS, RUN, STATS_SCHEMA
+from tidewire.sources.event_log import any_file, run_file_glob, run_keys_from_path
+
+_COLLECTED = "container string, timestamp string, num_cpus int, stats string"
 
 
 def _or_zero(c: Column) -> Column:
@@ -92,3 +97,47 @@ def cpu_percent(
     return linked.withColumn("cpu_usage_perc", percent).drop(
         "prev_cpu_usage_ns", "prev_system_cpu_ns"
     )
+
+
+def read_stats_files(
+    spark: SparkSession, base: str, suffix: str = "jsonl", **selection: Sequence[str]
+) -> DataFrame:
+    """Collected statistics of ``logs*/scenario/tech/run/*.<suffix>``, one JSON object a line.
+
+    An object holds the ``container``, the ``timestamp`` of the sample, ``num_cpus`` of its host and
+    the ``stats`` document, which stays text here.
+    """
+    pattern = run_file_glob(base, suffix, **selection)
+    if not any_file(spark, pattern):
+        keys = ", ".join(f"{k} string" for k in RUN)
+        return spark.createDataFrame([], f"{keys}, {_COLLECTED}")
+    return (
+        spark.read.text(pattern)
+        .select(
+            *run_keys_from_path(F.col("_metadata.file_path")),
+            F.from_json("value", _COLLECTED).alias("c"),
+        )
+        .select(*RUN, "c.*")
+    )
+
+
+def stats_samples(docs: DataFrame, keys: Sequence[str] = RUN) -> DataFrame:
+    """Resource samples of collected statistics, as ``write_samples`` takes them.
+
+    Documents without CPU or memory figures give no sample and do not count as the previous one;
+    neither do documents without a readable time. Samples of equal time are taken in the order of
+    their CPU counters, which only grow. A host of unknown size counts as one CPU.
+    """
+    timed = docs.withColumn("timestamp", parse_timestamp(F.col("timestamp"))).filter("timestamp IS NOT NULL")
+    kept = ["container", "timestamp", "num_cpus"]
+    flat = flatten_stats(timed, [*keys, *kept]).withColumn("us", F.unix_micros("timestamp"))
+    cpus = F.coalesce(F.col("num_cpus"), F.lit(1))
+    samples = cpu_percent(
+        flat, [*keys, "container"], "us", ["cpu_usage_ns", "system_cpu_ns"], num_cpus=cpus
+    )
+    return samples.select(
+        *keys,
+        source_label(F.col("container")).alias("source"),
+        "timestamp",
+        *[F.col(c).cast("double").alias(c) for c in RESOURCE_COUNTERS],
+    )
