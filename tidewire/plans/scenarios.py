@@ -23,7 +23,11 @@ from tidewire.schemas import (
 
 
 def _texts(limits: str, values: Column) -> Column:
-    return F.transform(values, lambda v: number_text(F.col(limits), v))
+    return F.transform(values, lambda v: F.replace(number_text(F.col(limits), v), F.lit("."), F.lit("_")))
+
+
+def _whole_texts(values: Column) -> Column:
+    return F.transform(values, lambda v: v.cast("bigint").cast("string"))
 
 
 #: Combinations that one row of the spread grid stands for.
@@ -42,7 +46,7 @@ def scenario_grid(configs: DataFrame, exclusive: str, keys: Sequence[str] = ("co
     dims += [(d, F.col(f"network.{d}")) for d in NETWORK_DIMENSIONS]
     dims.append((exclusive, F.col(f"exclusive.{exclusive}")))
     names = [d for d, _ in dims] + STRATEGY_DIMENSIONS
-    texts = [f"{d}_text" for d in COMMON_DIMENSIONS[:3]]
+    spelled = [*COMMON_DIMENSIONS[:3], "messageSizeBytes", exclusive]
     # The outer form keeps Spark from expanding the ranges a second time in a size filter.
     values = configs.select(
         *keys,
@@ -50,15 +54,24 @@ def scenario_grid(configs: DataFrame, exclusive: str, keys: Sequence[str] = ("co
         *[F.col(s).alias(f"_{s}") for s in STRATEGY_DIMENSIONS],
         *[F.col(f"common.{d}").alias(f"_{d}_range") for d in COMMON_DIMENSIONS[:3]],
     )
-    lists = [F.col("_values")[i] for i in range(len(dims))] + [F.col(f"_{s}") for s in STRATEGY_DIMENSIONS]
+    lists = {d: F.col("_values")[i] for i, (d, _) in enumerate(dims)}
+    lists |= {s: F.filter(f"_{s}", lambda v: v.isNotNull()) for s in STRATEGY_DIMENSIONS}
     # Texts belong to the few values of a range, not to its many combinations.
-    spelled = [_texts(f"_{d}_range", F.col("_values")[i]) for i, d in enumerate(COMMON_DIMENSIONS[:3])]
+    texts = {d: _texts(f"_{d}_range", lists[d]) for d in COMMON_DIMENSIONS[:3]}
+    texts |= {d: _whole_texts(lists[d]) for d in spelled[3:]}
+    sizes = {n: F.greatest(F.coalesce(F.size(lists[n]), F.lit(0)), F.lit(0)).cast("bigint") for n in names}
     sized = values.select(
         *keys,
-        *[c.alias(f"_{n}") for n, c in zip(names, lists)],
-        *[c.alias(f"_{t}") for t, c in zip(texts, spelled)],
-        F.array(*[F.coalesce(F.size(c), F.lit(0)).cast("bigint") for c in lists]).alias("_sizes"),
-    ).withColumn("_n", F.aggregate("_sizes", F.lit(1).cast("bigint"), lambda a, x: a * F.greatest(x, F.lit(0))))
+        *[lists[n].alias(f"_{n}") for n in names],
+        *[texts[d].alias(f"_{d}_text") for d in spelled],
+        *[sizes[n].alias(f"_{n}_size") for n in names],
+    )
+    # What a place is worth: the combinations of the dimensions after it.
+    worth = "1L"
+    for n in reversed(names):
+        sized = sized.withColumn(f"_{n}_place", F.expr(worth))
+        worth = f"_{n}_place * _{n}_size"
+    sized = sized.withColumn("_n", F.expr(worth))
     last_block = F.expr(f"(_n - 1) div {GRID_BLOCK}")
     blocks = sized.filter("_n > 0").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block)))
     tasks = int(configs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -66,26 +79,19 @@ def scenario_grid(configs: DataFrame, exclusive: str, keys: Sequence[str] = ("co
     grid = blocks.repartition(tasks, *keys, "_block").withColumn(
         "_at", F.explode(F.sequence(first, F.least(first + GRID_BLOCK, F.col("_n")) - 1))
     )
-    picked, rest = [], F.col("_at")
-    for i in reversed(range(len(names))):
-        digit = F.pmod(rest, F.col("_sizes")[i]).cast("int")
-        picked.append(F.get(f"_{names[i]}", digit).alias(names[i]))
-        if names[i] in COMMON_DIMENSIONS[:3]:
-            picked.append(F.get(f"_{names[i]}_text", digit).alias(f"{names[i]}_text"))
-        rest = F.floor(rest / F.col("_sizes")[i])
-    grid = grid.select(*keys, *picked).dropna(subset=names)
-    p, c, t = (F.col(x) for x in texts)
-    size = F.col("messageSizeBytes").cast("bigint").cast("string")
-    goal = F.col(exclusive).cast("bigint").cast("string")
+    digits = grid.withColumns(
+        {f"_{n}_digit": F.expr(f"cast(_at div _{n}_place % _{n}_size AS int)") for n in names}
+    )
     unit = "s" if exclusive == EXCLUSIVE_TIME else "m"
+    p, c, t, size, goal = (F.get(f"_{d}_text", F.col(f"_{d}_digit")) for d in spelled)
     name = F.concat(
         p, F.lit("p"), c, F.lit("c"), t, F.lit("t"), size, F.lit("b-"), goal, F.lit(unit)
     )
     other = EXCLUSIVE_COUNT if exclusive == EXCLUSIVE_TIME else EXCLUSIVE_TIME
-    return grid.select(
+    return digits.select(
         *keys,
-        F.regexp_replace(name, r"\.", "_").alias("name"),
-        *names,
+        name.alias("name"),
+        *[F.get(f"_{n}", F.col(f"_{n}_digit")).alias(n) for n in names],
         F.lit(None).cast("double").alias(other),
     )
 
