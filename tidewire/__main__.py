@@ -6,6 +6,7 @@ import argparse
 
 from tidewire.plans.report import Selection, ingest_logs, ingest_run_folders, report, save_report
 from tidewire.session import get_session
+from tidewire.streaming.ingest import ingest_new_logs
 
 
 def _names(text: str) -> list[str]:
@@ -35,6 +36,10 @@ def main(argv: list[str] | None = None) -> None:
     a = commands.add_parser("ingest-runs", help="parse raw container logs of many runs")
     a.add_argument("base", help="folder that holds the log roots")
     a.add_argument("out", help="event log folder")
+    n = commands.add_parser("ingest-new", help="parse the raw container logs that have arrived since the last call")
+    n.add_argument("base", help="folder that holds the log roots")
+    n.add_argument("out", help="event log folder, written by this command only")
+    n.add_argument("checkpoint", help="folder that remembers which logs are in")
     args = parser.parse_args(argv)
     spark = get_session("tidewire")
     if args.command == "ingest":
@@ -43,6 +48,9 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "ingest-runs":
         ingest_run_folders(spark, args.base, args.out)
         return
+    if args.command == "ingest-new":
+        ingest_new_logs(spark, args.base, args.out, args.checkpoint)
+        return
     selection = Selection(
         args.scenario,
         args.logs_root,
