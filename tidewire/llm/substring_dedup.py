@@ -9,7 +9,9 @@ in a document with a smaller doc_id. Windows are judged on the input.
 2. Documents with shared anchors give their runs. Equal runs are one content with its smallest
    doc_id (per slice of a task already). Contents are dealt to shards by anchor.
 3. A shard builds an FM-index of its contents and searches every window of them backwards through
-   the wavelet tree. The suffix interval of a window gives the smallest doc_id that has it.
+   the wavelet tree. The suffix interval of a window gives the smallest doc_id that has it. A content
+   that is alone with its anchor has windows that no other content has, so its own smallest doc_id
+   holds for all of them and it stays out of the index.
 4. Runs bring those answers back to their documents, which drop the covered words.
 
 Scale: every step is linear in the words. Anchors and contents are combined before the shuffle. An
@@ -312,16 +314,23 @@ def smallest_owners(words: np.ndarray, sizes: np.ndarray, least: np.ndarray) ->
 def _answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     """``one, two, owners`` of the contents of one shard."""
     t = pa.Table.from_batches(held).combine_chunks()
-    one, two, least = (t.column(n).to_numpy() for n in ("one", "two", "least"))
+    tag, one, two, least = (t.column(n).to_numpy() for n in ("tag", "one", "two", "least"))
     words, sizes = _words_of(t.column("words").chunk(0))
     order = np.lexsort((least, two, one))
     new = (np.diff(one[order], prepend=0) != 0) | (np.diff(two[order], prepend=0) != 0)
     new[:1] = True
     pick = order[new]
     begin = np.cumsum(sizes) - sizes
-    mine = words[_spread(begin[pick], sizes[pick])]
-    found = smallest_owners(mine, sizes[pick], least[pick])
-    offsets = np.concatenate([[0], np.cumsum(sizes[pick] - WINDOW + 1)]).astype(np.int32)
+    windows = sizes[pick] - WINDOW + 1
+    found = np.repeat(least[pick], windows)
+    # Equal windows have equal anchors and so equal tags; tags that meet by chance are only searched.
+    _, which, times = np.unique(tag[pick], return_inverse=True, return_counts=True)
+    met = times[which] > 1
+    if met.any():
+        index = pick[met]
+        mine = words[_spread(begin[index], sizes[index])]
+        found[np.repeat(met, windows)] = smallest_owners(mine, sizes[index], least[index])
+    offsets = np.concatenate([[0], np.cumsum(windows)]).astype(np.int32)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(one[pick]),
@@ -333,49 +342,52 @@ def _answers(held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _searched(contents: DataFrame, shards: int) -> DataFrame:
-    """``one, two, owners``: the smallest doc_id of every window."""
+    """``one, two, owners``: the smallest doc_id of every window. A partition is a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held = None, []
-        for b in batches:
-            shard = b.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(shard, prepend=shard[:1])).tolist()
-            for a, z in zip([0, *cuts], [*cuts, len(shard)]):
-                if z == a:
-                    continue
-                if held and shard[a] != number:
-                    yield _answers(held)
-                    held = []
-                number = shard[a]
-                held.append(b.slice(a, z - a))
+        held = list(batches)
         if held:
             yield _answers(held)
 
-    shard = F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")
-    dealt = contents.select(shard, "one", "two", "words", "least").repartition(shards, "shard")
-    return dealt.sortWithinPartitions("shard").mapInArrow(
+    dealt = contents.select(F.hash("key").alias("tag"), "one", "two", "words", "least")
+    return dealt.repartition(shards, "tag").mapInArrow(
         run, "one bigint, two bigint, owners array<bigint>"
     )
 
 
+def _merged(docs: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, start and end of the intervals that windows at ``at`` cover, in order."""
+    order = np.lexsort((at, docs))
+    docs, at = docs[order], at[order]
+    new = (np.diff(docs, prepend=-1) != 0) | (np.diff(at, prepend=0) > WINDOW)
+    first = np.flatnonzero(new)
+    last = np.append(first, len(at))[1:] - 1
+    return docs[first], at[first], at[last] + WINDOW
+
+
 def _cut(shared: DataFrame) -> DataFrame:
     """Rows with shared anchors without the words of their covered windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            removed, digests, spans = [], [], []
-            for t, windows in zip(_unpacked(b.column(2).to_pylist()), b.column(3).to_pylist()):
-                words = t.split()
-                change = np.zeros(len(words) + 1, np.int64)
-                if windows:
-                    at = np.array([w for part in windows for w in part], np.int64)
-                    np.add.at(change, at, 1)
-                    np.add.at(change, at + WINDOW, -1)
-                gone = np.cumsum(change[:-1]) > 0
-                edge = np.diff(gone.astype(np.int8), prepend=0, append=0)
-                removed.append(int(gone.sum()))
-                digests.append(kept_digest([w for w, g in zip(words, gone.tolist()) if not g]))
-                spans.append(np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1).tolist())
+            listed = b.column(3)
+            sizes = listed.value_lengths().fill_null(0).to_numpy()
+            windows = listed.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            docs, starts, ends = _merged(np.repeat(np.arange(len(b)), sizes), windows)
+            upto = np.searchsorted(docs, np.arange(len(b) + 1)).tolist()
+            pairs = np.stack([starts, ends], 1).tolist()
+            digests, spans = [], []
+            for k, t in enumerate(b.column(2).to_pylist()):
+                words = unpack(t).split()
+                gone = pairs[upto[k] : upto[k + 1]]
+                kept, at = [], 0
+                for start, end in gone:
+                    kept += words[at:start]
+                    at = end
+                digests.append(kept_digest(kept + words[at:]))
+                spans.append(gone)
+            removed = np.bincount(docs, weights=ends - starts, minlength=len(b)).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),
@@ -445,7 +457,7 @@ def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         )
         .where(F.size("windows") > 0)
         .groupBy("row")
-        .agg(F.collect_list("windows").alias("windows"))
+        .agg(F.flatten(F.collect_list("windows")).alias("windows"))
     )
     cut = _cut(candidates.join(covered, "row", "left"))
     whole = prepared.where("text IS NULL").select(
