@@ -8,7 +8,8 @@ line length, is turned into a document score by a logistic curve fitted on the t
 Only documents carry labels, so training alternates: lines of good documents are good, lines of bad
 documents are bad where the current field finds them worse than the lines of good documents, and
 at least the worst one is. The field is fitted on a bounded sample: ``max_docs`` labelled rows,
-chosen by hash, ``max_lines`` lines of each. Scoring is one map over whole texts.
+chosen by hash, and of a text with more than ``max_lines`` lines that many, in stretches of
+``STRETCH`` spread evenly from its first line to its last. Scoring is one map over whole texts.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from tidewire.llm.common import as_bytes, col, free_name
 
 FEATURES = 12
 BINS = 8
+#: Consecutive lines that are kept together where a long text is sampled.
+STRETCH = 25
 
 _LETTER, _UPPER, _DIGIT, _STOP, _SPACE, _SYMBOL = range(6)
 
@@ -265,6 +268,15 @@ def fit(features: list[np.ndarray], labels: np.ndarray, rounds: int = 60, passes
     return Model(edges, weights, transition, slope, offset)
 
 
+def spread_lines(n: int, max_lines: int) -> np.ndarray:
+    """Numbers of at most ``max_lines`` of ``n`` lines: all, or stretches over the whole text."""
+    if n <= max_lines:
+        return np.arange(n)
+    length = min(STRETCH, max_lines)
+    starts = np.linspace(0, n - length, max_lines // length).astype(np.int64)
+    return np.unique(starts[:, None] + np.arange(length))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -292,8 +304,9 @@ def train(
         for b in batches:
             made = []
             for t in as_bytes(b.column(1)):
-                lines = split_lines(t or b"")[:max_lines]
-                made.append(line_features(b"\n".join(lines), lines).tobytes())
+                lines = split_lines(t or b"")
+                features = line_features(t or b"", lines)
+                made.append(features[spread_lines(len(lines), max_lines)].tobytes())
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(2), pa.array(made, pa.binary())], names=["id", "label", "features"]
             )
