@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 import itertools
+import math
+import re
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tidewire.llm import language, quality
@@ -41,8 +44,95 @@ def test_language_of_odd_rows(spark, table, odd_rows):
     assert [(x["lang"], x["score"]) for x in r] == [("und", 0.0)]
     none = table([])
     assert none.select(language.identify(none, "text", model)).count() == 0
-    with pytest.raises(ValueError):
-        language.train(table(taught), max_languages=1)
+    small = language.train(table(taught), max_languages=1, dictionary_bytes=20)
+    assert small.languages == ("de", "en") and small.dictionaries == (b" der e", b" the o")
+
+
+def test_languages_beyond_the_bound_share_it(table):
+    names = [f"l{i:02}" for i in range(12)]
+    rows = [(i, f"{chr(97 + i % 12) * 3} word{i // 12}", names[i % 12], None) for i in range(480)]
+    whole = language.train(table(rows))
+    less = language.train(table(rows), max_languages=4, texts_per_language=6, dictionary_bytes=60)
+    assert whole.languages == less.languages == tuple(names)
+    assert all(0 < len(b) <= 20 for b in less.dictionaries)
+    assert all(b.split()[0] == bytes([97 + i]) * 3 for i, b in enumerate(less.dictionaries))
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 65, 1023, 1024, 1087, 1088, 1089, 5000])
+def test_pieces_lose_nothing_and_none_is_short(size):
+    body = bytes(i % 251 for i in range(size))
+    pieces = language.pieces_of(body)
+    if size < language.SHORT:
+        assert pieces == [body * language.COPIES]
+    else:
+        assert b"".join(pieces) == body and min(map(len, pieces)) >= language.SHORT
+        assert max(map(len, pieces)) < language.PIECE + language.SHORT
+
+
+def plain_language(text, taught):
+    """Language, score and margin by one zstandard call per piece and language."""
+    words = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+    if not any(c.isalpha() for c in words):
+        return "und", 0.0, 0.0
+    body, pieces = f" {words} ".encode(), []
+    if len(body) < 64:
+        pieces = [body * 8]
+    while body and not pieces or len(body) >= 1024 + 64:
+        if len(body) < 1024 + 64:
+            pieces.append(body)
+            break
+        pieces.append(body[:1024])
+        body = body[1024:]
+        if len(body) < 1024 + 64:
+            pieces.append(body)
+    sizes = {}
+    for name, sample in taught.items():
+        how = zstandard.ZstdCompressionParameters.from_level(
+            6, source_size=1024, dict_size=len(sample), min_match=3, write_content_size=0, write_checksum=0, write_dict_id=0
+        )
+        book = zstandard.ZstdCompressionDict(sample, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        book.precompute_compress(compression_params=how)
+        pack = zstandard.ZstdCompressor(compression_params=how, dict_data=book)
+        sizes[name] = sum(len(pack.compress(p)) for p in pieces)
+    (best, name), *rest = sorted((n, name) for name, n in sizes.items())
+    score = 1 / sum(math.exp(-min(700.0, max(0.0, (n - best) / 4))) for n in sizes.values())
+    return name, score, (rest[0][0] - best) / rest[0][0] if rest else 1.0
+
+
+def test_language_query_against_plain_compression(spark, tmp_path, odd_rows):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 120")
+    odd = spark.createDataFrame([(10_000 + i, r[1], r[2]) for i, r in enumerate(odd_rows)], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(odd, allowMissingColumns=True)
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    held = rows.collect()
+
+    # The sample by its rule: of a language's rows, per bucket of the hash the one of least hash.
+    hashed = {r["doc_id"]: r["h"] for r in rows.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    picks = {}
+    for r in held:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            h = hashed[r["doc_id"]]
+            key = r["lang"], h % 256
+            picks[key] = min(picks.get(key, (h, r["text"])), (h, r["text"]))
+    taught = {}
+    for (lang, _), (_, text) in sorted(picks.items(), key=lambda x: (x[0][0], x[1][0])):
+        taught[lang] = taught.get(lang, b"") + language.folded(text[:4000])[:4000]
+    taught = {k: v[:400_000] for k, v in taught.items() if v}
+
+    got = QUERIES["op7_language"](spark, str(tmp_path)).collect()
+    want = {r["doc_id"]: plain_language(r["text"], taught) for r in held}
+    assert len(got) == len(held)
+    for r in got:
+        name, score, _ = want[r["doc_id"]]
+        assert r["lang_pred"] == name and r["score"] == pytest.approx(score)
+
+
+def test_lines_of_the_sample_reach_over_the_whole_text():
+    assert quality.spread_lines(500, 500).tolist() == list(range(500))
+    for n in (501, 737, 40_000):
+        lines = quality.spread_lines(n, 500)
+        assert len(lines) <= 500 and lines[0] == 0 and lines[-1] == n - 1
+        assert np.diff(lines).max() <= n / 15
 
 
 def test_language_of_short_held_out_texts(spark):

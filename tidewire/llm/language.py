@@ -4,13 +4,14 @@ Every language has a raw-content zstandard dictionary made of labelled text. A t
 lower-case words, compressed piece by piece with each dictionary, and belongs to the language whose
 dictionary makes it smallest. A narrow margin between the two smallest is a rejection. zstandard
 stores a piece as it is if compression saves only a few bytes, which makes a short piece equally long
-under every dictionary; a piece below ``SHORT`` bytes is therefore compressed ``COPIES`` times over.
+under every dictionary; a text below ``SHORT`` bytes is therefore compressed ``COPIES`` times over,
+and the end of a longer one is never cut off as a piece that short.
 
 The dictionaries come from a bounded sample: at most ``texts_per_language`` texts of a language,
 one per hash bucket of doc_id (chosen on narrow rows, with constant state per bucket), the first
-``bytes_per_text`` bytes of each, ``dictionary_bytes`` per language. More than ``max_languages``
-labels are refused, which bounds what is sent to the executors. Scoring is one map over whole
-texts, without a shuffle.
+``bytes_per_text`` bytes of each, ``dictionary_bytes`` per language. Beyond ``max_languages`` labels
+texts and dictionaries become fewer and shorter in proportion, so every label is learned and what
+is sent to the executors keeps its bound. Scoring is one map over whole texts, without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm.common import col, per_worker
@@ -81,10 +82,15 @@ def train(
         .agg(F.min(F.struct("rank", "id")).alias("pick"))
         .select(F.col("lang").alias("of"), F.col("pick.id").alias("picked"), F.col("pick.rank").alias("rank"))
     )
-    names = picks.select("of").distinct().limit(max_languages + 1).count()
-    if names > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
-    # At most texts_per_language * max_languages ids, so broadcasting them is safe.
+    names = picks.select("of").distinct().count()
+    share = max(1.0, names / max_languages)
+    each = max(1, int(texts_per_language / share))
+    dictionary_bytes = max(1, int(dictionary_bytes / share))
+    if each < texts_per_language:
+        # A language has at most texts_per_language picks, so a window holds no more.
+        place = F.row_number().over(Window.partitionBy("of").orderBy("rank", "picked"))
+        picks = picks.withColumn("place", place).where(F.col("place") <= each).drop("place")
+    # At most texts_per_language * max_languages ids, or one per label, so broadcasting them is safe.
     chosen = rows.join(
         F.broadcast(picks),
         F.col("lang").eqNullSafe(F.col("of")) & F.col("id").eqNullSafe(F.col("picked")),
@@ -104,6 +110,14 @@ def train(
     return Model(tuple(languages), tuple(dictionaries))
 
 
+def pieces_of(body: bytes) -> list[bytes]:
+    """Pieces of ``PIECE`` bytes; an end below ``SHORT`` stays with the piece before it."""
+    last = max(len(body) - SHORT, 0) // PIECE * PIECE
+    if len(body) < SHORT:
+        return [body * COPIES]
+    return [*(body[a : a + PIECE] for a in range(0, last, PIECE)), body[last:]]
+
+
 class Scorer:
     """Compressors of a model, one per language."""
 
@@ -125,10 +139,7 @@ class Scorer:
             self.compressors.append(zstandard.ZstdCompressor(compression_params=params, dict_data=d))
 
     def sizes(self, body: bytes) -> list[int]:
-        pieces = [body[a : a + PIECE] for a in range(0, len(body), PIECE)]
-        # Only the last piece can be short.
-        if pieces and len(pieces[-1]) < SHORT:
-            pieces[-1] *= COPIES
+        pieces = pieces_of(body)
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
     def score(self, text: str | None) -> tuple[str, float, float]:
