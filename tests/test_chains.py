@@ -53,6 +53,23 @@ def test_documents_are_files_of_their_rows(spark, tmp_path):
     assert read_client_documents(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_reading_documents_takes_no_task_per_folder(spark, tmp_path):
+    wanted = set()
+    for i in range(300):
+        name = (f"s {i}", "t", f"r{i % 2}", f"1p_t-P{i}")
+        _put(f"{tmp_path}/logs/{'/'.join(name[:3])}", f"{name[3]}_scenarioconfig.json", ["{}"])
+        wanted.add((*name, "{}\n"))
+    _put(f"{tmp_path}/logs/s 1/t/r1", "other.json", ["{}"])
+    sc = spark.sparkContext
+    sc.setJobGroup("documents", "documents")
+    back = read_client_documents(spark, f"{tmp_path}/logs").collect()
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("documents") for s in tracker.getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in back} == wanted and len(back) == 300
+    assert sum(i.numTasks for i in map(tracker.getStageInfo, stages) if i) < 100
+
+
 def test_a_failed_job_publishes_no_document(spark, tmp_path):
     fails = F.when(F.col("id") == 7, F.raise_error(F.lit("lost"))).otherwise(F.lit("{}")).cast("string")
     docs = spark.range(0, 8, 1, 4).select(F.concat("id", F.lit(".json")).alias("file"), fails.alias("document"))

@@ -24,7 +24,7 @@ from tidewire.session import materialise, scratch_path
 from tidewire.sources.documents import client_files, read_client_documents, write_documents
 from tidewire.sources.event_log import read_event_log
 from tidewire.sources.resources import read_samples, write_samples
-from tidewire.sources.scenarios import read_scenarios
+from tidewire.sources.scenarios import read_scenario_folder
 from tidewire.sources.stats import read_stats_files, stats_samples
 from tidewire.streaming.ingest import (
     drain_logs,
@@ -160,7 +160,8 @@ def scenario_client_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From scenario files through their grids to one document per client, and back."""
     base = scratch_path(spark, "scenario-files")
     write_documents(_definitions(spark, sf_dir), f"{base}/scenarios")
-    grid = materialise(sc.scenarios_of(read_scenarios(spark, f"{base}/scenarios/*.json")), "scenarios")
+    definitions = materialise(read_scenario_folder(spark, f"{base}/scenarios"), "definitions")
+    grid = materialise(sc.scenarios_of(definitions), "scenarios")
     keyed = grid.select("*", F.struct("config", "name").alias("id"))
     documents = sc.config_documents(sc.publisher_configs(keyed, "id"), "id", "pub_id").unionByName(
         sc.config_documents(sc.consumer_configs(keyed, "id"), "id", "con_id")

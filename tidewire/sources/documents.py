@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewire.schemas import RUN
 from tidewire.session import materialise
-from tidewire.sources.event_log import any_file, run_keys_from_path
+from tidewire.sources.event_log import any_file
 
 # Fixed value: the end of a client document's name.
 CLIENT_SUFFIX = "_scenarioconfig.json"
@@ -100,19 +100,93 @@ def client_files(documents: DataFrame) -> DataFrame:
     return documents.select(F.concat_ws("/", *RUN, name).alias("file"), "document")
 
 
+#: Bytes of documents that a task hands on at once.
+_READ_BYTES = 4 << 20
+
+
+def _inside(top: str, kind: fs.FileType, ending: str = ""):
+    """Folders, given below ``top``, to the folders or files directly in them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = fs.FileSystem.from_uri(top)
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                found = where.get_file_info(fs.FileSelector(posixpath.join(root, folder), allow_not_found=True))
+                names = [i.base_name for i in found if i.type == kind and i.base_name.endswith(ending)]
+                if kind == fs.FileType.File:
+                    # As in Spark's readers, what starts so is no data.
+                    names = [n for n in names if not n.startswith(("_", "."))]
+                paths = pa.array([posixpath.join(folder, n) for n in names], pa.string())
+                yield pa.RecordBatch.from_arrays([paths], ["file"])
+
+    return run
+
+
+def _contents(top: str):
+    """Files, given below ``top``, with their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, root = fs.FileSystem.from_uri(top)
+
+        def batch() -> pa.RecordBatch:
+            columns = [pa.array(files, pa.string()), pa.array(found, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["file", "document"])
+
+        for b in batches:
+            files, found, size = [], [], 0
+            for file in b.column(0).to_pylist():
+                with where.open_input_stream(posixpath.join(root, file)) as source:
+                    found.append(source.read())
+                files.append(file)
+                size += len(found[-1])
+                if size >= _READ_BYTES:
+                    yield batch()
+                    files, found, size = [], [], 0
+            yield batch()
+
+    return run
+
+
+def _opens(path: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(path)
+    except (pa.ArrowInvalid, NotImplementedError):
+        return False
+    return True
+
+
+def read_documents(spark: SparkSession, path: str, depth: int, ending: str) -> DataFrame:
+    """Files ``depth`` folders below ``path``: ``file``, the name below it, and ``document``.
+
+    Folders are listed and files opened by the tasks, so neither the driver nor a job of its own
+    goes through the files, however many there are. A store that Arrow does not open is left to
+    Spark's reader.
+    """
+    top = path.rstrip("/")
+    if not _opens(top):
+        pattern = "/".join([top, *["*"] * depth, f"*{ending}"])
+        if not any_file(spark, pattern):
+            return spark.createDataFrame([], "file string, document string")
+        parts = F.split("_metadata.file_path", "/")
+        file = F.array_join(F.slice(parts, -depth - 1, depth + 1), "/").alias("file")
+        return spark.read.text(pattern, wholetext=True).select(file, F.col("value").alias("document"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = spark.createDataFrame([("",)], "file string")
+    for level in range(depth):
+        places = places.mapInArrow(_inside(top, fs.FileType.Directory), "file string")
+        if level in (0, depth - 1):
+            places = places.repartition(tasks, "file")
+    files = places.mapInArrow(_inside(top, fs.FileType.File, ending), "file string").repartition(tasks, "file")
+    read = files.mapInArrow(_contents(top), "file string, document binary")
+    return read.select("file", F.col("document").cast("string").alias("document"))
+
+
 def read_client_documents(spark: SparkSession, path: str) -> DataFrame:
     """``client_files`` below ``path``, the folder of a logs root: run keys, ``file``, ``document``."""
-    pattern = f"{path.rstrip('/')}/*/*/*/*{CLIENT_SUFFIX}"
-    if not any_file(spark, pattern):
-        keys = ", ".join(f"{k} string" for k in RUN)
-        return spark.createDataFrame([], f"{keys}, file string, document string")
-    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
-    return (
-        spark.read.text(pattern, wholetext=True)
-        .select(
-            *run_keys_from_path(F.col("_metadata.file_path")),
-            F.substring_index(name, CLIENT_SUFFIX, 1).alias("file"),
-            F.col("value").alias("document"),
-        )
-        .drop("logs_root")
+    parts = F.split("file", "/")
+    name = F.get(parts, F.lit(len(RUN)))
+    return read_documents(spark, path, len(RUN), CLIENT_SUFFIX).select(
+        *[F.get(parts, F.lit(i)).alias(k) for i, k in enumerate(RUN)],
+        F.substring_index(name, CLIENT_SUFFIX, 1).alias("file"),
+        "document",
     )
