@@ -17,16 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+#: Rows of a given table that one task takes at most, give or take the hash.
+ROWS_PER_TASK = 65_536
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of a table that fits one split, dealt out to all cores.
+    """Rows of a table dealt out by its key, the first column, to tasks of bounded size.
 
-    Every event fans out to several rows of work, which one task would do
-    alone. A table with at least as many splits as cores is left as it is.
+    Every event fans out to several rows of work. A file is cut by bytes, but read by row groups, so
+    a split may hold millions of rows or none. Tasks are therefore as many as the rows ask for, and
+    no fewer than there are cores. A table of at least as many files is left as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // ROWS_PER_TASK))
+    if len(df.inputFiles()) >= tasks:
         return df
-    return df.repartition(cores)
+    return df.repartition(tasks, df.columns[0])
 
 
 _RUN_SQL = [

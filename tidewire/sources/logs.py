@@ -61,10 +61,10 @@ def parse_study_lines(
     marker = f"[{level}]"
     line = F.col("line")
     rest = F.substr(line, F.locate(marker, line) + len(marker))
-    parts = F.split(rest, ",", 6)
+    parts = F.transform(F.split(rest, ",", 6), trim_blanks)
 
     def part(i: int) -> Column:
-        return trim_blanks(F.get("parts", F.lit(i)))
+        return F.get("parts", F.lit(i))
 
     def filled(i: int) -> Column:
         return F.coalesce(part(i), F.lit("")) != ""
@@ -72,7 +72,8 @@ def parse_study_lines(
     logical, serialized = size_field(part(4)), size_field(part(5))
     return (
         lines.filter(line.contains(marker))
-        .select(*keys, parts.alias("parts"))
+        # The outer form keeps the filters above it, so a line is cut and trimmed once.
+        .select(*keys, F.explode_outer(F.array(parts)).alias("parts"))
         .filter((F.size("parts") >= 4) & filled(0))
         .filter((~filled(4) | logical.isNotNull()) & (~filled(5) | serialized.isNotNull()))
         .select(
