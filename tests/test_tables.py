@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewire.registry import tables
+from tidewire.registry import streams, tables
 from tidewire.sources.logs import parse_study_lines
 
 
@@ -36,3 +36,18 @@ def test_a_line_is_cut_once_and_filtered_after(spark, capsys):
     plan = capsys.readouterr().out
     filters = [p for p in plan.split("\n\n") if "Filter" in p.split("\n")[0]]
     assert filters and not any("split(" in p for p in filters)
+
+
+def test_a_large_step_of_a_stream_is_many_files_and_one_micro_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "_ROWS_PER_FILE", 1000)
+    rows = spark.range(0, 20_000, 1, 6).withColumn("step", F.pmod("id", F.lit(4)))
+    stream = streams._arriving(spark, rows, "step")
+    seen = []
+
+    def store(batch, number):
+        files = batch.select(F.input_file_name()).distinct().count()
+        seen.append((files, {r["step"]: r["count"] for r in batch.groupBy("step").count().collect()}))
+
+    query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{tmp_path}/c")
+    query.trigger(availableNow=True).start().awaitTermination()
+    assert seen == [(5, {k: 5000}) for k in range(4)]

@@ -36,18 +36,32 @@ from tidewire.streaming.throughput import (
 )
 from tidewire.streaming.topics import drain_to_parquet, file_stream, only_topics
 
-#: Files of a stream, and the seconds of the run that one holds.
+#: Steps in which a stream arrives, and the seconds of the run that one holds.
 _FILES, _SPAN_S = 4, 200
+#: Rows of the smallest step for each file of a step.
+_ROWS_PER_FILE = 100_000
 _RUN_TYPES = "scenario string, tech string, run string"
 
 
+def _files_per_step(rows: list[int]) -> int:
+    """Files that every step is written as: as many as the smallest step can fill beyond doubt."""
+    return max(1, min(rows, default=0) // _ROWS_PER_FILE)
+
+
 def _arriving(spark: SparkSession, rows: DataFrame, file: str) -> DataFrame:
-    """``rows`` as a stream of files, one per micro-batch; ``file`` numbers each row's file."""
+    """``rows`` as a stream that arrives in steps, one per micro-batch; ``file`` numbers each row's step.
+
+    All steps have the same number of files, which a micro-batch takes: files are taken in the order
+    in which they were written. Rows are dealt in turn, so no file is empty and left out.
+    """
     folder = scratch_path(spark, "arrivals")
     dealt = materialise(rows.withColumn("_file", F.expr(file).cast("int")), "dealt")
+    counts = {r["_file"]: r["count"] for r in dealt.groupBy("_file").count().collect()}
+    files = _files_per_step([counts.get(k, 0) for k in range(_FILES)])
     for k in range(_FILES):
-        dealt.filter(F.col("_file") == k).drop("_file").coalesce(1).write.parquet(f"{folder}/{k}")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+        step = dealt.filter(F.col("_file") == k).drop("_file")
+        (step.coalesce(1) if files == 1 else step.repartition(files)).write.parquet(f"{folder}/{k}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
     return stream.parquet(f"{folder}/*/")
 
 
