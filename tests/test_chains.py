@@ -9,11 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.plans import scenarios as sc
-from tidewire.schemas import SCENARIO_SCHEMA
+from tidewire.schemas import RUN, SCENARIO_SCHEMA
 from tidewire.sources.documents import client_files, read_client_documents, write_documents
-from tidewire.sources.event_log import read_event_log
+from tidewire.sources.event_log import normalise_events, read_event_log
+from tidewire.sources.logs import parse_study_lines, read_run_logs
 from tidewire.sources.stats import read_stats_files, stats_samples
-from tidewire.streaming.ingest import ingest_new_logs
+from tidewire.streaming.ingest import LOG, ingest_new_logs, replace_logs
 
 
 def _put(folder, name, lines):
@@ -39,6 +40,27 @@ def test_logs_are_ingested_once_whatever_is_replayed(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [("01", "C0", "b"), ("01", "C0", "b"), ("01", "P0", "a")]
 
 
+def test_logs_are_written_by_the_tasks_that_parsed_them(spark, tmp_path):
+    lines = [f"[STUDY] 2025-01-01 10:00:00.{i:06d},Reception,P0-{i},t" for i in range(20_000)]
+    logs = spark.createDataFrame([(x,) for x in lines], "line string").repartition(1)
+    logs.write.text(f"{tmp_path}/logs/demo/alpha/r0")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    group = "ingest"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        read = read_run_logs(spark, str(tmp_path), "txt").withColumn(LOG, F.lit("a"))
+        parsed = parse_study_lines(read, [*RUN, LOG, "container_name"])
+        replace_logs(normalise_events(parsed, [*RUN, LOG]), f"{tmp_path}/out")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    status = spark.sparkContext.statusTracker()
+    stages = [status.getJobInfo(j).stageIds for j in status.getJobIdsForGroup(group)]
+    assert sum(map(len, stages)) == 1
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) > 1
+    assert read_event_log(spark, f"{tmp_path}/out").select("message_id").distinct().count() == 20_000
+
+
 def test_documents_are_files_of_their_rows(spark, tmp_path):
     rows = [("s", "t", "r", "1p-3s", "P0", '{"pub_id":"P0"}'), ("s", "t", "r", "1p-3s", "C0", None)]
     docs = spark.createDataFrame(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidewire.functions.labels import file_stem
 from tidewire.registry import streams, tables
 from tidewire.sources.logs import parse_study_lines
 
@@ -38,6 +39,22 @@ def test_a_line_is_cut_once_and_filtered_after(spark, capsys):
     assert filters and not any("split(" in p for p in filters)
 
 
+def test_the_parts_of_a_line_are_trimmed_and_read_once(spark, capsys):
+    lines = spark.createDataFrame([("c", "[STUDY] t,Publication,m, b ,1,x")], "container_name string, line string")
+    parse_study_lines(lines).explain("formatted")
+    plan = capsys.readouterr().out
+    # The pattern of whole sizes, for two sizes, in the one step that makes them.
+    assert plan.count(r"RLIKE") == 4 and "lambda" not in plan
+
+
+def test_file_names_without_their_extension(spark):
+    plain = F.regexp_replace(F.element_at(F.split("p", "/"), -1), r"(?s)(?<=.)\.[^.]+$", "")
+    names = ["/a.b/c.log", "c.tar.gz", ".log", "..log", "c.", "c..", "c", "/", "", ".", "é.é", "a\n.b\n", "a.\n", "c. ", None]
+    rows = spark.createDataFrame([(n,) for n in names], "p string")
+    got = rows.select("p", file_stem(F.col("p")).alias("got"), plain.alias("want")).collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
 def test_a_large_step_of_a_stream_is_many_files_and_one_micro_batch(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(streams, "_ROWS_PER_FILE", 1000)
     rows = spark.range(0, 20_000, 1, 6).withColumn("step", F.pmod("id", F.lit(4)))

@@ -12,9 +12,14 @@ LOG_LEVELS = ["DEBUG", "INFO", "STUDY", "CONFIG", "ERROR"]
 
 
 def file_stem(path: Column) -> Column:
-    """File name without its last extension."""
+    """File name without its last extension.
+
+    Taken by length, as readers ask for it with every line.
+    """
     name = F.element_at(F.split(path, "/"), -1)
-    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]+$", "")
+    extension = F.substring_index(name, ".", -1)
+    size = F.length(name) - F.length(extension) - 1
+    return F.when((size > 0) & (extension != ""), F.left(name, size)).otherwise(name)
 
 
 def source_label(stem: Column) -> Column:

@@ -15,6 +15,14 @@ BLANKS = (
 TIMESTAMP_PATTERN = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(\.\d+)?$"
 
 
+def once(value: Column) -> Column:
+    """``value``, worked out once however often it is used further on; for ``select``.
+
+    The outer form keeps the filters that use it above it.
+    """
+    return F.explode_outer(F.array(value))
+
+
 def trim_blanks(c: Column) -> Column:
     return F.trim(c, F.lit(BLANKS))
 

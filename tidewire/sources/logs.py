@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.labels import file_stem, level_of_line
-from tidewire.functions.lenient import size_field, trim_blanks
+from tidewire.functions.lenient import once, size_field, trim_blanks
 from tidewire.schemas import RUN
 from tidewire.sources.event_log import any_file, run_file_glob, run_keys_from_path
 
@@ -49,6 +49,10 @@ def read_run_logs(
     return read_container_logs(spark, pattern, keyed=True)
 
 
+#: The comma-separated parts of a marked line.
+_PARTS = ["timestamp", "event_type", "message_id", "topic", "logical_size", "serialized_size"]
+
+
 def parse_study_lines(
     lines: DataFrame, keys: Sequence[str] = ("container_name",), level: str = "STUDY"
 ) -> DataFrame:
@@ -61,30 +65,25 @@ def parse_study_lines(
     marker = f"[{level}]"
     line = F.col("line")
     rest = F.substr(line, F.locate(marker, line) + len(marker))
-    parts = F.transform(F.split(rest, ",", 6), trim_blanks)
-
-    def part(i: int) -> Column:
-        return F.get("parts", F.lit(i))
-
-    def filled(i: int) -> Column:
-        return F.coalesce(part(i), F.lit("")) != ""
-
-    logical, serialized = size_field(part(4)), size_field(part(5))
-    return (
-        lines.filter(line.contains(marker))
-        # The outer form keeps the filters above it, so a line is cut and trimmed once.
-        .select(*keys, F.explode_outer(F.array(parts)).alias("parts"))
-        .filter((F.size("parts") >= 4) & filled(0))
-        .filter((~filled(4) | logical.isNotNull()) & (~filled(5) | serialized.isNotNull()))
-        .select(
-            *keys,
-            part(0).alias("timestamp"),
-            part(1).alias("event_type"),
-            part(2).alias("message_id"),
-            logical.alias("logical_size"),
-            part(3).alias("topic"),
-            serialized.alias("serialized_size"),
-        )
+    cut = lines.filter(line.contains(marker)).select(*keys, once(F.split(rest, ",", 6)).alias("parts"))
+    trimmed = [trim_blanks(F.get("parts", F.lit(i))).alias(n) for i, n in enumerate(_PARTS)]
+    named = cut.filter(F.size("parts") >= 4).select(*keys, once(F.struct(*trimmed)).alias("p"))
+
+    def filled(name: str) -> Column:
+        return F.coalesce(F.col(f"p.{name}"), F.lit("")) != ""
+
+    sizes = [size_field(F.col(f"p.{n}")).alias(n) for n in _PARTS[4:]]
+    sized = named.filter(filled("timestamp")).select(*keys, "p", once(F.struct(*sizes)).alias("s"))
+    for n in _PARTS[4:]:
+        sized = sized.filter(~filled(n) | F.col(f"s.{n}").isNotNull())
+    return sized.select(
+        *keys,
+        "p.timestamp",
+        "p.event_type",
+        "p.message_id",
+        "s.logical_size",
+        "p.topic",
+        "s.serialized_size",
     )
 
 

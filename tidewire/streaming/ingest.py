@@ -49,11 +49,13 @@ def replace_logs(events: DataFrame, path: str) -> None:
     """Write the rows of whole logs, each over what an earlier write left of the same log.
 
     A micro-batch that runs again after a failure therefore leaves every row once, whether its
-    first attempt was lost before, during or after the write.
+    first attempt was lost before, during or after the write. Rows are written by the tasks that
+    parsed them: a task reads one split of a log, or a few small logs, so nothing is shuffled and a
+    log has a file for each of its splits.
     """
-    events.hint("rebalance", *RUN, LOG).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy(*RUN, LOG).parquet(path)
+    events.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *RUN, LOG
+    ).parquet(path)
 
 
 def drain_logs(events: DataFrame, write: Callable[[DataFrame], None], checkpoint: str) -> None:
