@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.labels import file_stem
 from tidewire.registry import streams, tables
+from tidewire.schemas import RUN
 from tidewire.sources.logs import parse_study_lines
+from tidewire.sources.stats import flatten_stats, read_stats_files, stats_samples
 
 
 def test_tasks_have_bounded_rows_whatever_the_file_looks_like(spark, tmp_path, monkeypatch):
@@ -68,3 +70,16 @@ def test_a_large_step_of_a_stream_is_many_files_and_one_micro_batch(spark, tmp_p
     query = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{tmp_path}/c")
     query.trigger(availableNow=True).start().awaitTermination()
     assert seen == [(5, {k: 5000}) for k in range(4)]
+
+
+def test_a_statistics_document_is_parsed_once(spark, tmp_path, capsys):
+    folder = tmp_path / "logs" / "demo" / "alpha" / "r0"
+    folder.mkdir(parents=True)
+    (folder / "a.jsonl").write_text("{}\n")
+    docs = read_stats_files(spark, str(tmp_path))
+    flatten_stats(docs.filter("timestamp > ''"), [*RUN, "container", "timestamp"]).explain("formatted")
+    plan = capsys.readouterr().out
+    # One parser for the lines and one for the documents in them.
+    assert plan.count("from_json(") == 2
+    stats_samples(docs).explain("formatted")
+    assert "from_json(" not in capsys.readouterr().out

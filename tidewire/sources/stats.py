@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.labels import source_label
-from tidewire.functions.lenient import parse_timestamp
+from tidewire.functions.lenient import once, parse_timestamp
 from tidewire.operators.sliced_window import SLICE_US, with_previous
 from tidewire.schemas import RESOURCE_COUNTERS, RUN, STATS_SCHEMA
+from tidewire.session import materialise
 from tidewire.sources.event_log import any_file, run_file_glob, run_keys_from_path
 
 _COLLECTED = "container string, timestamp string, num_cpus int, stats string"
@@ -39,7 +40,7 @@ def _filled(json_column: str, part: str) -> Column:
 
 
 def flatten_stats(docs: DataFrame, keys: Sequence[str], json_column: str = "stats") -> DataFrame:
-    """Counters and gauges of each document; map-only.
+    """Counters and gauges of each document; map-only, and a document is parsed once.
 
     Documents without CPU or memory figures are dropped.
     """
@@ -57,7 +58,7 @@ def flatten_stats(docs: DataFrame, keys: Sequence[str], json_column: str = "stat
     has_cpu |= _filled(json_column, "cpu_stats")
     has_memory |= _filled(json_column, "memory_stats")
     return (
-        docs.select(*keys, json_column, F.from_json(json_column, STATS_SCHEMA).alias("s"))
+        docs.select(*keys, json_column, once(F.from_json(json_column, STATS_SCHEMA)).alias("s"))
         .filter(has_cpu & has_memory)
         .select(
             *keys,
@@ -83,11 +84,12 @@ def cpu_percent(
 ) -> DataFrame:
     """CPU use since the container's previous sample, in percent of one core.
 
-    ``num_cpus`` is a column of ``samples`` where hosts differ.
+    ``num_cpus`` is a column of ``samples`` where hosts differ. The samples are written first, as
+    they are read twice and are mostly made of parsed documents.
     """
     cpus = num_cpus if isinstance(num_cpus, Column) else F.lit(num_cpus)
     linked = with_previous(
-        samples, keys, time_us, tie, ["cpu_usage_ns", "system_cpu_ns"], slice_us=slice_us
+        materialise(samples, "stats-samples"), keys, time_us, tie, ["cpu_usage_ns", "system_cpu_ns"], slice_us=slice_us
     )
     used = (F.col("cpu_usage_ns") - F.col("prev_cpu_usage_ns")).cast("double")
     total = F.col("system_cpu_ns") - F.col("prev_system_cpu_ns")
@@ -115,7 +117,7 @@ def read_stats_files(
         spark.read.text(pattern)
         .select(
             *run_keys_from_path(F.col("_metadata.file_path")),
-            F.from_json("value", _COLLECTED).alias("c"),
+            once(F.from_json("value", _COLLECTED)).alias("c"),
         )
         .select(*RUN, "c.*")
     )
