@@ -1,8 +1,8 @@
 """Binary payload codecs on Arrow buffers.
 
 IEEE doubles have no byte form in SQL, so whole payloads are packed and unpacked in ``mapInArrow``.
-A batch is worked on as a whole: fields are cut out of, or joined into, byte buffers by arithmetic
-on their offsets. Rows are independent: no shuffle, and malformed input gives an error text instead
+Runs of rows of bounded size are worked on as a whole: fields are cut out of, or joined into, byte
+buffers by arithmetic on their offsets. Rows are independent: no shuffle, and malformed input gives an error text instead
 of a failed task.
 """
 
@@ -25,6 +25,8 @@ _NOT_TEXT = "text is not UTF-8"
 _TOO_LONG = f"text longer than {MAX_TEXT} bytes"
 _NULL_TEXT = "a text in the list is null"
 _HEAD = np.dtype([("kind", "u1"), ("size", "<u8")])
+#: Bytes of a batch that are worked on together; a larger row stands alone.
+_SLICE = 4 << 20
 #: Rows below which the texts of binary lists are found row by row.
 _FEW = 8
 
@@ -319,6 +321,21 @@ def _unpack_lists(doubles, strings):
     ], errors
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of bounded size, as a batch is bounded by its rows alone."""
+    if len(batch) < 2 or batch.nbytes <= _SLICE:
+        yield batch
+        return
+    half = len(batch) // 2
+    yield from _slices(batch.slice(0, half))
+    yield from _slices(batch.slice(half))
+
+
+def _own(column: pa.Array) -> pa.Array:
+    """The values of a slice without those of the batch around it."""
+    return column.take(pa.array(np.arange(len(column))))
+
+
 def _batch_codec(
     df: DataFrame, inputs: list[str], outputs: list[T.StructField], fn: Callable
 ) -> DataFrame:
@@ -330,10 +347,10 @@ def _batch_codec(
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _slices(whole)):
             if not len(batch):
                 continue
-            made, errors = fn(*(batch.column(c) for c in inputs))
+            made, errors = fn(*(_own(batch.column(c)) for c in inputs))
             new = [*made, errors.column()]
             new = [c.cast(f.type) for c, f in zip(new, list(arrow)[-len(new) :])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema=arrow)
