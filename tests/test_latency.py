@@ -8,7 +8,9 @@ from collections import defaultdict
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidewire import session
 from tidewire.operators.rank_select import histogram_quantiles
 from tidewire.plans.latency import latency_stats, latency_trimmed, segment_samples
 from tidewire.schemas import RUN
@@ -149,6 +151,56 @@ def test_hot_message_of_exact_copies(spark):
     ]
 
 
+def _written(spark, root, label):
+    """Rows of every file of the step ``label``, the only one under ``root``."""
+    (folder,) = root.glob(f"{label}-*")
+    rows = spark.read.parquet(str(folder)).groupBy(F.input_file_name()).count().collect()
+    return [r["count"] for r in rows]
+
+
+@pytest.mark.parametrize("plan", [segment_samples, latency_stats])
+def test_tasks_are_bounded_whatever_the_shuffle_partitions(spark, monkeypatch, tmp_path, plan):
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    monkeypatch.setattr(session, "TASK_BYTES", 16 << 10)
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    own = {least: "1k", "spark.sql.shuffle.partitions": "1", session._ADVISORY: "32m"}
+    before = {k: spark.conf.get(k) for k in own}
+    at = "timestamp_millis(1704067200000 + id * 7 + {})"
+    stage = "named_struct('container_name', '{}', 'event_type', '{}', 'timestamp', " + at + ")"
+    stages = [("t-P0", "Serializing", 0), ("t-P0", "Publication", "id % 5"), ("t-C0", "Reception", "id % 97")]
+    log = spark.range(20000).selectExpr(
+        "'s' AS scenario", "'t' AS tech", "'r' AS run", "concat('P0-', id) AS message_id", "'a' AS topic",
+        f"inline(array({', '.join(stage.format(*x) for x in stages)}))",
+    )
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = plan(log).collect()
+        assert {k: spark.conf.get(k) for k in own} == own
+        assert spark.conf.get(session._INITIAL, None) is None
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    if plan is segment_samples:
+        assert sum(r["weight"] for r in got) == 60000
+    rows = _written(spark, tmp_path, "message-stages")
+    assert sum(rows) == 40000 and len(rows) > 8 and max(rows) < 10000
+
+
+def test_small_tasks_inside_each_other(spark):
+    keys = (session._ADVISORY, session._INITIAL)
+    before = [spark.conf.get(k, None) for k in keys]
+    with session.small_tasks(spark):
+        with session.small_tasks(spark):
+            pass
+        assert session._bytes(spark.conf.get(session._ADVISORY)) == session.TASK_BYTES
+        assert int(spark.conf.get(session._INITIAL)) == session.FINEST
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert [session._bytes(x) for x in ("5", "8m", "64MB", "16777216b", "2g")] == [
+        5, 8 << 20, 64 << 20, 16 << 20, 2 << 30,
+    ]
+
+
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_histogram_quantiles_equal_sort_and_index(spark, block):
     rnd = random.Random(block)

@@ -13,7 +13,7 @@ from tidewire.operators.stage_pairs import (
     weighted_pairs,
 )
 from tidewire.schemas import DESERIALIZED, END_TO_END, PUB_TO_REC, REC_TO_DES, RUN, SER_TO_PUB
-from tidewire.session import materialise
+from tidewire.session import materialise, small_tasks
 
 # The reported percentiles.
 QUANTILES = {"p50_ms": 0.50, "p90_ms": 0.90, "p99_ms": 0.99}
@@ -36,33 +36,35 @@ def _stats(hist: DataFrame) -> DataFrame:
 
 def latency_stats(events: DataFrame) -> DataFrame:
     """Percentiles per run and segment; a segment without samples gives nulls."""
-    stages = materialise(message_stages(events), "message-stages")
-    bounds = materialise(stage_bounds(stages), "run-bounds")
-    hist = (
-        weighted_pairs(events, stages)
-        .groupBy(*RUN, "segment", "latency_ms")
-        .agg(F.sum("weight").alias("weight"))
-    )
-    hist = materialise(settle_end_to_end(hist, bounds), "latency-histogram")
+    with small_tasks(events.sparkSession):
+        stages = materialise(message_stages(events), "message-stages")
+        bounds = materialise(stage_bounds(stages), "run-bounds")
+        hist = (
+            weighted_pairs(events, stages)
+            .groupBy(*RUN, "segment", "latency_ms")
+            .agg(F.sum("weight").alias("weight"))
+        )
+        hist = materialise(settle_end_to_end(hist, bounds), "latency-histogram")
     return expected_segments(bounds).join(_stats(hist), _KEYS, "left")
 
 
 def segment_samples(events: DataFrame) -> DataFrame:
-    """Samples as (segment, start second of the run, latency) with their count."""
-    stages = materialise(message_stages(events), "message-stages")
-    # Written first, so its size is known and the join below needs no shuffle
-    # of the pairs by run unless there are very many runs.
-    bounds = materialise(stage_bounds(stages), "run-bounds")
-    timed = (
-        weighted_pairs(events, stages)
-        .join(bounds.select(*RUN, "start_ms"), RUN)
-        .withColumn(
-            "time_s", F.floor((F.col("t0_ms") - F.col("start_ms")) / 1000).cast("bigint")
+    """Samples as (segment, start second of the run, latency) with their count, written once."""
+    with small_tasks(events.sparkSession):
+        stages = materialise(message_stages(events), "message-stages")
+        # Written first, so its size is known and the join below needs no shuffle
+        # of the pairs by run unless there are very many runs.
+        bounds = materialise(stage_bounds(stages), "run-bounds")
+        timed = (
+            weighted_pairs(events, stages)
+            .join(bounds.select(*RUN, "start_ms"), RUN)
+            .withColumn(
+                "time_s", F.floor((F.col("t0_ms") - F.col("start_ms")) / 1000).cast("bigint")
+            )
+            .groupBy(*RUN, "segment", "time_s", "latency_ms")
+            .agg(F.sum("weight").alias("weight"))
         )
-        .groupBy(*RUN, "segment", "time_s", "latency_ms")
-        .agg(F.sum("weight").alias("weight"))
-    )
-    return settle_end_to_end(timed, bounds)
+        return materialise(settle_end_to_end(timed, bounds), "segment-samples")
 
 
 def latency_trimmed(events: DataFrame, start_s: int = 5, end_s: int = 5) -> DataFrame:
@@ -74,7 +76,7 @@ def latency_trimmed(events: DataFrame, start_s: int = 5, end_s: int = 5) -> Data
     """
     if start_s == 0 and end_s == 0:
         return latency_stats(events)
-    return trimmed_from_samples(materialise(segment_samples(events), "segment-samples"), start_s, end_s)
+    return trimmed_from_samples(segment_samples(events), start_s, end_s)
 
 
 def trimmed_from_samples(samples: DataFrame, start_s: int = 5, end_s: int = 5) -> DataFrame:

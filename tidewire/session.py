@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Shuffled bytes that a task of ``small_tasks`` reads at most, give or take a partition.
+TASK_BYTES = 16 << 20
+#: Partitions of its shuffles before adaptive execution joins small ones.
+FINEST = 1024
+
 
 def get_session(app: str = "tidewire", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the jobs rely on.
@@ -58,6 +67,50 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_tasks_lock = threading.Lock()
+#: Per session: how many steps hold ``small_tasks`` now, and what the settings were before.
+_tasks_held: dict[SparkSession, tuple[int, dict[str, str | None]]] = {}
+
+
+def _bytes(size: str) -> int:
+    number, unit = re.fullmatch(r"(\d+)([bkmgtp]?)b?", size.strip().lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit or "b")
+
+
+@contextmanager
+def small_tasks(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside read shuffles in tasks of ``TASK_BYTES``, not of the session's larger size.
+
+    Rows of strings and counts take some eleven times their shuffled bytes when they are sorted and
+    joined. The shuffles are cut finely first, so that a task does not grow with the input where the
+    session has few shuffle partitions. Settings that are finer already are kept, and all are put
+    back at the end; they bear on the size of tasks only, so a job beside it gives the same rows.
+    """
+    with _tasks_lock:
+        depth, before = _tasks_held.get(spark, (0, {}))
+        if not depth:
+            before = {k: spark.conf.get(k, None) for k in (_ADVISORY, _INITIAL)}
+            own = before[_INITIAL] or spark.conf.get("spark.sql.shuffle.partitions")
+            spark.conf.set(_ADVISORY, f"{min(TASK_BYTES, _bytes(before[_ADVISORY] or '64m'))}b")
+            spark.conf.set(_INITIAL, str(max(FINEST, int(own))))
+        _tasks_held[spark] = depth + 1, before
+    try:
+        yield
+    finally:
+        with _tasks_lock:
+            depth, before = _tasks_held[spark]
+            _tasks_held[spark] = depth - 1, before
+            if depth == 1:
+                del _tasks_held[spark]
+                for k, v in before.items():
+                    if v is None:
+                        spark.conf.unset(k)
+                    else:
+                        spark.conf.set(k, v)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a compact intermediate table once and continue from the copy.
 
