@@ -201,6 +201,32 @@ def test_small_tasks_inside_each_other(spark):
     ]
 
 
+def test_only_scattered_containers_are_read_again(spark, monkeypatch, tmp_path):
+    """The other containers of a redelivered message keep their one row."""
+    monkeypatch.setattr(session, "scratch_root", lambda _: str(tmp_path))
+    rows = [
+        ("s", "t", "r", "P0-1", "a", who, kind, T0 + timedelta(milliseconds=ms))
+        for who, kind, ms in (
+            ("t-P0", "Serializing", 0),
+            ("t-P0", "Publication", 2),
+            ("t-C0", "Reception", 5),
+            ("t-C0", "Reception", 255),
+            ("t-C0", "Deserialized", 9),
+            ("t-C1", "Reception", 6),
+            ("t-C1", "Reception", 6),
+            (None, "Reception", 7),
+            (None, "Reception", 8),
+        )
+    ]
+    want = defaultdict(int)
+    for x in brute_samples(rows):
+        want[x] += 1
+    got = segment_samples(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(*[r[k] for k in RUN], r["segment"], r["time_s"], r["latency_ms"]): r["weight"] for r in got} == dict(want)
+    # Two receptions and one decoding of C0, two receptions without a container.
+    assert sum(_written(spark, tmp_path, "scattered-stages")) == 5
+
+
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_histogram_quantiles_equal_sort_and_index(spark, block):
     rnd = random.Random(block)

@@ -4,10 +4,10 @@ The stage-to-stage joins of the event log are replaced by one grouped pass:
 every (message, container) collapses, before the shuffle, to one row holding
 the time and the number of copies of each stage. Segments inside one container
 are read off that row; the segments between containers need one join of these
-compact rows. A message that one container logged at several different times
-in one stage does not fit the row. Such messages, if there are any, take the
-general joins of distinct times, so the result is the full inner join in all
-cases, while exact copies only raise a weight.
+compact rows. A container that logged a message at several different times in
+one stage does not fit the row. Such rows, if there are any, are replaced by
+rows of distinct times from a second read of the log, so the result is the full
+inner join in all cases, while exact copies only raise a weight.
 """
 
 from __future__ import annotations
@@ -97,57 +97,72 @@ def _segment_rows(df: DataFrame, specs: list[tuple[str, str, bool, str]]) -> Dat
     return df.select(*RUN, F.inline(pairs)).filter(F.col("weight") > 0)
 
 
-def _regular(stages: DataFrame) -> DataFrame:
-    local = _segment_rows(
-        stages.filter(F.col("container_name").isNotNull()), [s for s in _SEGMENTS if s[2]]
-    )
-    start = stages.filter((F.col("ser_n") > 0) | (F.col("pub_n") > 0)).select(
+def _across(rows: DataFrame) -> DataFrame:
+    """Segments between containers; every time of a stage stands in one row of its container."""
+    start = rows.filter((F.col("ser_n") > 0) | (F.col("pub_n") > 0)).select(
         *MESSAGE, "ser_ms", "ser_n", "pub_ms", "pub_n"
     )
-    end = stages.filter((F.col("rec_n") > 0) | (F.col("des_n") > 0)).select(
+    end = rows.filter((F.col("rec_n") > 0) | (F.col("des_n") > 0)).select(
         *MESSAGE, "rec_ms", "rec_n", "des_ms", "des_n"
     )
-    across = _segment_rows(start.join(end, MESSAGE), [s for s in _SEGMENTS if not s[2]])
-    return local.unionByName(across)
+    return _segment_rows(start.join(end, MESSAGE), [s for s in _SEGMENTS if not s[2]])
 
 
-def _general(events: DataFrame, messages: DataFrame) -> DataFrame:
+def _distinct_times(events: DataFrame, scattered: DataFrame) -> DataFrame:
+    """The scattered (message, container) rows again, one row per stage and distinct time."""
+    log = events.filter(
+        F.col("timestamp").isNotNull() & F.col("event_type").isin(*_STAGE.values())
+    ).select(*MESSAGE, "container_name", "event_type", F.unix_millis("timestamp").alias("ms"))
+    same = [F.col(f"log.{k}") == F.col(f"scattered.{k}") for k in MESSAGE]
+    same.append(F.col("log.container_name").eqNullSafe(F.col("scattered.container_name")))
     counted = (
-        events.filter(F.col("timestamp").isNotNull())
-        .select(*MESSAGE, "container_name", "event_type", F.unix_millis("timestamp").alias("ms"))
-        .join(messages, MESSAGE, "left_semi")
+        log.alias("log")
+        .join(scattered.alias("scattered"), same, "left_semi")
         .groupBy(*MESSAGE, "container_name", "event_type", "ms")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    counted = materialise(counted, "scattered-stages")
-    parts = []
-    for a, b, same_container, segment in _SEGMENTS:
-        keys = [*MESSAGE, "container_name"] if same_container else MESSAGE
-        side = [
-            counted.filter(F.col("event_type") == _STAGE[s]).select(
-                *keys, F.col("ms").alias(f"{s}_ms"), F.col("n").alias(f"{s}_n")
-            )
-            for s in (a, b)
+    stages = []
+    for s, name in _STAGE.items():
+        own = F.col("event_type") == name
+        stages += [
+            F.when(own, F.col("ms")).alias(f"{s}_ms"),
+            F.when(own, F.col("n")).otherwise(F.lit(0).cast("bigint")).alias(f"{s}_n"),
         ]
-        parts.append(
-            _segment_rows(side[0].join(side[1], keys), [(a, b, same_container, segment)])
+    return materialise(counted.select(*MESSAGE, "container_name", *stages), "scattered-stages")
+
+
+def _within(times: DataFrame) -> list[DataFrame]:
+    """Segments inside the containers of ``_distinct_times``."""
+    keys = [*MESSAGE, "container_name"]
+    parts = []
+    for spec in [s for s in _SEGMENTS if s[2]]:
+        a, b = (
+            times.filter(F.col(f"{s}_n") > 0).select(*keys, f"{s}_ms", f"{s}_n") for s in spec[:2]
         )
-    return reduce(DataFrame.unionByName, parts)
+        parts.append(_segment_rows(a.join(b, keys), [spec]))
+    return parts
 
 
 def weighted_pairs(events: DataFrame, stages: DataFrame) -> DataFrame:
     """(run keys, segment, t0_ms, latency_ms, weight), end-to-end in both forms.
 
     ``stages`` is the written ``message_stages(events)``. The events are read
-    again only when some message is scattered.
+    again only when some row is scattered.
     """
     matchable = stages.filter(F.col("topic").isNotNull())
-    scattered = matchable.filter("scattered").select(*MESSAGE).distinct()
-    if matchable.filter("scattered").isEmpty():
-        pairs = _regular(matchable)
+    scattered = matchable.filter("scattered")
+    times = [f"{s}_{k}" for s in _STAGE for k in ("ms", "n")]
+    rows = matchable.filter(~F.col("scattered")).select(*MESSAGE, "container_name", *times)
+    # What one container logged does not depend on the others, so only scattered rows are joined.
+    local = _segment_rows(
+        rows.filter(F.col("container_name").isNotNull()), [s for s in _SEGMENTS if s[2]]
+    )
+    if scattered.isEmpty():
+        pairs = local.unionByName(_across(rows))
     else:
-        pairs = _regular(matchable.join(scattered, MESSAGE, "left_anti")).unionByName(
-            _general(events, scattered)
+        again = _distinct_times(events, scattered.select(*MESSAGE, "container_name"))
+        pairs = reduce(
+            DataFrame.unionByName, [local, *_within(again), _across(rows.unionByName(again))]
         )
     return pairs.select(
         *RUN,
