@@ -188,12 +188,13 @@ def test_tasks_are_bounded_whatever_the_shuffle_partitions(spark, monkeypatch, t
 
 
 def test_small_tasks_inside_each_other(spark):
-    keys = (session._ADVISORY, session._INITIAL)
+    keys = (session._ADVISORY, session._INITIAL, session._SPLIT)
     before = [spark.conf.get(k, None) for k in keys]
     with session.small_tasks(spark):
         with session.small_tasks(spark):
             pass
         assert session._bytes(spark.conf.get(session._ADVISORY)) == session.TASK_BYTES
+        assert session._bytes(spark.conf.get(session._SPLIT)) == 2 * session.TASK_BYTES
         assert int(spark.conf.get(session._INITIAL)) == session.FINEST
     assert [spark.conf.get(k, None) for k in keys] == before
     assert [session._bytes(x) for x in ("5", "8m", "64MB", "16777216b", "2g")] == [

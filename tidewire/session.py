@@ -69,6 +69,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 _ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 _INITIAL = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+_SPLIT = "spark.sql.files.maxPartitionBytes"
 _tasks_lock = threading.Lock()
 #: Per session: how many steps hold ``small_tasks`` now, and what the settings were before.
 _tasks_held: dict[SparkSession, tuple[int, dict[str, str | None]]] = {}
@@ -81,7 +82,7 @@ def _bytes(size: str) -> int:
 
 @contextmanager
 def small_tasks(spark: SparkSession) -> Iterator[None]:
-    """Jobs that run inside read shuffles in tasks of ``TASK_BYTES``, not of the session's larger size.
+    """Jobs that run inside read shuffles in tasks of ``TASK_BYTES``, files in splits of twice that.
 
     Rows of strings and counts take some eleven times their shuffled bytes when they are sorted and
     joined. The shuffles are cut finely first, so that a task does not grow with the input where the
@@ -91,9 +92,11 @@ def small_tasks(spark: SparkSession) -> Iterator[None]:
     with _tasks_lock:
         depth, before = _tasks_held.get(spark, (0, {}))
         if not depth:
-            before = {k: spark.conf.get(k, None) for k in (_ADVISORY, _INITIAL)}
+            before = {k: spark.conf.get(k, None) for k in (_ADVISORY, _INITIAL, _SPLIT)}
             own = before[_INITIAL] or spark.conf.get("spark.sql.shuffle.partitions")
             spark.conf.set(_ADVISORY, f"{min(TASK_BYTES, _bytes(before[_ADVISORY] or '64m'))}b")
+            # A shuffle this fine is sorted by its writers, which hold the rows of a split.
+            spark.conf.set(_SPLIT, f"{min(2 * TASK_BYTES, _bytes(before[_SPLIT] or '128m'))}b")
             spark.conf.set(_INITIAL, str(max(FINEST, int(own))))
         _tasks_held[spark] = depth + 1, before
     try:
