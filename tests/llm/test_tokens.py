@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import AddedToken, Tokenizer
 
-from tidewire.llm import range_coder, token_counts, token_files, tokens
+from tidewire.llm import common, range_coder, token_counts, token_files, tokens
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(FILE)
@@ -67,6 +67,19 @@ def test_a_full_memory_is_forgotten():
     assert len(enc.row) == 2
 
 
+def resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 >> 20
+
+
+def test_given_up_memory_goes_back_to_the_system():
+    held = [np.zeros(60, np.int64) + k for k in range(300_000)]
+    last, full = held[-1], resident()
+    held.clear()
+    common.give_up()
+    assert last[0] == 299_999 and resident() < full - 100
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.integers(1, 6), st.integers(1, 90), st.integers(1, 65536), st.integers(0, 2**31))
 def test_coder_round_trip(lanes, steps, high, seed):

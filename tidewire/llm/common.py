@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -52,7 +54,17 @@ def per_worker(owner: str, key: object, make: Callable[[], object]) -> object:
 def give_up() -> None:
     """Return the memory that earlier operators kept in this worker."""
     _held.clear()
+    gc.collect()
+    give_back()
+
+
+def give_back() -> None:
+    """Return to the system what this worker has freed; idle workers count like busy ones."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not a glibc
 
 
 def col(df: DataFrame, name: str) -> Column:

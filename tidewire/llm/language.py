@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import col, per_worker
+from tidewire.llm.common import col, give_back, per_worker
 
 UNKNOWN = "und"
 PIECE = 1024
@@ -182,6 +182,7 @@ def identify(df: DataFrame, text: str, model: Model) -> Column:
                 ],
                 names=["lang", "score", "margin"],
             )
+        give_back()
 
     return of(col(df, text).cast("string"))
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import LOWER, as_bytes, col, free_name, give_up, in_slices, text_or_empty
+from tidewire.llm.common import LOWER, as_bytes, col, free_name, give_back, give_up, in_slices, text_or_empty
 from tidewire.llm.components import connected_components
 from tidewire.llm.sieve import may_be_in
 from tidewire.llm.words import U64, Words, mix, runs, slices
@@ -169,6 +169,7 @@ def sketch_documents(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                 ],
                 names=["doc_id", "text_key", "n_shingles", "node", "sketch"],
             )
+        give_back()
 
     return rows.mapInArrow(
         run,
@@ -362,6 +363,8 @@ def _compared(blocks: DataFrame, percent: int) -> DataFrame:
                 held.append(b.slice(low, high - low))
         if held:
             yield made(pa.Table.from_batches(held))
+        held = []
+        give_back()
 
     dealt = blocks.select(*columns).repartition(*_BLOCK_KEYS).sortWithinPartitions(*_BLOCK_KEYS)
     return dealt.mapInArrow(run, "a binary, b binary")

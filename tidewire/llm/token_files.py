@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.llm import range_coder, tokens
-from tidewire.llm.common import col, text_or_empty
+from tidewire.llm.common import col, give_back, text_or_empty
 
 END = 0
 BLOCK, LANES = range_coder.BLOCK, range_coder.LANES
@@ -137,6 +137,8 @@ def write_token_files(
                     yield from blocks(False)
         if waiting:
             yield from blocks(True)
+        held.clear()
+        give_back()
 
     made = ordered.mapInArrow(run, f"kind string, shard int, seq bigint, doc_id {id_type}, {_REST}")
     made.write.partitionBy("kind").parquet(path)
@@ -234,6 +236,7 @@ def read_token_files(
                     yield from flush()
                 group.append((c["n_ids"][k], c["coded"][k], c["ids_crc32"][k], c["payload"][k]))
         yield from flush()
+        give_back()
 
     schema = f"doc_id {id_type}, shard int, first bigint, n_tokens bigint, ids_crc32 bigint"
     read = dealt.mapInArrow(run, schema + ", ids array<int>" * with_ids)
