@@ -67,6 +67,23 @@ def test_a_full_memory_is_forgotten():
     assert len(enc.row) == 2
 
 
+def test_pieces_that_occur_again_outlive_a_full_memory():
+    enc = tokens.PieceEncoder(FILE, limit=3)
+    asked = []
+    inner = enc._encode
+    enc._encode = lambda pieces: asked.append(pieces) or inner(pieces)
+    for t in ("one two three four five", "six two", "ten eleven twelve two", "two six two"):
+        assert enc.encode([t])[0].tolist() == ids_of(t)
+    assert sum(p.count(" two") for p in asked) == 1
+
+
+def test_signs_behind_letters_are_pieces_of_their_own():
+    enc = tokens.PieceEncoder(FILE)
+    text = "stie, der. Der der's naïve; ẞ, a\u0301, x1, ǆ.  «é»\xa0é, the_end 'll we'll,"
+    assert enc.encode([text])[0].tolist() == ids_of(text)
+    assert " der" in enc.row and "stie" in enc.row and " x1," in enc.row
+
+
 def resident():
     with open("/proc/self/statm") as f:
         return int(f.read().split()[1]) * 4096 >> 20
