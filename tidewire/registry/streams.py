@@ -22,6 +22,7 @@ from tidewire.schemas import MESSAGE, PUBLICATION, RECEPTION, RUN, SERIALIZING
 from tidewire.session import materialise, scratch_path
 from tidewire.sources.event_log import normalise_events
 from tidewire.streaming.completion import closing_counts, completion_times, settle_completion
+from tidewire.streaming.kept import buckets_for
 from tidewire.streaming.late import mark_late
 from tidewire.streaming.latency import stream_pairs
 from tidewire.streaming.microbatch import stream_batches
@@ -49,7 +50,12 @@ def _files_per_step(rows: list[int]) -> int:
 
 
 def _arriving(spark: SparkSession, rows: DataFrame, file: str) -> DataFrame:
-    """``rows`` as a stream that arrives in steps, one per micro-batch; ``file`` numbers each row's step.
+    """``rows`` as a stream that arrives in steps, one per micro-batch; ``file`` numbers each row's step."""
+    return _arriving_counted(spark, rows, file)[0]
+
+
+def _arriving_counted(spark: SparkSession, rows: DataFrame, file: str) -> tuple[DataFrame, int]:
+    """The stream of ``_arriving`` and the rows of its largest step.
 
     All steps have the same number of files, which a micro-batch takes: files are taken in the order
     in which they were written. Rows are dealt in turn, so no file is empty and left out.
@@ -62,7 +68,7 @@ def _arriving(spark: SparkSession, rows: DataFrame, file: str) -> DataFrame:
         step = dealt.filter(F.col("_file") == k).drop("_file")
         (step.coalesce(1) if files == 1 else step.repartition(files)).write.parquet(f"{folder}/{k}")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files)
-    return stream.parquet(f"{folder}/*/")
+    return stream.parquet(f"{folder}/*/"), max(counts.values(), default=0)
 
 
 def _drained(stream: DataFrame, label: str) -> DataFrame:
@@ -80,8 +86,9 @@ _DELAYED = (
 )
 
 
-def _arriving_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalise_events(_arriving(spark, event_rows(spark, sf_dir), _DELAYED))
+def _arriving_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    stream, most = _arriving_counted(spark, event_rows(spark, sf_dir), _DELAYED)
+    return normalise_events(stream), most
 
 
 def _message_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +127,7 @@ def stream_topic_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages; sizes that a stage does not report come from the others, in any order."""
-    events = _arriving_events(spark, sf_dir)
+    events, _ = _arriving_events(spark, sf_dir)
     path = scratch_path(spark, "bucket-sink")
     drain_buckets(
         stream_buckets(events, lateness="60 seconds"), path, scratch_path(spark, "bucket-checkpoint")
@@ -167,11 +174,11 @@ def stream_latency_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four segments from one keyed state; the end stage is settled per run."""
-    events = _arriving_events(spark, sf_dir)
+    events, most = _arriving_events(spark, sf_dir)
     path = scratch_path(spark, "bounds-sink")
     drain_buckets(stream_bounds(events), path, scratch_path(spark, "bounds-checkpoint"))
     bounds = read_latest(spark, path, RUN, _RUN_TYPES, "start_ms bigint, has_deserialized boolean")
-    pairs = stream_segments(events, lateness="60 seconds", horizon_ms=30_000)
+    pairs = stream_segments(events, lateness="60 seconds", horizon_ms=30_000, buckets=buckets_for(most))
     return settle_segments(_drained(pairs, "segment-sink"), bounds)
 
 
