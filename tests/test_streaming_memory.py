@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from tidewire.registry import streams
-from tidewire.streaming import kept, segments
+from tidewire.streaming import kept, segments, topics
 
 COLUMNS = [*segments._HERE, "event_type", "ms", "n"]
 
@@ -53,6 +53,19 @@ def test_a_hot_message_is_paired_in_bounded_memory():
     assert peak < 100e6
 
 
+def test_tasks_follow_the_rows_of_a_step(spark, tmp_path):
+    events = pd.DataFrame([rows(f"m{k}", "c", "Reception", k)[:7] for k in range(50)], columns=COLUMNS[:7])
+    events["timestamp"] = pd.Timestamp("2024-01-01", tz="UTC")
+    spark.createDataFrame(events).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    pairs = segments.stream_segments(stream, lateness="9 seconds", horizon_ms=9000)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    n = kept.partitions_for(6 * kept.ROWS_PER_PARTITION + 1)
+    topics.drain_to_parquet(pairs, f"{tmp_path}/out", f"{tmp_path}/cp", partitions=n)
+    assert n == 7 and len([p for p in (tmp_path / "cp/state/0").iterdir() if p.name.isdigit()]) == 7
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
 def test_copies_are_combined_as_they_come(monkeypatch):
     monkeypatch.setattr(kept, "WAITING_ROWS", 100)
     seen = []

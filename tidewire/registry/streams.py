@@ -22,7 +22,7 @@ from tidewire.schemas import MESSAGE, PUBLICATION, RECEPTION, RUN, SERIALIZING
 from tidewire.session import materialise, scratch_path
 from tidewire.sources.event_log import normalise_events
 from tidewire.streaming.completion import closing_counts, completion_times, settle_completion
-from tidewire.streaming.kept import buckets_for
+from tidewire.streaming.kept import buckets_for, partitions_for
 from tidewire.streaming.late import mark_late
 from tidewire.streaming.latency import stream_pairs
 from tidewire.streaming.microbatch import stream_batches
@@ -71,11 +71,11 @@ def _arriving_counted(spark: SparkSession, rows: DataFrame, file: str) -> tuple[
     return stream.parquet(f"{folder}/*/"), max(counts.values(), default=0)
 
 
-def _drained(stream: DataFrame, label: str) -> DataFrame:
+def _drained(stream: DataFrame, label: str, partitions: int = 1) -> DataFrame:
     """The rows of an append stream once everything available has gone through."""
     spark = stream.sparkSession
     path = scratch_path(spark, label)
-    drain_to_parquet(stream, path, scratch_path(spark, f"{label}-checkpoint"))
+    drain_to_parquet(stream, path, scratch_path(spark, f"{label}-checkpoint"), partitions=partitions)
     return spark.read.schema(stream.schema).parquet(path)
 
 
@@ -179,7 +179,7 @@ def stream_latency_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     drain_buckets(stream_bounds(events), path, scratch_path(spark, "bounds-checkpoint"))
     bounds = read_latest(spark, path, RUN, _RUN_TYPES, "start_ms bigint, has_deserialized boolean")
     pairs = stream_segments(events, lateness="60 seconds", horizon_ms=30_000, buckets=buckets_for(most))
-    return settle_segments(_drained(pairs, "segment-sink"), bounds)
+    return settle_segments(_drained(pairs, "segment-sink", partitions_for(most)), bounds)
 
 
 @register(

@@ -114,6 +114,24 @@ def small_tasks(spark: SparkSession) -> Iterator[None]:
                         spark.conf.set(k, v)
 
 
+_PARTITIONS = "spark.sql.shuffle.partitions"
+
+
+@contextmanager
+def least_partitions(spark: SparkSession, n: int) -> Iterator[None]:
+    """Streams that start inside shuffle, and keep their state, in ``n`` partitions at least."""
+    with _tasks_lock:
+        before = spark.conf.get(_PARTITIONS, None)
+        spark.conf.set(_PARTITIONS, str(max(n, int(spark.conf.get(_PARTITIONS)))))
+        try:
+            yield
+        finally:
+            if before is None:
+                spark.conf.unset(_PARTITIONS)
+            else:
+                spark.conf.set(_PARTITIONS, before)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write a compact intermediate table once and continue from the copy.
 

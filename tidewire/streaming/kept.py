@@ -25,6 +25,8 @@ Combine = Callable[[list[pd.DataFrame]], pd.DataFrame]
 WAITING_ROWS, EMITTED_ROWS = 65_536, 10_000
 #: Rows of a micro-batch that a bucket takes, give or take the hash, and the fewest buckets.
 ROWS_PER_BUCKET, FEWEST_BUCKETS = 16_384, 64
+#: Rows of a micro-batch that one task sorts by bucket, give or take the hash.
+ROWS_PER_PARTITION = 500_000
 
 
 def coded(texts: pd.Series) -> pa.DictionaryArray:
@@ -126,5 +128,10 @@ def buckets_for(rows: int) -> int:
     return max(FEWEST_BUCKETS, -(-rows // ROWS_PER_BUCKET))
 
 
+def partitions_for(rows: int) -> int:
+    """Partitions in which the buckets of a micro-batch of ``rows`` are sorted in bounded memory."""
+    return max(1, -(-rows // ROWS_PER_PARTITION))
+
+
 def message_bucket(keys: Sequence[str], buckets: int) -> F.Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")

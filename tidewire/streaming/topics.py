@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
+from tidewire.session import least_partitions
+
 
 def file_stream(
     spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet"
@@ -51,14 +53,18 @@ def only_topics(messages: DataFrame, topics: Sequence[str]) -> DataFrame:
     return messages.filter(F.col("topic").isin(*topics))
 
 
-def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process everything available now into a Parquet sink."""
-    query = (
+def drain_to_parquet(stream: DataFrame, path: str, checkpoint: str, *, partitions: int = 1) -> None:
+    """Process everything available now into a Parquet sink.
+
+    State lies in ``partitions`` at least; the session may have more. A checkpoint keeps its number.
+    """
+    writer = (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(availableNow=True)
-        .start()
     )
+    with least_partitions(stream.sparkSession, partitions):
+        query = writer.start()
     query.awaitTermination()
